@@ -1,0 +1 @@
+"""Empty on purpose: all work is batch over closed files, so there is no streaming operator."""
