@@ -1,8 +1,8 @@
 """Wall-clock parsing, time zones and formatting.
 
 A wall clock is a TIMESTAMP_NTZ. Every function below gives the same result in any session time
-zone: parsing goes through an explicit +0000 offset and zone shifts use ``convert_timezone``, so a
-session in a daylight-saving zone cannot move the hours that zone skips.
+zone: parsing goes through an explicit +0000 offset and zone shifts work on seconds, so a session in
+a daylight-saving zone cannot move the hours that zone skips.
 """
 
 from __future__ import annotations
@@ -35,10 +35,6 @@ def _epoch() -> Column:
     return F.expr("timestamp_ntz'1970-01-01 00:00:00'")
 
 
-def _plus_hours(ts: Column, hours: int) -> Column:
-    return ts + F.make_dt_interval(F.lit(0), F.lit(hours))
-
-
 def parse_fixed_ts(c: Column | str, fmt: str = US_12H) -> Column:
     """text in one format to a wall clock; anything else is null."""
     instant = F.try_to_timestamp(F.concat(as_col(c), F.lit(" +0000")), F.lit(fmt + " xx"))
@@ -50,32 +46,61 @@ def parse_coalesced_ts(c: Column | str, first: str = US_12H, others: tuple[str,
     return F.coalesce(*[parse_fixed_ts(c, f) for f in (first, *others)])
 
 
+def _clock_seconds(w: Column) -> Column:
+    """Seconds of a wall clock since 1970, as if it were UTC."""
+    day = F.unix_date(F.to_date(w)).cast("bigint")
+    return day * 86400 + F.hour(w) * 3600 + F.minute(w) * 60 + F.second(w)
+
+
+def _to_utc_s(s: Column, zone: str) -> Column:
+    return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(s), zone))
+
+
+def _from_utc_s(s: Column, zone: str) -> Column:
+    return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(s), zone))
+
+
+def _shift(w: Column, seconds: Column) -> Column:
+    return w + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def local_to_utc(w: Column | str, zone: str = LOCAL_ZONE) -> Column:
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), as_col(w))
+    """Wall clock of ``zone`` to the UTC clock; an ambiguous one counts as the earlier instant."""
+    w = as_col(w)
+    s = _clock_seconds(w)
+    return _shift(w, _to_utc_s(s, zone) - s)
 
 
 def utc_to_local(ts: Column | str, zone: str = LOCAL_ZONE) -> Column:
     """UTC clock to the wall clock of ``zone``."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), as_col(ts))
+    w = as_col(ts)
+    s = _clock_seconds(w)
+    return _shift(w, _from_utc_s(s, zone) - s)
 
 
 def is_nonexistent(w: Column | str, zone: str = LOCAL_ZONE) -> Column:
     """The wall clock falls into the gap of the spring change."""
-    w = as_col(w)
-    return utc_to_local(local_to_utc(w, zone), zone) != w
+    s = _clock_seconds(as_col(w))
+    return _from_utc_s(_to_utc_s(s, zone), zone) != s
 
 
 def is_ambiguous(w: Column | str, zone: str = LOCAL_ZONE) -> Column:
     """The wall clock happens twice at the autumn change."""
-    w = as_col(w)
-    u = local_to_utc(w, zone)
-    return (utc_to_local(_plus_hours(u, 1), zone) == w) | (utc_to_local(_plus_hours(u, -1), zone) == w)
+    s = _clock_seconds(as_col(w))
+    u = _to_utc_s(s, zone)
+    return (_from_utc_s(u + 3600, zone) == s) | (_from_utc_s(u - 3600, zone) == s)
 
 
 def localize_or_null(w: Column | str, zone: str = LOCAL_ZONE) -> Column:
-    """keep a wall clock that names exactly one instant, null the others."""
+    """keep a wall clock that names exactly one instant, null the others.
+
+    Nearly all rows have the same offset a day before and a day after; only the rest pays for the
+    exact test.
+    """
     w = as_col(w)
-    return F.when(~is_nonexistent(w, zone) & ~is_ambiguous(w, zone), w)
+    s = _clock_seconds(w)
+    same_offset = _to_utc_s(s + 86400, zone) - _to_utc_s(s - 86400, zone) == 172800
+    return F.when(same_offset, w).when(~is_nonexistent(w, zone) & ~is_ambiguous(w, zone), w)
 
 
 def floor_hour(w: Column | str) -> Column:
