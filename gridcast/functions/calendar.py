@@ -11,6 +11,9 @@ from gridcast.functions import as_col
 # Fixed display order of day names, Monday first.
 DAY_NAMES = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
+# Fixed season names, each three months, December first.
+SEASONS = ("Winter", "Spring", "Summer", "Fall")
+
 # Fixed holiday names that have their own feature column.
 NAMED_HOLIDAYS = {
     "is_thanksgiving": "Thanksgiving",
@@ -61,14 +64,9 @@ def cyclical_cos(x: Column | str, period: int) -> Column:
 
 
 def season_of_month(month: Column | str) -> Column:
-    """PF9."""
-    m = as_col(month)
-    return (
-        F.when(m.between(3, 5), "Spring")
-        .when(m.between(6, 8), "Summer")
-        .when(m.between(9, 11), "Fall")
-        .otherwise("Winter")
-    )
+    """PF9: March to May is spring and so on; an unknown month counts as winter."""
+    by_month = [SEASONS[(m % 12) // 3] for m in range(1, 13)]
+    return F.coalesce(F.element_at(F.array(*[F.lit(s) for s in by_month]), as_col(month)), F.lit("Winter"))
 
 
 def season_year(year: Column | str, month: Column | str) -> Column:

@@ -47,9 +47,9 @@ def parse_coalesced_ts(c: Column | str, first: str = US_12H, others: tuple[str,
 
 
 def _clock_seconds(w: Column) -> Column:
-    """Seconds of a wall clock since 1970, as if it were UTC."""
-    day = F.unix_date(F.to_date(w)).cast("bigint")
-    return day * 86400 + F.hour(w) * 3600 + F.minute(w) * 60 + F.second(w)
+    """Seconds of a wall clock since 1970, as if it were UTC. Names ``w`` once, so a filter pushed
+    through several of these functions stays small."""
+    return (w - _epoch()).cast("interval second").cast("bigint")
 
 
 def _to_utc_s(s: Column, zone: str) -> Column:

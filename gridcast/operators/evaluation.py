@@ -127,7 +127,9 @@ def tune_threshold(
         ).alias("_loss"),
     )
     option = F.struct(F.col("_loss").alias("loss"), F.col("_k").alias("k"))
-    first = F.struct((F.max("_all_neg") * fp_cost).alias("loss"), F.lit(0).alias("k"))
+    # Without a row below the first threshold, that threshold flags every row.
+    all_flagged = F.struct((F.max("_all_neg") * fp_cost).alias("loss"), F.lit(0).alias("k"))
+    first = F.when(F.min("_k") > 0, all_flagged)
     best = F.least(first, F.min(F.when(F.col("_k") < n_thresholds, option)))
     return (
         losses.groupBy(*keys)

@@ -129,18 +129,21 @@ def write_weather_by_year(
     )
 
 
-def append_forecast_line(df: DataFrame, path: str, day: str = "date", line: str = "line", replace: bool = False) -> None:
-    """SNK4: add one line per forecast day; ``replace`` makes a repeated run overwrite its own day."""
-    writer = df.select(F.col(line).alias("value"), F.col(day).alias("forecast_date")).write.partitionBy("forecast_date")
-    if replace:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
-    else:
-        writer.mode("append").text(path)
+def append_forecast_line(
+    df: DataFrame, path: str, date: str = "date", line: str = "line", known: DataFrame | None = None
+) -> None:
+    """SNK4: add one line per forecast day. Days in ``known`` (lines read back before) are left out,
+    so a repeated run adds nothing twice."""
+    if known is not None:
+        df = df.join(known.select(F.col("forecast_date").alias(date)).distinct(), date, "left_anti")
+    df.select(F.col(line).alias("value")).write.mode("append").text(path)
 
 
 def read_forecast_lines(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("forecast_date", T.DateType())])
-    return spark.read.schema(schema).text(path).withColumnRenamed("value", "line")
+    """Lines with their day, which is the first, quoted value."""
+    lines = spark.read.schema("value string").text(path)
+    day = F.to_date(F.regexp_extract("value", r'^"(\d{4}-\d{2}-\d{2})"', 1))
+    return lines.select(day.alias("forecast_date"), F.col("value").alias("line"))
 
 
 def scan_audit(df: DataFrame, by: str = "source_path", distinct: str = "load_area") -> DataFrame:
