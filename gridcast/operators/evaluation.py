@@ -111,7 +111,8 @@ def tune_threshold(
     reached = F.when(threshold_at(guess + 1, start, step) <= p, guess + 2).otherwise(
         F.when(threshold_at(guess, start, step) <= p, guess + 1).otherwise(guess)
     )
-    k = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(n_thresholds), reached)), F.lit(0)).cast("int")
+    # ``least`` skips nulls, hence the explicit case: a row without a score reaches no threshold.
+    k = F.when(p.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n_thresholds), reached))).otherwise(0).cast("int")
     y = F.col(label)
     counts = df.groupBy(*keys, k.alias("_k")).agg(
         F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg")
