@@ -38,7 +38,7 @@ def _epoch() -> Column:
 def parse_fixed_ts(c: Column | str, fmt: str = US_12H) -> Column:
     """text in one format to a wall clock; anything else is null."""
     instant = F.try_to_timestamp(F.concat(as_col(c), F.lit(" +0000")), F.lit(fmt + " xx"))
-    return _epoch() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(instant))
+    return _shift(_epoch(), F.unix_seconds(instant))
 
 
 def parse_coalesced_ts(c: Column | str, first: str = US_12H, others: tuple[str, ...] = GENERAL_FORMATS) -> Column:
@@ -61,7 +61,12 @@ def _from_utc_s(s: Column, zone: str) -> Column:
 
 
 def _shift(w: Column, seconds: Column) -> Column:
-    return w + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    # A product of whole numbers; building the interval from parts would go through decimals.
+    return w + F.expr("interval '1' second") * seconds
+
+
+def plus_hours(w: Column, hours: Column) -> Column:
+    return w + F.expr("interval '1' hour") * hours
 
 
 def local_to_utc(w: Column | str, zone: str = LOCAL_ZONE) -> Column:
@@ -106,7 +111,7 @@ def localize_or_null(w: Column | str, zone: str = LOCAL_ZONE) -> Column:
 def floor_hour(w: Column | str) -> Column:
     """beginning of the hour; stays TIMESTAMP_NTZ."""
     w = as_col(w)
-    return F.to_date(w).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(w))
+    return plus_hours(F.to_date(w).cast("timestamp_ntz"), F.hour(w))
 
 
 def format_ts(w: Column | str, fmt: str = US_12H) -> Column:

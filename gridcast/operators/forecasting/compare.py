@@ -20,7 +20,7 @@ from gridcast.operators.forecasting.methods import LOAD_METHODS, PEAK_DAY_METHOD
 from gridcast.operators.forecasting.regional import RegionalModels, collect_bounded, fit_regional, score_regional
 from gridcast.operators.joins import pred_vs_actual
 from gridcast.operators.labels import historical_peak_hour
-from gridcast.operators.relational import best_method, min_rows_guard, semi_join_membership, union_batches
+from gridcast.operators.relational import best_method, drop_null_subset, min_rows_guard, semi_join_membership, union_batches
 
 # Task names, also in the registry.
 HOURLY_LOAD, PEAK_HOUR, PEAK_DAY = "hourly_load", "peak_hour", "peak_day"
@@ -43,7 +43,7 @@ def score_load(
 
 def load_metrics(train: DataFrame, scored: DataFrame, features: Sequence[str] = HOURLY_FEATURES) -> DataFrame:
     """AG12 with the number of training rows."""
-    sizes = train.dropna(subset=[*features, "load"]).groupBy("region").agg(F.count(F.lit(1)).alias("n_train"))
+    sizes = drop_null_subset(train, [*features, "load"]).groupBy("region").agg(F.count(F.lit(1)).alias("n_train"))
     return regression_metrics(scored).join(sizes, "region")
 
 

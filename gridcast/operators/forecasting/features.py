@@ -11,6 +11,7 @@ from gridcast.functions.scalar import degree_days
 from gridcast.operators.aggregates import daily_weather_agg
 from gridcast.operators.joins import join_holiday
 from gridcast.operators.labels import adjacent_calendar_days, adjacent_holiday_flags
+from gridcast.operators.relational import drop_null_subset
 
 # Fixed feature names of the hourly models, in order.
 HOURLY_FEATURES = (
@@ -121,5 +122,5 @@ def temporal_split(
         any_range = cond if any_range is None else any_range | cond
     rows = df.where(any_range)
     if required:
-        rows = rows.dropna(subset=list(required))
+        rows = drop_null_subset(rows, required)
     return rows.withColumn("split", F.explode(labels))

@@ -37,8 +37,11 @@ def _partial_moments(region: str, columns: Sequence[str]):
         for pdf in batches:
             z = np.ones((len(pdf), k))
             z[:, 1:] = pdf[list(columns)].to_numpy(dtype=float)
+            known = ~np.isnan(z).any(axis=1)
             for key, rows in pdf.groupby(region, sort=False).indices.items():
-                part = z[rows]
+                part = z[rows][known[rows]]
+                if not len(part):
+                    continue
                 state[key] = state.get(key, 0.0) + part.T @ part
             if len(state) > _FLUSH_GROUPS:
                 yield emit()
@@ -48,10 +51,9 @@ def _partial_moments(region: str, columns: Sequence[str]):
     return run
 
 
-def _solver(n_features: int, centre: Sequence[float], scale: Sequence[float], rcond: float):
+def _solver(n_features: int, rcond: float):
     k = n_features + 2
     upper = np.triu_indices(k)
-    centre, scale = np.asarray(centre), np.asarray(scale)
 
     @F.pandas_udf("struct<intercept: double, coef: array<double>, n: bigint>")
     def solve(moments: pd.Series) -> pd.DataFrame:
@@ -59,16 +61,18 @@ def _solver(n_features: int, centre: Sequence[float], scale: Sequence[float], rc
         for packed in moments:
             g = np.zeros((k, k))
             g[upper] = packed
-            n = g[0, 0]
-            mean = g[0, 1:] / n
-            cov = g[1:, 1:] / n
-            cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
+            g = np.triu(g) + np.triu(g, 1).T
+            n, mean = g[0, 0], g[0, 1:] / g[0, 0]
+            cov = g[1:, 1:] / n - np.outer(mean, mean)
+            # Correlations instead of covariances: features differ in scale by orders of magnitude.
+            sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
+            sd[sd <= 1e-9 * np.abs(mean)] = np.inf
+            corr = cov / np.outer(sd, sd)
             # Weekend and weekday dummies are collinear: the pseudo-inverse picks the least-norm fit.
-            b = np.linalg.pinv(cov[:-1, :-1], rcond=rcond, hermitian=True) @ cov[:-1, -1]
-            coef = b * scale[-1] / scale[:-1]
-            x_mean = centre[:-1] + scale[:-1] * mean[:-1]
-            y_mean = centre[-1] + scale[-1] * mean[-1]
-            out.append((float(y_mean - coef @ x_mean), coef.tolist(), int(round(n))))
+            beta = np.linalg.pinv(corr[:-1, :-1], rcond=rcond, hermitian=True) @ corr[:-1, -1]
+            # A constant column has no weight; a constant target no slope.
+            coef = beta / sd[:-1] * (sd[-1] if np.isfinite(sd[-1]) else 0.0)
+            out.append((float(mean[-1] - coef @ mean[:-1]), coef.tolist(), int(round(n))))
         return pd.DataFrame(out, columns=["intercept", "coef", "n"])
 
     return solve
@@ -77,25 +81,17 @@ def _solver(n_features: int, centre: Sequence[float], scale: Sequence[float], rc
 def fit_ols(
     df: DataFrame, features: Sequence[str], target: str = "load", region: str = "region", rcond: float = 1e-11
 ) -> DataFrame:
-    """ML4, fit: a row (region, intercept, coef, n) per zone.
+    """ML4, fit: a row (region, intercept, coef, n_train) per zone, from one pass over the rows. Rows
+    with an unknown value are left out.
 
     Tasks reduce their rows to one small array of cross products per zone, Spark adds the arrays up
     entry by entry, and one small system per zone is solved. So a zone of any size is spread over all
-    tasks. Values are shifted and scaled by their overall mean and deviation, which keeps the sums
-    well conditioned and does not change the fit.
+    tasks.
     """
     names = [*features, target]
-    x = df.select(region, *[F.col(c).cast("double").alias(c) for c in names]).dropna(subset=names)
-    stats = x.agg(
-        F.array(*[F.avg(c) for c in names]).alias("m"),
-        F.array(*[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)) for c in names]).alias("s"),
-    ).first()
-    if stats["m"][0] is None:
-        raise ValueError("no complete training row")
-    centre, scale = stats["m"], stats["s"]
-    scaled = x.select(region, *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(names, centre, scale)])
-    key = next(f for f in x.schema if f.name == region).dataType.simpleString()
-    partial = scaled.mapInPandas(_partial_moments(region, names), f"`{region}` {key}, moments array<double>")
+    x = df.where(F.col(region).isNotNull()).select(region, *[F.col(c).cast("double").alias(c) for c in names])
+    key = x.schema[region].dataType.simpleString()
+    partial = x.mapInPandas(_partial_moments(region, names), f"`{region}` {key}, moments array<double>")
     summed = (
         partial.select(region, F.posexplode("moments").alias("pos", "v"))
         .groupBy(region, "pos")
@@ -103,7 +99,7 @@ def fit_ols(
         .groupBy(region)
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("moments"))
     )
-    solve = _solver(len(features), centre, scale, rcond)
+    solve = _solver(len(features), rcond)
     return summed.select(region, solve("moments").alias("fit")).select(
         region, "fit.intercept", "fit.coef", F.col("fit.n").alias("n_train")
     )
@@ -112,7 +108,8 @@ def fit_ols(
 def predict_ols(
     df: DataFrame, model: DataFrame, features: Sequence[str], region: str = "region", as_name: str = "predicted_load"
 ) -> DataFrame:
-    """ML4, apply: the model table has one row per zone and is joined; the rest is arithmetic."""
+    """ML4, apply: the model table has one row per zone and is joined; the rest is arithmetic. A row
+    with an unknown feature gets null."""
     m = model.select(region, "intercept", "coef")
     value: Column = F.col("intercept")
     for i, f in enumerate(features):

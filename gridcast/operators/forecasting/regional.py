@@ -21,6 +21,7 @@ from gridcast.operators.aggregates import class_weights
 from gridcast.operators.evaluation import FN_COST, scaling_stats, standardize_by_region
 from gridcast.operators.forecasting.linear import fit_ols, interaction_frame, predict_ols
 from gridcast.operators.forecasting.methods import Method
+from gridcast.operators.relational import drop_null_subset
 from gridcast.session import scratch_dir
 
 MAX_REGIONS = 1_000
@@ -102,7 +103,7 @@ def fit_regional(
         out.table = train.sparkSession.read.parquet(path)
         return out
 
-    rows = train.dropna(subset=[*features, label])
+    rows = drop_null_subset(train, [*features, label])
     balance = None
     if method.classifier:
         balance = class_weights(rows, label, [region], FN_COST)
@@ -154,9 +155,9 @@ def score_regional(
     if fitted.method.kind == "ols":
         keep = df.columns
         frame, names = interaction_frame(df)
-        scored = predict_ols(frame.dropna(subset=names), fitted.table, names, region, as_name)
-        return scored.select(*keep, as_name)
-    rows = df.dropna(subset=fitted.features)
+        scored = predict_ols(frame, fitted.table, names, region, as_name)
+        return scored.select(*keep, as_name).where(F.col(as_name).isNotNull())
+    rows = drop_null_subset(df, fitted.features)
     if fitted.stats is not None:
         # Keep the unscaled columns of the input in the result.
         rows = rows.select(region, *fitted.features, F.struct(*df.columns).alias("_row"))

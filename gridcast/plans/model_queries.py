@@ -55,8 +55,10 @@ def _rounded_sql(cols, trig):
     return ", ".join(f"round({c}, 9) as {c}" if c in trig else c for c in cols)
 
 
-def _hourly(spark, sf, neighbours="rows"):
-    return hourly_features(V.model_frame(spark, sf), dims.holiday_dimension(spark), neighbours=neighbours)
+def _hourly(spark, sf):
+    # The merged table is written before feature work, which reads it twice: once for the day sizes.
+    frame = _staged(V.model_frame(spark, sf), "merged")
+    return hourly_features(frame, dims.holiday_dimension(spark))
 
 
 @query(
@@ -308,7 +310,8 @@ def ols_two_features(spark, sf):
 
 def _splits(spark, sf):
     """Hourly feature rows of the three ranges with the peak-hour label, written once."""
-    df = L.mark_peak_hour(_hourly(spark, sf))
+    # Labels start from the written features, or both branches of their join would build them again.
+    df = L.mark_peak_hour(_staged(_hourly(spark, sf), "features"))
     need = [*HOURLY_FEATURES, "load"]
     rows = _staged(temporal_split(df, _ranges(), required=need), "hourly")
     return {s: rows.where(F.col("split") == s).drop("split") for s in ("train", "test", "final_train")}
@@ -364,7 +367,7 @@ def refit_best_peak_hour(spark, sf):
 
 def _day_splits(spark, sf):
     """Labelled daily rows: rolling windows for training and tuning, the fixed period for the test."""
-    daily = _staged(_daily(spark, sf).dropna(subset=list(DAILY_FEATURES)), "daily")
+    daily = _staged(R.drop_null_subset(_daily(spark, sf), DAILY_FEATURES), "daily")
     tune, end = _day(TUNE_START), _day(TRAIN_END[:10])
     ranges = {
         "train": (None, F.date_sub(tune, 1)),

@@ -5,10 +5,11 @@ Measures are whole numbers held in doubles, so sums do not depend on the order o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gridcast.functions.timeparse import floor_hour, localize_or_null
+from gridcast.functions.timeparse import floor_hour, localize_or_null, plus_hours
 from gridcast.operators.joins import join_load_weather
+from gridcast.operators.labels import rolling_peak_day_labels
 
 # Fixed last tie-breaks of weather rows in one zone and hour.
 WEATHER_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "temp", "wind")
@@ -58,7 +59,7 @@ def _zoned_lineitem(spark: SparkSession, sf: str, *cols) -> DataFrame:
     # Suppliers grow with the data, so Spark chooses that join by size.
     items = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     hour = ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 24).cast("int")
-    ts = F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour)
+    ts = plus_hours(F.col("l_shipdate").cast("timestamp_ntz"), hour)
     return _with_zone(items, spark, sf, "s_nationkey").select("region", ts.alias("ts_local"), *cols)
 
 
@@ -125,10 +126,6 @@ def daily_region(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored_days(spark: SparkSession, sf: str) -> DataFrame:
     """Rolling labels with a score: the previous day's load over the zone's largest."""
-    from pyspark.sql import Window
-
-    from gridcast.operators.labels import rolling_peak_day_labels
-
     daily = daily_region(spark, sf)
     top = daily.groupBy("region").agg(F.max("load_max").alias("m"))
     before = F.lag("load_max").over(Window.partitionBy("region").orderBy("date"))

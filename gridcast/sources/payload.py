@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from gridcast.functions.timeparse import plus_hours
+
 # Fixed field names of the payload and the columns they become.
 HOURLY_FIELDS = {
     "time": "datetime_beginning_utc",
@@ -41,5 +43,5 @@ def explode_hourly_payload(
 
 def filter_payload_range(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
     """PF14: rows from the first hour of ``start`` to hour 23 of ``end`` (dates, UTC)."""
-    last_hour = end.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(23))
+    last_hour = plus_hours(end.cast("timestamp_ntz"), F.lit(23))
     return df.where(F.col(ts).between(start.cast("timestamp_ntz"), last_hour))
