@@ -44,7 +44,7 @@ def flag(condition: Column) -> Column:
 
 def day_name(ts: Column | str) -> Column:
     """Mon..Sun."""
-    return F.date_format(as_col(ts), "E")
+    return F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), F.weekday(as_col(ts)) + 1)
 
 
 def dayhour_index(ts: Column | str) -> Column:

@@ -115,8 +115,23 @@ def floor_hour(w: Column | str) -> Column:
 
 
 def format_ts(w: Column | str, fmt: str = US_12H) -> Column:
-    """F8: wall clock to text, ``M/d/yyyy h:mm:ss a`` by default."""
-    return F.date_format(as_col(w), fmt)
+    """F8: wall clock to text, ``M/d/yyyy h:mm:ss a`` by default.
+
+    The three fixed formats are put together from the clock's own parts. Any other pattern goes
+    through the session's time zone and wants a session in UTC.
+    """
+    w = as_col(w)
+    iso = F.substring(w.cast("string"), 1, 19)
+    if fmt == ISO_SPACE:
+        return iso
+    if fmt == ISO_T:
+        return F.translate(iso, " ", "T")
+    if fmt == US_12H:
+        hour = F.hour(w)
+        day = F.concat_ws("/", F.month(w), F.dayofmonth(w), F.year(w))
+        clock = F.concat((hour + 11) % 12 + 1, F.substring(iso, 14, 6), F.when(hour < 12, " AM").otherwise(" PM"))
+        return F.when(w.isNotNull(), F.concat_ws(" ", day, clock))
+    return F.date_format(w, fmt)
 
 
 def pad_seconds(c: Column | str) -> Column:

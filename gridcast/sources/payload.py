@@ -34,10 +34,16 @@ def explode_hourly_payload(
     time_field: str = "time",
 ) -> DataFrame:
     """SRC4: one row per entry of the parallel arrays; a payload without times gives no row."""
-    parsed = df.select(*keep, F.from_json(json_col, payload_schema(fields, time_field)).alias("p")).where(
+    schema = payload_schema(fields, time_field)
+    parsed = df.select(*keep, F.from_json(json_col, schema).alias("p")).where(
         F.col(f"p.hourly.{time_field}").isNotNull()
     )
-    zipped = F.arrays_zip(*[F.col(f"p.hourly.{f}").alias(f) for f in fields])
+    # A field that a payload lacks is unknown in all its hours.
+    arrays = [
+        F.coalesce(F.col(f"p.hourly.{f.name}"), F.array().cast(f.dataType)).alias(f.name)
+        for f in schema["hourly"].dataType
+    ]
+    zipped = F.arrays_zip(*arrays)
     return parsed.select(*keep, F.inline(zipped)).withColumnsRenamed(dict(fields))
 
 
