@@ -46,8 +46,9 @@ class Method:
         if self.kind == "logistic":
             # A unit L2 penalty on the summed loss; Spark's loss is the weighted mean.
             return LogisticRegression(
-                maxIter=self.trees, standardization=False, regParam=1.0 / max(weight_total or 1.0, 1.0), **common
-            )
+                maxIter=self.trees, tol=1e-4, standardization=False,
+                regParam=1.0 / max(weight_total or 1.0, 1.0), **common,
+            )
         raise ValueError(f"no estimator for {self.kind}")
 
 

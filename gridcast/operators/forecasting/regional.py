@@ -46,10 +46,14 @@ class RegionalModels:
 
 
 def stage_by_region(df: DataFrame, region: str = "region") -> DataFrame:
-    """Write the rows once, one folder per zone, and read them back."""
+    """Write the rows once, one folder per zone, and read them back.
+
+    The rebalance hint gathers a zone's rows in few files, but splits a zone that is too large for
+    one task.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, "by-region")
-    df.write.partitionBy(region).parquet(path)
+    df.hint("rebalance", F.col(region)).write.partitionBy(region).parquet(path)
     # With the schema given, the zone comes back with its own type instead of an inferred one.
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
@@ -90,7 +94,7 @@ def fit_regional(
     label: str,
     task: str,
     region: str = "region",
-    parallel: int = 4,
+    parallel: int = 8,
 ) -> RegionalModels:
     """Fit ``method`` for every zone of ``train``. A zone whose fit fails is noted and left out."""
     out = RegionalModels(task, method, list(features))

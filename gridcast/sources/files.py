@@ -77,6 +77,7 @@ def write_yearly_csv(df: DataFrame, path: str, stem: str = "hrl_load_metered", y
     (
         df.withColumn("file", F.concat(F.lit(f"{stem}_"), F.col(year).cast("string"), F.lit(".csv")))
         .drop(year)
+        .hint("rebalance", F.col("file"))
         .write.mode("errorifexists")
         .partitionBy("file")
         .option("header", True)
@@ -85,7 +86,13 @@ def write_yearly_csv(df: DataFrame, path: str, stem: str = "hrl_load_metered", y
 
 
 def write_merged(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
-    """SNK1: the merged table, as Parquet or as CSV with a header."""
+    """SNK1: the merged table, as Parquet or as CSV with a header.
+
+    With partition columns, the rebalance hint keeps the number of files near what the data needs
+    and still splits a partition that is too large for one task.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if fmt == "csv":
         writer.option("header", True).csv(path)
