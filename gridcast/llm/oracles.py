@@ -29,3 +29,23 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as b
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hw using (doc_id) left join hi using (doc_id)
 """
+
+ORACLES["op9_remove_repeats"] = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), x as (
+  select doc_id, i, array_to_string(w[i:i + 19], ' ') as win
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)
+), r as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by win order by doc_id, i) as k from x) where k > 1
+), p as (
+  select doc_id, list(distinct q) as gone from (select doc_id, unnest(range(i, i + 20)) as q from r) group by 1
+), k as (
+  select doc_id, w, coalesce(gone, []) as gone,
+    string_agg(w[j], ' ' order by j) filter (where not list_contains(coalesce(gone, []), j)) as kept
+  from (select doc_id, w, gone, unnest(range(1, len(w) + 1)) as j from d left join p using (doc_id)) group by 1, 2, 3
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from d left join k on d.doc_id = k.doc_id
+"""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import decontamination, simhash
+from gridcast.llm import decontamination, simhash, substring, token_counts
 from gridcast.llm.common import pick
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +36,21 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def remove_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def count_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    counted = token_counts.count_tokens(table(spark, sf, "documents"), model)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 QUERIES: dict[str, Query] = {
     "op7_decontaminate": decontaminate,
     "op8_near_duplicates": near_duplicates,
+    "op9_remove_repeats": remove_repeats,
+    "op10_count_tokens": count_tokens,
 }
