@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,9 +31,12 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps, which it does when their handles
-    are collected as garbage. Call it after a step's result has been staged."""
-    gc.collect()
-    spark._jvm.System.gc()
+    are collected as garbage. Call it after a step's result has been staged. The first round frees what
+    Python still holds in the JVM, the second what that held."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def utf8(text: str | Column) -> Column:
@@ -54,3 +58,10 @@ def per_batch(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], Itera
                     yield from out
 
     return df.mapInArrow(run, schema)
+
+
+def text_key(rows: DataFrame, id_col: str) -> DataFrame:
+    """rows (with bytes in `text`) and tid, which tells rows of one id apart: 0 where ids are unique, which
+    costs a shuffle nothing, else a hash of the text."""
+    repeated = rows.groupBy(id_col).count().where("count > 1")
+    return rows.withColumn("tid", F.lit(0).cast("bigint") if repeated.isEmpty() else F.xxhash64("text"))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridcast.llm import words as W
-from gridcast.llm.common import per_batch, pick, release, staged, utf8
+from gridcast.llm.common import per_batch, pick, release, staged, text_key, utf8
 
 WINDOW = 20
 #: A perfect difference cover: for any two positions some shift below the period takes both into it.
 PERIOD, COVER = 13, (0, 1, 3, 9)
+NULL_ID = -(1 << 63)
 
 
 def anchor_words(window: int = WINDOW) -> int:
@@ -25,26 +26,24 @@ def anchor_words(window: int = WINDOW) -> int:
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tid and starts: first words of the windows that also start earlier (smaller doc_id, or same
-    document and earlier start). Documents without such a window have no row.
+    """ord, tid (see `keyed`) and starts: first words of the windows that also start earlier (smaller
+    doc_id, or same document and earlier start). Documents without such a window have no row.
 
     1. Every text is hashed at cover positions only (4 of 13); a window that occurs twice has an anchor at
        the same shift in both places. Anchors that occur once are dropped.
-    2. The rest extend to the windows around them, whose 128-bit hashes are compared.
+    2. The rest extend to the windows around them, whose 96-bit hashes are compared.
     Each task first keeps one row per anchor or window of its batch; the other rows of the batch are
     settled there and travel under keys of their own, so the most common passage sends a row per batch.
     """
     size = anchor_words(window)
-    rows = pick(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
-    rows = rows.withColumn("tid", F.xxhash64("text"))
-    anchors = per_batch(rows.select("tid", "text"), "hash bigint, tid bigint, pos int, settled boolean", _anchors(size))
+    rows = keyed(docs, id_col, text_col)
+    anchors = per_batch(rows, "hash bigint, ord bigint, tid bigint, pos int, settled boolean", _anchors(size))
     more = F.count(F.lit(1)).over(Window.partitionBy("hash"))
     shared = anchors.withColumn("n", more).where("settled or n > 1")
-    lists = staged(shared.groupBy("tid").agg(F.collect_set("pos").alias("pos")), "substring-anchors")
+    lists = staged(shared.groupBy("ord", "tid").agg(F.collect_set("pos").alias("pos")), "substring-anchors")
     release(docs.sparkSession)
 
-    order = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ord")
-    near = packed(rows.select(order, "tid", "text"), "ord").join(lists, "tid")
+    near = packed(rows).join(lists, ["ord", "tid"])
     found = per_batch(near.select("ord", "tid", "text", "pos"), _FOUND, _windows(window))
     lowest = F.min(F.struct("ord", "start")).over(Window.partitionBy("h1", "h2"))
     later = found.withColumn("first", lowest).where("settled or first.ord != ord or first.start != start")
@@ -63,10 +62,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     table gives no rows; other columns are not looked at.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = pick(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
     starts = repeated_passages(docs, window, id_col, text_col)
-    rows = rows.withColumn("tid", F.xxhash64("text")).withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    rows = packed(rows.select("ord", "tid", "text"), "ord").join(starts, ["ord", "tid"], "left")
+    rows = packed(keyed(docs, id_col, text_col)).join(starts, ["ord", "tid"], "left")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         unzip = zstandard.ZstdDecompressor().decompress
@@ -86,19 +83,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         return pa.RecordBatch.from_arrays(arrays, names=["ord", "n_words", "n_removed", "kept"])
 
     done = per_batch(rows.select("ord", "text", "starts"), "ord bigint, n_words bigint, n_removed bigint, kept binary", make)
-    back = F.when(F.col("ord") != -(1 << 63), F.col("ord")).cast(kind)
+    back = F.when(F.col("ord") != NULL_ID, F.col("ord")).cast(kind)
     return done.select(back.alias("doc_id"), "n_words", "n_removed", "kept")
 
 
-def packed(rows: DataFrame, key: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """ord (doc_id, null as the smallest number), tid (tells rows of one id apart) and text as bytes."""
+    order = F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("ord")
+    return text_key(pick(docs, id_col, text_col).select(order, utf8(text_col).alias("text")), "ord").select("ord", "tid", "text")
+
+
+def packed(rows: DataFrame) -> DataFrame:
     """Compress text before a shuffle; Zstandard takes about half of what the shuffle's own codec leaves."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         zip_ = zstandard.ZstdCompressor(level=3).compress
         texts = pa.array([zip_(t) for t in batch.column(2).to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=[key, "tid", "text"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["ord", "tid", "text"])
 
-    return per_batch(rows, f"{key} bigint, tid bigint, text binary", make)
+    return per_batch(rows, "ord bigint, tid bigint, text binary", make)
 
 
 def _settle(order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,28 +126,29 @@ def _anchors(size: int):
     cover[list(COVER)] = True
 
     def make(batch: pa.RecordBatch):
-        tids = batch.column(0).to_numpy()
-        held = [[], [], []]
-        for chunk in W.chunks(batch.column(1).to_pylist()):
+        ids, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        held = [[], [], [], []]
+        for chunk in W.chunks(batch.column(2).to_pylist()):
             total = len(chunk.starts)
             ok = W.window_starts(chunk.offsets, size, total)
             owner = chunk.text_of_word()[: len(ok)]
             pos = np.arange(len(ok)) - chunk.offsets[owner]
             at = np.flatnonzero(ok & cover[pos % PERIOD])
             held[0].append(W.window_hashes(W.word_hashes(chunk), size)[at])
-            held[1].append(tids[chunk.first + owner[at]])
-            held[2].append(pos[at])
-        hashes, tid, pos = (np.concatenate(h) for h in held)
+            held[1].append(ids[chunk.first + owner[at]])
+            held[2].append(tids[chunk.first + owner[at]])
+            held[3].append(pos[at])
+        hashes, ord_, tid, pos = (np.concatenate(h) for h in held)
         order = np.argsort(hashes, kind="stable")
         in_order = hashes[order]
         later, many = _settle(order, np.concatenate([[False], in_order[1:] == in_order[:-1]])[: len(order)])
-        arrays = [_salted(hashes, later, tid, pos), tid, pos.astype(np.int32), many]
-        yield from _pieces(arrays, ["hash", "tid", "pos", "settled"])
+        arrays = [_salted(hashes, later, ord_, tid, pos), ord_, tid, pos.astype(np.int32), many]
+        yield from _pieces(arrays, ["hash", "ord", "tid", "pos", "settled"])
 
     return make
 
 
-_FOUND = "h1 bigint, h2 bigint, ord bigint, tid bigint, start int, settled boolean"
+_FOUND = "h1 bigint, h2 int, ord bigint, tid bigint, start int, settled boolean"
 
 
 def _windows(size: int):
@@ -165,7 +169,7 @@ def _windows(size: int):
             at = np.flatnonzero(ok & (np.cumsum(wanted)[: len(ok)] > 0))
             owner = chunk.text_of_word()[at]
             held[0].append(W.window_hashes(W.word_hashes(chunk, 0), size, 0)[at])
-            held[1].append(W.window_hashes(W.word_hashes(chunk, 1), size, 1)[at])
+            held[1].append(W.window_hashes(W.word_hashes(chunk, 1), size, 1)[at] >> np.uint64(32))
             held[2].append(ids[chunk.first + owner])
             held[3].append(tids[chunk.first + owner])
             held[4].append(at - chunk.offsets[owner])
@@ -180,7 +184,7 @@ def _windows(size: int):
         twin = np.zeros(len(order), bool)
         twin[order] = same & (ord_[order] == ord_[first]) & (start[order] == start[first])
         later &= ~twin
-        arrays = [_salted(h1, later, ord_, start), h2.view(np.int64), ord_, tid, start.astype(np.int32), later]
+        arrays = [_salted(h1, later, ord_, start), h2.astype(np.uint32).view(np.int32), ord_, tid, start.astype(np.int32), later]
         yield from _pieces(arrays, ["h1", "h2", "ord", "tid", "start", "settled"])
 
     return make
