@@ -10,12 +10,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import pick, release, staged, utf8
+from gridcast.llm.common import pick, release, staged, text_key, utf8
 
 #: Pre-tokens of the broadcast part of the count table, the most frequent ones; the rest is joined.
-FREQUENT = 200_000
+FREQUENT = 500_000
 #: Distinct pre-tokens that a task holds before it passes their frequencies on.
-HELD = 300_000
+HELD = 1_000_000
 _SPACE = "▁"
 
 
@@ -56,7 +56,7 @@ def count_tokens(docs: DataFrame, model: bytes, frequent: int = FREQUENT, id_col
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = pick(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
-    rows = rows.withColumn("tid", F.xxhash64("text"))
+    rows = text_key(rows, "doc_id")
     pattern, shared_model = pretoken_pattern(model), spark.sparkContext.broadcast(model)
 
     seen = rows.select("text").mapInArrow(_frequencies(pattern), "token string, freq bigint")
@@ -66,10 +66,11 @@ def count_tokens(docs: DataFrame, model: bytes, frequent: int = FREQUENT, id_col
     top = counts.orderBy(F.desc("freq"), "token").limit(frequent).select("token", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top["token"].to_pylist(), top["pieces"].to_pylist(), strict=True)))
 
-    parts = rows.mapInArrow(_documents(pattern, known), f"doc_id {kind}, tid bigint, rows bigint, n_bytes bigint, known bigint, token string, freq bigint")
+    parts = rows.mapInArrow(_documents(pattern, known), f"doc_id {kind}, tid bigint, token string, freq int, base struct<n_bytes: bigint, known: bigint>")
     joined = parts.join(counts.select("token", "pieces"), "token", "left")
-    total = F.sum(F.col("known") + F.col("freq") * F.coalesce("pieces", F.lit(0)))
-    out = joined.groupBy("doc_id", "tid").agg(F.sum("rows").alias("rows"), F.max("n_bytes").alias("n_bytes"), total.alias("total"))
+    total = F.sum(F.coalesce("base.known", F.lit(0)) + F.col("freq").cast("bigint") * F.coalesce("pieces", F.lit(0)))
+    base = F.count("base").alias("rows"), F.max("base.n_bytes").alias("n_bytes")
+    out = joined.groupBy("doc_id", "tid").agg(*base, total.alias("total"))
     # Equal rows fall into one group, which holds their counts `rows` times.
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows")))
     return out.select("doc_id", "n_bytes", F.expr("total div rows").alias("n_tokens"))
@@ -116,8 +117,8 @@ def _documents(pattern: str, known):
         find = re.compile(pattern).findall
         pieces = known.value
         for batch in batches:
-            at, first, bytes_, sums, tokens, freqs = [], [], [], [], [], []
-            tids = batch.column(2).to_pylist()
+            at, base, tokens, freqs = [], [], [], []
+            ids = batch.column(0).to_pylist()
             for i, text in enumerate(batch.column(1).to_pylist()):
                 total, rare = 0, []
                 for token, n in Counter(find(_spaced(text))).items():
@@ -127,25 +128,22 @@ def _documents(pattern: str, known):
                     else:
                         total += p * n
                 # Two line breaks never are a pre-token: this key meets no row of the count table.
-                rare = rare or [(f"\n\n{tids[i]}", 0)]
-                for k, (token, n) in enumerate(rare):
+                for k, (token, n) in enumerate(rare or [(f"\n\n{ids[i]}", 0)]):
                     at.append(i)
-                    first.append(k == 0)
-                    bytes_.append(len(text))
-                    sums.append(total if k == 0 else 0)
+                    base.append(None if k else {"n_bytes": len(text), "known": total})
                     tokens.append(token)
                     freqs.append(n)
                 if len(at) > 200_000:
-                    yield _rows(batch, at, first, bytes_, sums, tokens, freqs)
-                    at, first, bytes_, sums, tokens, freqs = [], [], [], [], [], []
+                    yield _rows(batch, at, base, tokens, freqs)
+                    at, base, tokens, freqs = [], [], [], []
             if at:
-                yield _rows(batch, at, first, bytes_, sums, tokens, freqs)
+                yield _rows(batch, at, base, tokens, freqs)
 
     return run
 
 
-def _rows(batch, at, first, bytes_, sums, tokens, freqs):
+def _rows(batch, at, base, tokens, freqs):
     at = pa.array(at, pa.int64())
-    arrays = [batch.column(0).take(at), batch.column(2).take(at), pa.array([int(f) for f in first], pa.int64()), pa.array(bytes_, pa.int64())]
-    arrays += [pa.array(sums, pa.int64()), pa.array(tokens, pa.string()), pa.array(freqs, pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tid", "rows", "n_bytes", "known", "token", "freq"])
+    kind = pa.struct([("n_bytes", pa.int64()), ("known", pa.int64())])
+    arrays = [batch.column(0).take(at), batch.column(2).take(at), pa.array(tokens, pa.string()), pa.array(freqs, pa.int32())]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(base, kind)], names=["doc_id", "tid", "token", "freq", "base"])
