@@ -49,3 +49,74 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(len(gone), 0
   sha256(coalesce(kept, '')) as kept_sha256
 from d left join k on d.doc_id = k.doc_id
 """
+
+ORACLES["op4_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
+"""
+
+ORACLES["op5_archive_pages"] = """
+with p as (
+  select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), k as (
+  select payload_digest, payload_bytes, max(page_id) as keeper from p where payload_bytes >= 1000 group by 1, 2
+)
+select page_id, p.payload_bytes, p.payload_digest,
+  case when keeper is null or keeper = page_id then 'response' else 'revisit' end as record_type,
+  case when keeper <> page_id then keeper end as refers_to
+from p left join k on p.payload_digest = k.payload_digest and p.payload_bytes = k.payload_bytes
+"""
+
+ORACLES["op1_mix_sources"] = r"""
+with recursive d as (
+  select doc_id, coalesce(source, '(none)') as source, source as own,
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as tokens,
+    md5('0:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) as key from documents
+), s as (
+  select source, count(*) as docs, cast(sum(tokens) as bigint) as tokens from d group by 1
+), l as (
+  select list(ln(tokens / total) order by source) as lp, count(*) as n, min(ln(tokens / total)) as low
+  from (select *, (select sum(tokens) from s) as total from s) where tokens > 0
+), e(i, lo, hi) as (
+  select 0, 0.0::double, 8.0::double union all
+  select i + 1,
+    case when h then (lo + hi) / 2 else lo end, case when h then hi else (lo + hi) / 2 end
+  from (select i, lo, hi,
+    ln(list_sum(list_transform(lp, lambda x: exp((lo + hi) / 2 * x))))
+      - (lo + hi) / 2 * list_sum(list_transform(lp, lambda x: exp((lo + hi) / 2 * x) * x))
+        / list_sum(list_transform(lp, lambda x: exp((lo + hi) / 2 * x))) >= 0.95 * ln(n) as h
+    from e, l where i < 40)
+), r(i, lo, hi) as (
+  select 0, 0.0::double, 1.0::double union all
+  select i + 1,
+    case when h then (lo + hi) / 2 else lo end, case when h then hi else (lo + hi) / 2 end
+  from (select i, lo, hi,
+    exp(((lo + hi) / 2 - 1) * low) / list_sum(list_transform(lp, lambda x: exp((lo + hi) / 2 * x))) > 4.0 as h
+    from r, l where i < 40)
+), a as (
+  select case when n < 2 then 1.0 else greatest(
+    (select (lo + hi) / 2 from e where i = 40), (select (lo + hi) / 2 from r where i = 40)) end as a from l
+), w as (
+  select source, docs, tokens, total, case when tokens > 0 then exp(a * ln(tokens / total)) else 0 end as power
+  from (select *, (select sum(tokens) from s) as total from s), a
+), q as (
+  select source, tokens as total_s, power / (select sum(power) from w) as weight,
+    cast(round(power / (select sum(power) from w) * total) as bigint) as quota, cast(ceil(sqrt(docs)) as bigint) as blocks from w
+), b as (
+  select doc_id, own, tokens, key, q.*, ('0x' || substr(key, 1, 8))::bigint % blocks as block from d join q using (source)
+), p as (
+  select *, cast(sum(tokens) over (partition by source order by block, key rows unbounded preceding) as bigint) as place from b
+)
+select doc_id, own as source, tokens as mix_tokens, round(weight, 8) as mix_weight, quota as mix_quota, block as mix_block, place as mix_place,
+  cast(case when total_s = 0 then 1 else quota // total_s + case when place <= quota % total_s and tokens > 0 then 1 else 0 end end as bigint) as mix_copies
+from p
+"""

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import decontamination, simhash, substring, token_counts
+from gridcast.llm import decontamination, mixing, simhash, substring, token_counts, topk, warc
 from gridcast.llm.common import pick
+from gridcast.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,7 +49,27 @@ def count_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def archive_pages(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc.write_pages(table(spark, sf, "pages"), path)
+    return warc.pages_of(warc.read_archives(spark, path, bodies=False))
+
+
+def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    docs = pick(table(spark, sf, "documents"), "doc_id", "text", "source")
+    mixed = mixing.mixture(docs)
+    return mixed.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 8).alias("mix_weight"), "mix_quota", "mix_block", "mix_place", "mix_copies")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_mix_sources": mix_sources,
+    "op4_top_k": top_k,
+    "op5_archive_pages": archive_pages,
     "op7_decontaminate": decontaminate,
     "op8_near_duplicates": near_duplicates,
     "op9_remove_repeats": remove_repeats,
