@@ -39,8 +39,9 @@ def exponent(sources: DataFrame, entropy: float | None = None, repetition: float
     of reach give the nearer end of the range; sources without tokens take no part; none at all, or a
     single one, give 1.
     """
-    shares = sources.where("tokens > 0").crossJoin(F.broadcast(sources.agg(F.sum("tokens").alias("all"))))
-    shares = staged(shares.select(F.log(F.col("tokens") / F.col("all")).alias("logp")), "mixing-shares")
+    everything = sources.agg(F.sum("tokens")).first()[0] or 0
+    shares = sources.where("tokens > 0").select(F.log(F.col("tokens") / F.lit(everything)).alias("logp"))
+    shares = staged(shares, "mixing-shares")
     n = shares.count()
     if n < 2:
         return 1.0
@@ -96,20 +97,19 @@ def mixture(docs: DataFrame, entropy: float | None = 0.95, repetition: float | N
     sources = staged(source_tokens(sized), "mixing-sources")
     a = exponent(sources, entropy, repetition, budget_ratio or 1.0)
 
-    # One row per source; the totals are one row.
-    total = sources.agg(F.sum("tokens").alias("all"))
-    power = F.when(F.col("tokens") > 0, F.exp(F.lit(a) * F.log(F.col("tokens") / F.col("all")))).otherwise(0.0)
-    powers = sources.crossJoin(F.broadcast(total)).withColumn("power", power)
-    norm = powers.agg(F.sum("power").alias("norm"), F.max(F.col("tokens") * 1.0 / F.nullif("power", F.lit(0.0))).alias("widest"))
-    budget = F.col("all") * F.lit(budget_ratio) if budget_ratio is not None else F.col("norm") * F.col("widest")
-    weight = F.col("power") / F.col("norm")
-    blocks = F.ceil(F.sqrt("docs")).cast("bigint")
-    plan = powers.crossJoin(F.broadcast(norm)).select(
+    everything = sources.agg(F.sum("tokens")).first()[0] or 0
+    power = F.when(F.col("tokens") > 0, F.exp(F.lit(a) * F.log(F.col("tokens") / F.lit(everything)))).otherwise(0.0)
+    powers = sources.withColumn("power", power)
+    norm, widest = powers.agg(F.sum("power"), F.max(F.col("tokens") / F.nullif("power", F.lit(0.0)))).first()
+    norm, widest = norm or 1.0, widest or 0.0
+    budget = everything * budget_ratio if budget_ratio is not None else norm * widest
+    weight = F.col("power") / F.lit(norm)
+    plan = powers.select(
         "source",
         F.col("tokens").alias("of"),
-        F.coalesce(weight, F.lit(0.0)).alias("mix_weight"),
-        F.coalesce(F.round(weight * budget), F.lit(0)).cast("bigint").alias("mix_quota"),
-        blocks.alias("blocks"),
+        weight.alias("mix_weight"),
+        F.round(weight * F.lit(float(budget))).cast("bigint").alias("mix_quota"),
+        F.ceil(F.sqrt("docs")).cast("bigint").alias("blocks"),
     )
     plan = staged(plan, "mixing-plan")
 
@@ -124,8 +124,8 @@ def mixture(docs: DataFrame, entropy: float | None = 0.95, repetition: float | N
     held = staged(held.select("source", "mix_block", before.alias("before")), "mixing-blocks")
     within = Window.partitionBy("source", "mix_block").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(held, ["source", "mix_block"]).withColumn("mix_place", F.col("before") + F.sum("mix_tokens").over(within))
-    left = F.expr("mix_quota % of")
-    copies = F.when(F.col("of") == 0, F.lit(1)).otherwise(F.expr("mix_quota div of") + ((F.col("mix_place") <= left) & (F.col("mix_tokens") > 0)).cast("bigint"))
+    left = F.expr("mix_quota % nullif(of, 0)")
+    copies = F.when(F.col("of") == 0, F.lit(1)).otherwise(F.expr("mix_quota div nullif(of, 0)") + ((F.col("mix_place") <= left) & (F.col("mix_tokens") > 0)).cast("bigint"))
     rows = rows.withColumn("mix_copies", F.coalesce(copies, F.lit(1)).cast("bigint"))
     kept = [i for i, n in enumerate(docs.columns) if n not in new]
     return rows.select(*[f"_in{i}" for i in kept], *new).toDF(*[docs.columns[i] for i in kept], *new)

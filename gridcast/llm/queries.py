@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import decontamination, mixing, simhash, substring, token_counts, topk, warc
+from gridcast.llm import decontamination, mixing, secrets, simhash, substring, token_counts, topk, warc
 from gridcast.llm.common import pick
 from gridcast.session import scratch_dir
 
@@ -66,10 +66,18 @@ def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 8).alias("mix_weight"), "mix_quota", "mix_block", "mix_place", "mix_copies")
 
 
+def scan_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.find_secrets(pick(table(spark, sf, "documents"), "doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{n}") for k, n in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": mix_sources,
     "op4_top_k": top_k,
     "op5_archive_pages": archive_pages,
+    "op6_scan_secrets": scan_secrets,
     "op7_decontaminate": decontaminate,
     "op8_near_duplicates": near_duplicates,
     "op9_remove_repeats": remove_repeats,
