@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from gridcast.llm.common import pick, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: The exponent is sought in [0, HIGHEST]; LEVELS halvings are settled in one pass over the sources.
-HIGHEST, LEVELS, PASSES = 8.0, 5, 8
+#: The exponent is sought in [0, HIGHEST], so weights are never steeper than shares; LEVELS halvings are settled in one pass over the sources.
+HIGHEST, LEVELS, PASSES = 1.0, 5, 8
 NO_SOURCE = "(none)"
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import decontamination, mixing, secrets, simhash, substring, token_counts, topk, warc
+from gridcast.llm import decontamination, mixing, quality, secrets, simhash, substring, token_counts, topk, toxicity, warc
 from gridcast.llm.common import pick
 from gridcast.session import scratch_dir
 
@@ -73,8 +73,18 @@ def scan_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
 
 
+def score_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def score_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": mix_sources,
+    "op2_quality": score_quality,
+    "op3_toxicity": score_toxicity,
     "op4_top_k": top_k,
     "op5_archive_pages": archive_pages,
     "op6_scan_secrets": scan_secrets,
