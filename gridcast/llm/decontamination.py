@@ -171,17 +171,23 @@ def contaminated(share: int = SHARE):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """Rows of docs that are not contaminated, with their columns as they are."""
-    found = find_contamination(docs, benchmark, window)
-    return found.where(~contaminated(share)).drop("n_words", "hits", "items")
+    found = find_contamination(_plain(docs), benchmark, window)
+    return found.where(~contaminated(share)).drop("n_words", "hits", "items").toDF(*docs.columns)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows of docs, the hit words cut out of text (null stays null)."""
-    found = find_contamination(docs, benchmark, window)
+    found = find_contamination(_plain(docs), benchmark, window)
     kinds = found.schema["text"].dataType.simpleString()
 
     @F.udf(kinds)
     def cut(text, hits):
         return strip(text, [(h["lo"], h["hi"]) for h in hits]) if hits and text is not None else text
 
-    return found.withColumn("text", cut("text", "hits")).drop("n_words", "hits", "items")
+    return found.withColumn("text", cut("text", "hits")).drop("n_words", "hits", "items").toDF(*docs.columns)
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with names, but for text, that clash with nothing."""
+    at = docs.columns.index("text")
+    return docs.toDF(*["text" if i == at else f"_kept{i}" for i in range(len(docs.columns))])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,9 +27,11 @@ LEAST_DOCUMENTS, LEAST_RATIO = 3, 0.2
 ORDER, DECAY = 3, 0.7
 SHORT, LONG, PART = 4, 24, 16
 #: Pairs of words that go through the kernel's recursion together.
-PAIRS = 4096
+PAIRS = 1024
 GAP = 2
-KNOWN = 500_000
+KNOWN = 100_000
+#: Texts whose tokens are looked up together.
+TEXTS = 512
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\S)(?:\w\W{1,2}){3,}\w(?!\w)")
@@ -165,22 +168,24 @@ class Lookup:
         self.landmarks, self.seen, self.like = landmarks, set(), {}
 
     def learn(self, new: set[str]) -> None:
-        new -= self.seen
         if len(self.seen) > KNOWN:
             self.seen, self.like = set(), {}
+        new -= self.seen
         words = sorted(new)
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
+        for lo in range(0, len(words), 5_000):
+            part = words[lo : lo + 5_000]
             found = self.landmarks.similarity([letters(w) for w in part])
             for i in np.flatnonzero(found.any(axis=1)).tolist():
                 self.like[part[i]] = found[i]
         self.seen.update(words)
 
-    def texts(self, column: pa.Array) -> list[str]:
-        """Texts of a batch, whose tokens are then known."""
-        out = [(t or b"").decode() for t in column.cast(pa.binary()).to_pylist()]
-        self.learn(set().union(*map(str.split, out)))
-        return out
+    def texts(self, column: pa.Array) -> Iterator[str]:
+        """Texts of a batch in turn; the tokens of the one in hand are known."""
+        column = column.cast(pa.binary())
+        for lo in range(0, len(column), TEXTS):
+            part = [(t or b"").decode() for t in column[lo : lo + TEXTS].to_pylist()]
+            self.learn(set().union(*map(str.split, part)))
+            yield from part
 
     def sentence(self, toks: list[str]) -> np.ndarray | None:
         """Best similarity to each landmark, None if there is none."""
@@ -254,9 +259,16 @@ def obfuscated(token: str) -> list[str]:
     return [token[:place] + extra + token[place:], token[:place] + token[place + 1 :]]
 
 
-def fit(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model | None:
-    """Fit on labelled (doc_id, text as bytes, label), of which at most `documents` rows are used; None if
-    a label or any toxic word is missing.
+def training_rows(rows: DataFrame, labels: DataFrame, learnable, documents: int) -> DataFrame:
+    """text and label of at most about `documents` rows (doc_id, text): those of the labelled ids that
+    `learnable` admits with the smallest keyed hash. The sample of ids is small enough to broadcast."""
+    ids = with_label(pick(labels, "doc_id").where("doc_id is not null").distinct(), labels, "toxic").where(learnable)
+    chosen = ids.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(documents)
+    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+
+
+def fit(labelled: DataFrame) -> Model | None:
+    """Fit on labelled (doc_id, text as bytes, label); None if a label or any toxic word is missing.
 
     Sentences of documents without the label are clean. Of a toxic document those sentences are toxic
     that hold a word close to a landmark; its other sentences could be either and are left out.
@@ -264,8 +276,7 @@ def fit(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model | None:
     weighted row of the support vector machine, which sees Nyström features: similarities to the
     landmarks, whitened by the landmarks' own kernel matrix.
     """
-    order = labelled.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(documents)
-    train = staged(order.select("doc_id", "text", "label"), "toxicity-train")
+    train = staged(labelled, "toxicity-train")
     words = choose_landmarks(train)
     if not words:
         return None
@@ -333,7 +344,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = pick(docs, "doc_id", "text").select("doc_id", utf8("text").alias("text"))
     out = fold("doc_id", folds) == held_out
-    model = fit(with_label(rows.where(~out), labels, "toxic"), documents)
+    model = fit(training_rows(rows, labels, ~out, documents))
     scored = scores(rows, 1, model).toDF("doc_id", "text", "score")
     done = scored.select(F.col("doc_id").cast(kind).alias("doc_id"), "score")
     return done.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -343,7 +354,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7, docume
     """Rows of docs, all columns, whose score is below `least`; learned from all labels of docs."""
     wide = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])
     train = pick(docs, "doc_id", "text").select("doc_id", utf8("text").alias("text"))
-    model = fit(with_label(train, labels, "toxic"), documents)
+    model = fit(training_rows(train, labels, F.lit(True), documents))
     scored = scores(wide, docs.columns.index("text"), model)
     return scored.where(F.col("score") < least).select(wide.columns).toDF(*docs.columns)
 
