@@ -89,14 +89,14 @@ def forecast_line(
     """ML26: per date 24 loads of every zone, then its peak hours, then its peak-day flags.
 
     ``zones`` numbers the zones from 1; with Z of them the line has 1 + 26 Z values. A value without
-    a forecast is ``missing``. ``float_format`` writes loads as ``855.0`` instead of ``855``.
+    a forecast is ``missing``, one with several is their mean. ``float_format`` writes loads as ``855.0`` instead of ``855``.
     """
     z = F.broadcast(zones.select(F.col("load_area").alias(region), F.col(zone_id).alias("_z")))
     n = zones.agg(F.max(zone_id)).scalar()
     load_type = "double" if float_format else "bigint"
 
     def slots(df: DataFrame, slot: Column, value: Column) -> DataFrame:
-        return df.join(z, region).select(date, slot.cast("int").alias("slot"), value.cast("string").alias("value"))
+        return df.join(z, region).select(date, slot.cast("int").alias("slot"), value.cast("double").alias("value"))
 
     known = (
         slots(hourly, (F.col("_z") - 1) * 24 + F.col("hour"), F.col("predicted_load").cast(load_type))
@@ -105,7 +105,7 @@ def forecast_line(
     )
     days = (hourly.select(date).distinct() if dates is None else dates.select(date).distinct())
     empty = days.select(
-        date, F.explode(F.sequence(F.lit(0), (n * 26 - 1).cast("int"))).alias("slot"), F.lit(None).cast("string").alias("value")
+        date, F.explode(F.sequence(F.lit(0), (n * 26 - 1).cast("int"))).alias("slot"), F.lit(None).cast("double").alias("value")
     )
     wanted = known.join(days, date, "left_semi") if dates is not None else known
     # One exchange on the date serves both aggregations; a date has 26 Z slots.
@@ -113,6 +113,9 @@ def forecast_line(
         wanted.unionByName(empty)
         .repartition(date)
         .groupBy(date, "slot")
-        .agg(F.coalesce(F.max("value"), F.lit(missing)).alias("value"))
+        .agg(F.avg("value").alias("value"))
     )
+    shown = F.when(F.col("slot") < n * 24, F.col("value").cast(load_type).cast("string"))
+    shown = shown.otherwise(F.col("value").cast("int").cast("string"))
+    filled = filled.select(date, "slot", F.coalesce(shown, F.lit(missing)).alias("value"))
     return join_values(filled, date)
