@@ -88,7 +88,7 @@ def mixture(docs: DataFrame, entropy: float | None = 0.95, repetition: float | N
     A null source is a source of its own (named NO_SOURCE); null and empty texts have no tokens and are
     read as often as the source is read whole, without end of quota; a source without any tokens is read
     once; equal rows are interchangeable and keep places of their own; an empty table gives no rows;
-    columns of docs named like a result column are replaced.
+    columns of docs named like a result column, in any case, are replaced.
     """
     new = ["mix_tokens", "mix_weight", "mix_quota", "mix_block", "mix_place", "mix_copies"]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
@@ -127,7 +127,7 @@ def mixture(docs: DataFrame, entropy: float | None = 0.95, repetition: float | N
     left = F.expr("mix_quota % nullif(of, 0)")
     copies = F.when(F.col("of") == 0, F.lit(1)).otherwise(F.expr("mix_quota div nullif(of, 0)") + ((F.col("mix_place") <= left) & (F.col("mix_tokens") > 0)).cast("bigint"))
     rows = rows.withColumn("mix_copies", F.coalesce(copies, F.lit(1)).cast("bigint"))
-    kept = [i for i, n in enumerate(docs.columns) if n not in new]
+    kept = [i for i, n in enumerate(docs.columns) if n.lower() not in new]
     return rows.select(*[f"_in{i}" for i in kept], *new).toDF(*[docs.columns[i] for i in kept], *new)
 
 

@@ -192,8 +192,11 @@ def joined(secrets: Column) -> Column:
 
 def redacted(docs: DataFrame, rate: float = FALSE_DISCOVERIES, mask: str = "[SECRET]") -> DataFrame:
     """Rows of docs with every secret in text replaced by a mask (overlapping ones by one); n_chars, where
-    docs has it, follows a changed text. Other columns, and rows without secrets, stay as they are."""
-    found = find_secrets(docs, rate)
+    docs has it, follows a changed text. Other columns, and rows without secrets, stay as they are, columns
+    named `secrets` or like `text` but for case included."""
+    names = docs.columns
+    at = names.index("text")
+    found = find_secrets(docs.toDF(*["text" if i == at else f"_kept{i}" for i in range(len(names))]), rate)
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -206,7 +209,8 @@ def redacted(docs: DataFrame, rate: float = FALSE_DISCOVERIES, mask: str = "[SEC
     clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step, rest)).otherwise(F.col("text"))
     out = found.withColumn("_clean", clean)
     changed = {"text": F.col("_clean")}
-    if "n_chars" in docs.columns:
-        kind = found.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.size("secrets") > 0, F.length("_clean").cast(kind)).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).drop("_clean", "secrets")
+    if "n_chars" in names:
+        size = f"_kept{names.index('n_chars')}"
+        kind = found.schema[size].dataType
+        changed[size] = F.when(F.size("secrets") > 0, F.length("_clean").cast(kind)).otherwise(F.col(size))
+    return out.withColumns(changed).drop("_clean", "secrets").toDF(*names)

@@ -155,3 +155,14 @@ def test_classifiers(spark, odd):
     close = marks.similarity(["idiot", "idxiot", "mo", "theon"])
     assert close[0, 0] == pytest.approx(1) and close[1, 0] > 0.5 and not close[2:].any()
     assert "idiot" in toxicity.tokens("you i d i o t there")
+
+
+def test_clashing_names_in_redaction_and_mixture(spark):
+    rows = [(1, "password = hunter22x9", "s", 21, "T", 5, 7), (2, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, TEXT string, Secrets int, MIX_COPIES int")
+    out = secrets.redacted(docs)
+    assert out.columns == docs.columns
+    got = {r[0]: tuple(r) for r in out.collect()}
+    assert got[1] == (1, "[SECRET]", "s", 8, "T", 5, 7) and got[2] == rows[1]
+    real = mixing.realised(mixing.mixture(docs, budget_ratio=None))
+    assert sorted(r[0] for r in real.collect()) == [1, 2] and "MIX_COPIES" not in real.columns
