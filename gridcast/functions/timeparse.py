@@ -28,6 +28,21 @@ GENERAL_FORMATS = (
     "M/d/yyyy H:mm:ss",
     "M/d/yyyy H:mm",
     "M/d/yyyy",
+    "M/d/yyyy h:mm a",
+    "MMM d, yyyy",
+    "MMM d, yyyy h:mm:ss a",
+    "MMM d, yyyy H:mm:ss",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+)
+# With a fraction of a second, which is kept.
+FRACTION_FORMATS = ("yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+# With an offset: these name an instant.
+OFFSET_FORMATS = (
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XX",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XX",
 )
 
 
@@ -37,13 +52,25 @@ def _epoch() -> Column:
 
 def parse_fixed_ts(c: Column | str, fmt: str = US_12H) -> Column:
     """text in one format to a wall clock; anything else is null."""
-    instant = F.try_to_timestamp(F.concat(as_col(c), F.lit(" +0000")), F.lit(fmt + " xx"))
-    return _shift(_epoch(), F.unix_seconds(instant))
+    return _shift(_epoch(), F.unix_seconds(_instant(c, fmt)))
+
+
+def _instant(c: Column | str, fmt: str) -> Column:
+    return F.try_to_timestamp(F.concat(as_col(c), F.lit(" +0000")), F.lit(fmt + " xx"))
+
+
+def _shift_micros(instant: Column) -> Column:
+    return _epoch() + F.expr("interval '0.000001' second") * F.unix_micros(instant)
 
 
-def parse_coalesced_ts(c: Column | str, first: str = US_12H, others: tuple[str, ...] = GENERAL_FORMATS) -> Column:
-    """the first format that fits, else null."""
-    return F.coalesce(*[parse_fixed_ts(c, f) for f in (first, *others)])
+def parse_coalesced_ts(
+    c: Column | str, first: str = US_12H, others: tuple[str, ...] = GENERAL_FORMATS, zone: str = LOCAL_ZONE
+) -> Column:
+    """the first format that fits, else null. A fraction of a second is kept; a text with an offset
+    names an instant and gives the wall clock of ``zone`` at that instant."""
+    fractions = [_shift_micros(_instant(c, f)) for f in FRACTION_FORMATS]
+    offsets = [utc_to_local(_shift(_epoch(), F.unix_seconds(F.try_to_timestamp(as_col(c), F.lit(f)))), zone) for f in OFFSET_FORMATS]
+    return F.coalesce(*[parse_fixed_ts(c, f) for f in (first, *others)], *fractions, *offsets)
 
 
 def _clock_seconds(w: Column) -> Column:

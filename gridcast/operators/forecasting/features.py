@@ -37,7 +37,7 @@ DAILY_FEATURES = (
 
 def hourly_features(
     df: DataFrame,
-    holidays: DataFrame,
+    holidays: DataFrame | None = None,
     ts: str = "datetime",
     region: str = "region",
     neighbours: str = "rows",
@@ -64,7 +64,7 @@ def hourly_features(
 
 def daily_features(
     df: DataFrame,
-    holidays: DataFrame,
+    holidays: DataFrame | None = None,
     load: str | None = "load",
     base: float = 65.0,
     hot: float = 85.0,

@@ -8,6 +8,10 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
 
+# Split candidates of a feature: enough for every day of a year in part and for fine weather values.
+BINS = 256
+
+
 @dataclass(frozen=True)
 class Method:
     """One way to solve a task. ``weights`` names how classes are weighted: none, balanced,
@@ -34,7 +38,7 @@ class Method:
         common = {"featuresCol": "features", "labelCol": label}
         if self.weights != "none":
             common["weightCol"] = "class_weight"
-        tree = {"maxDepth": self.depth, "minInstancesPerNode": self.min_leaf, "seed": self.seed, "maxMemoryInMB": 512}
+        tree = {"maxDepth": self.depth, "minInstancesPerNode": self.min_leaf, "seed": self.seed, "maxMemoryInMB": 512, "maxBins": BINS}
         if self.kind == "rf_regressor":
             return RandomForestRegressor(numTrees=self.trees, featureSubsetStrategy="all", **tree, **common)
         if self.kind == "gbt_regressor":

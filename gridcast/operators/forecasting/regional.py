@@ -15,16 +15,17 @@ from functools import reduce
 from pyspark.ml.base import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridcast.operators.aggregates import class_weights
 from gridcast.operators.evaluation import FN_COST, scaling_stats, standardize_by_region
 from gridcast.operators.forecasting.linear import fit_ols, interaction_frame, predict_ols
 from gridcast.operators.forecasting.methods import Method
-from gridcast.operators.relational import drop_null_subset
+from gridcast.operators.relational import broadcast_if_small, drop_null_subset
 from gridcast.session import scratch_dir
 
 MAX_REGIONS = 1_000
+NO_ROWS = "no complete training row"
 
 
 @dataclass
@@ -68,7 +69,7 @@ def collect_bounded(df: DataFrame, limit: int = MAX_REGIONS) -> list:
 
 def region_list(df: DataFrame, region: str = "region") -> list:
     """Sorted zones; one model each, so their number is checked."""
-    return sorted(r[0] for r in collect_bounded(df.select(region).distinct()))
+    return sorted(r[0] for r in collect_bounded(df.select(region).where(F.col(region).isNotNull()).distinct()))
 
 
 def class_weight_column(weights: str, label: str) -> Column:
@@ -95,8 +96,13 @@ def fit_regional(
     task: str,
     region: str = "region",
     parallel: int = 8,
+    on_error: str = "raise",
 ) -> RegionalModels:
-    """Fit ``method`` for every zone of ``train``. A zone whose fit fails is noted and left out."""
+    """Fit ``method`` for every zone of ``train``.
+
+    A fit that fails is an error; with ``on_error="skip"`` its zone is left out and noted in ``skipped``
+    with the reason. A zone without any complete row cannot be fitted and is always noted there.
+    """
     out = RegionalModels(task, method, list(features))
     if method.kind == "ols":
         frame, names = interaction_frame(train)
@@ -105,18 +111,22 @@ def fit_regional(
         path = scratch_dir(train.sparkSession, "ols")
         fit_ols(frame, names, label, region).write.parquet(path)
         out.table = train.sparkSession.read.parquet(path)
+        fitted = set(region_list(out.table, region))
+        out.skipped = {z: NO_ROWS for z in region_list(train, region) if z not in fitted}
         return out
 
     rows = drop_null_subset(train, [*features, label])
     balance = None
     if method.classifier:
         balance = class_weights(rows, label, [region], FN_COST)
-        out.info = {r[region]: {"scale_pos_weight": r["cost_pos_weight"]} for r in collect_bounded(balance)}
+        balance = _materialized(balance)
+        used = {"balanced": "balanced_pos", "pos": "pos_weight", "cost_pos": "cost_pos_weight"}.get(method.weights)
+        out.info = {r[region]: {"scale_pos_weight": r[used] if used else float(FN_COST)} for r in collect_bounded(balance)}
     if method.scaled:
         out.stats = _materialized(scaling_stats(rows, features, region))
         rows = standardize_by_region(rows, out.stats, features, region)
     if method.weights != "none":
-        rows = rows.join(balance, region).withColumn("class_weight", class_weight_column(method.weights, label))
+        rows = rows.join(broadcast_if_small(balance), region).withColumn("class_weight", class_weight_column(method.weights, label))
         rows = rows.select(region, *features, label, "class_weight")
     else:
         rows = rows.select(region, *features, label)
@@ -137,11 +147,20 @@ def fit_regional(
         error = f.exception()
         if error is None:
             out.models[z] = f.result()
-        else:
+        elif on_error == "skip":
             out.skipped[z] = str(error)
+        else:
+            raise RuntimeError(f"{method.name} of {task} could not be fitted for zone {z}") from error
+    out.skipped.update({z: NO_ROWS for z in region_list(train, region) if z not in fits})
     return out
 
 
+def skipped_table(fitted: Sequence[RegionalModels], spark: SparkSession) -> DataFrame:
+    """(task, method, region, reason) of the zones that have no model; a bounded number of rows."""
+    rows = [(m.task, m.method.name, str(z), why) for m in fitted for z, why in sorted(m.skipped.items())]
+    return spark.createDataFrame(rows, "task string, method string, region string, reason string")
+
+
 def _materialized(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession, "table")
     df.write.parquet(path)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridcast.functions.calendar import holiday_rule_observed
 from gridcast.operators.aggregates import first_by
 from gridcast.operators.relational import dedup_first
 
@@ -37,23 +38,24 @@ def join_load_weather(
     return _null_safe(load, load_hour).join(w, keys, "left").drop("_hour", "_no_hour")
 
 
-def join_holiday(df: DataFrame, holidays: DataFrame, date: str = "date") -> DataFrame:
+def join_holiday(df: DataFrame, holidays: DataFrame | None = None, date: str = "date") -> DataFrame:
     """Holiday name (null on other days) and flag.
 
-    ``holidays`` is a generated calendar with under 20 rows per year, a proven bound, so it is
-    broadcast and the facts do not move.
+    Without ``holidays`` the federal rules are applied to the date itself: any year, no join. A table
+    (date, holiday_name) of the caller is joined as Spark sees fit.
     """
-    h = holidays.select(F.col("date").alias("_hd"), "holiday_name")
-    return (
-        df.join(F.broadcast(h), F.col(date) == F.col("_hd"), "left")
-        .drop("_hd")
-        .withColumn("is_holiday", F.col("holiday_name").isNotNull().cast("int"))
-    )
+    if holidays is None:
+        out = df.withColumn("holiday_name", holiday_rule_observed(date))
+    else:
+        h = holidays.select(F.col("date").alias("_hd"), "holiday_name")
+        out = df.join(h, F.col(date) == F.col("_hd"), "left").drop("_hd")
+    return out.withColumn("is_holiday", F.col("holiday_name").isNotNull().cast("int"))
 
 
 def bounded_keys(df: DataFrame, key: str, max_keys: int = 100_000) -> Column:
     """Sorted distinct keys of a dimension as one array value; fails beyond ``max_keys``."""
-    keys = df.select(key).distinct().agg(F.sort_array(F.collect_list(key)).alias("k"))
+    # One key too many is enough to tell, so no more are gathered.
+    keys = df.select(key).distinct().limit(max_keys + 1).agg(F.sort_array(F.collect_list(key)).alias("k"))
     checked = F.when(F.size("k") <= max_keys, F.col("k")).otherwise(
         F.raise_error(F.lit(f"more than {max_keys} values of {key}: not a dimension"))
     )

@@ -51,8 +51,17 @@ def adjacent_holiday_flags(
     )
 
 
-def adjacent_calendar_days(df: DataFrame, holidays: DataFrame, date: str = "date") -> DataFrame:
-    """W2, calendar form: the day after / before the date is a holiday. Needs no exchange."""
+def adjacent_calendar_days(df: DataFrame, holidays: DataFrame | None = None, date: str = "date") -> DataFrame:
+    """W2, calendar form: the day after / before the date is a holiday. Without ``holidays`` by the federal
+    rules, without any exchange."""
+    if holidays is None:
+        rule = cal.holiday_rule_observed
+        return df.withColumns(
+            {
+                "is_day_before_holiday": cal.flag(rule(F.date_add(date, 1)).isNotNull()),
+                "is_day_after_holiday": cal.flag(rule(F.date_sub(date, 1)).isNotNull()),
+            }
+        )
     near = holidays.select("date").select(
         F.inline(
             F.array(
@@ -63,7 +72,7 @@ def adjacent_calendar_days(df: DataFrame, holidays: DataFrame, date: str = "date
     )
     near = near.groupBy("_nd").agg(F.max("b").alias("_b"), F.max("a").alias("_a"))
     return (
-        df.join(F.broadcast(near), F.col(date) == F.col("_nd"), "left")
+        df.join(near, F.col(date) == F.col("_nd"), "left")
         .withColumn("is_day_before_holiday", F.coalesce("_b", F.lit(0)))
         .withColumn("is_day_after_holiday", F.coalesce("_a", F.lit(0)))
         .drop("_nd", "_b", "_a")
@@ -79,19 +88,19 @@ def mark_peak_hour(
 ) -> DataFrame:
     """Flag the row of the daily maximum and repeat its hour on the day's rows (-1 if none).
 
-    ``order`` decides ties and identifies a row within its day. An aggregate and a join instead of a
-    window: the aggregate combines before the exchange and the join can be split when a day is large.
+    ``order`` decides ties and identifies a row within its day. One window over a zone's day, which
+    has at most 25 rows once repeated hours are gone (W1): one exchange, and the input is built once.
     """
     v = F.col(load)
     row = F.struct((-v).alias("v"), *[F.col(c) for c in order], F.col(hour).alias("_take"))
-    peak = df.groupBy(*keys).agg(F.min(F.when(v.isNotNull(), row)).alias("_peak"))
+    peak = F.min(F.when(v.isNotNull(), row)).over(Window.partitionBy(*keys))
     # Null on a day without any load.
     same = [F.col(c) == F.col(f"_peak.{c}") for c in order]
     hit = same[0]
     for s in same[1:]:
         hit = hit & s
     return (
-        df.join(peak, list(keys))
+        df.withColumn("_peak", peak)
         .withColumn("is_peak_hour", cal.flag(hit))
         .withColumn("peak_hour_actual", F.coalesce("_peak._take", F.lit(-1)))
         .drop("_peak")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridcast.functions.scalar import hour_label
 from gridcast.operators.joins import dense_grid
+from gridcast.operators.relational import broadcast_if_small
 
 
 def bounded_values(df: DataFrame, c: str, limit: int = 2_000) -> list:
@@ -89,14 +90,17 @@ def forecast_line(
     """ML26: per date 24 loads of every zone, then its peak hours, then its peak-day flags.
 
     ``zones`` numbers the zones from 1; with Z of them the line has 1 + 26 Z values. A value without
-    a forecast is ``missing``, one with several is their mean. ``float_format`` writes loads as ``855.0`` instead of ``855``.
+    a forecast is ``missing``, one with several is their mean. A forecast of a zone without a number is
+    an error. ``float_format`` writes loads as ``855.0`` instead of ``855``.
     """
-    z = F.broadcast(zones.select(F.col("load_area").alias(region), F.col(zone_id).alias("_z")))
+    z = broadcast_if_small(zones.select(F.col("load_area").alias(region), F.col(zone_id).alias("_z")))
     n = zones.agg(F.max(zone_id)).scalar()
     load_type = "double" if float_format else "bigint"
 
     def slots(df: DataFrame, slot: Column, value: Column) -> DataFrame:
-        return df.join(z, region).select(date, slot.cast("int").alias("slot"), value.cast("double").alias("value"))
+        unknown = F.raise_error(F.concat(F.lit("no number of zone "), F.coalesce(F.col(region).cast("string"), F.lit("null"))))
+        numbered = df.join(z, region, "left").withColumn("_z", F.coalesce("_z", unknown.cast("int")))
+        return numbered.select(date, slot.cast("int").alias("slot"), value.cast("double").alias("value"))
 
     known = (
         slots(hourly, (F.col("_z") - 1) * 24 + F.col("hour"), F.col("predicted_load").cast(load_type))

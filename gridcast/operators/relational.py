@@ -15,6 +15,12 @@ def filter_in_list(df: DataFrame, c: str, values: Sequence) -> DataFrame:
     return df.where(F.col(c).isin(*values))
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is. ``df`` is counted, so
+    it should be a written table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def semi_join_membership(df: DataFrame, members: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is in ``members``. The key set is made distinct first, so a key with many
     copies on the member side moves once."""

@@ -322,9 +322,10 @@ def dedup_report(spark, sf):
     return R.dedup_report(V.weather_obs(spark, sf), ["load_area", "wx_hour"])
 
 
-@query("join_load_weather", _MERGED, ("merged",))
+@query("join_load_weather", _MERGED.replace("merged", "merged_part"), ("merged_part",))
 def join_load_weather(spark, sf):
-    return V.merged(spark, sf)
+    # Without the weather rows of one flag, so that some hours have none.
+    return V.merged(spark, sf, without_flag="R")
 
 
 @query(
@@ -335,4 +336,4 @@ def join_load_weather(spark, sf):
 )
 def join_holiday(spark, sf):
     load = V.load_history(spark, sf).withColumn("date", F.to_date("ts_local"))
-    return J.join_holiday(load, dims.holiday_dimension(spark)).select("region", "ts_local", "holiday_name", "is_holiday")
+    return J.join_holiday(load).select("region", "ts_local", "holiday_name", "is_holiday")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from gridcast.functions import scalar as S
 from gridcast.operators import aggregates as A, evaluation as E, joins as J, labels as L, layout as LY, relational as R
@@ -58,7 +58,7 @@ def _rounded_sql(cols, trig):
 def _hourly(spark, sf):
     # The merged table is written before feature work, which reads it twice: once for the day sizes.
     frame = _staged(V.model_frame(spark, sf), "merged")
-    return hourly_features(frame, dims.holiday_dimension(spark))
+    return hourly_features(frame)
 
 
 @query(
@@ -98,7 +98,7 @@ _DAILY_SQL = f"""
 
 def _daily(spark, sf):
     df = V.model_frame(spark, sf).withColumn("date", F.to_date("datetime"))
-    return daily_features(df, dims.holiday_dimension(spark), base=BASE, hot=HOT, cold=COLD)
+    return daily_features(df, base=BASE, hot=HOT, cold=COLD)
 
 
 @query("daily_features", _DAILY_SQL, ("model_frame", "holidays"))
@@ -134,15 +134,24 @@ def temporal_split_query(spark, sf):
 
 def _predicted(spark, sf):
     """Two methods: the mean of the zone and hour, and the mean of the zone."""
-    load = _dated_load(spark, sf)
-    by_hour = load.groupBy("region", "hour").agg(S.round_half_even(F.avg("load")).cast("double").alias("predicted_load"))
-    by_zone = load.groupBy("region").agg(S.round_half_even(F.avg("load")).cast("double").alias("predicted_load"))
-    return R.union_batches(
-        [
-            R.tag_constant(load.join(by_hour, ["region", "hour"]), "method", "hour_mean"),
-            R.tag_constant(load.join(by_zone, ["region"]), "method", "zone_mean"),
-        ]
+    load = _staged(_dated_load(spark, sf), "dated-load")
+    # Means of zones come from the sums of their hours: one pass, and both are small enough to broadcast.
+    sums = load.groupBy("region", "hour").agg(F.sum("load").alias("s"), F.count("load").alias("n"))
+    zone = Window.partitionBy("region")
+    mean = lambda s, n: S.round_half_even(s / n).cast("double")
+    means = sums.select(
+        "region",
+        "hour",
+        F.array(
+            F.struct(F.lit("hour_mean").alias("method"), mean(F.col("s"), F.col("n")).alias("predicted_load")),
+            F.struct(
+                F.lit("zone_mean").alias("method"),
+                mean(F.sum("s").over(zone), F.sum("n").over(zone)).alias("predicted_load"),
+            ),
+        ).alias("_m"),
     )
+    means = R.broadcast_if_small(_staged(means, "means"))
+    return load.join(means, ["region", "hour"]).select(*load.columns, F.inline("_m"))
 
 
 _PREDICTED = """(
@@ -269,9 +278,9 @@ def tune_threshold(spark, sf):
     ("model_frame",),
 )
 def standardize_by_region(spark, sf):
-    df = V.model_frame(spark, sf).select("datetime", "region", "temperature", "humidity")
+    df = _staged(V.model_frame(spark, sf).select("datetime", "region", "temperature", "humidity"), "weather")
     cols, cut = ["temperature", "humidity"], _ts(TRAIN_END)
-    stats = E.scaling_stats(df.where(F.col("datetime") <= cut), cols)
+    stats = _staged(E.scaling_stats(df.where(F.col("datetime") <= cut), cols), "scaling")
     z = E.standardize_by_region(df.where(F.col("datetime") > cut), stats, cols)
     return z.select("datetime", "region", *[F.round(c, 8).alias(c) for c in cols])
 
@@ -357,6 +366,12 @@ query("peak_hour_rf")(_hour_trial("random_forest"))
 query("peak_hour_gbt")(_hour_trial("boosted_trees"))
 
 
+@query("compare_peak_hour_models")
+def compare_peak_hour_models(spark, sf):
+    s = _splits(spark, sf)
+    return C.compare_peak_hour_models(s["train"], s["test"], HOUR)
+
+
 @query("refit_best_peak_hour")
 def refit_best_peak_hour(spark, sf):
     s = _splits(spark, sf)
@@ -406,7 +421,7 @@ def compare_peak_day_models(spark, sf):
 def refit_best_peak_day(spark, sf):
     s = _day_splits(spark, sf)
     summary = _staged(C.compare_peak_day_models(s["train"], s["tune"], s["test"], DAY), "day-results")
-    fitted = C.refit_best_peak_day(summary, s["final_train"], s["tune"], DAY)
+    fitted = C.refit_best_peak_day(summary, s["train"], s["tune"], s["final_train"], DAY)
     return R.tag_constant(SC.score_peak_day(s["test"], fitted), "method", fitted.method.name)
 
 
@@ -451,14 +466,14 @@ def load_models_query(spark, sf):
 
 
 def _line_inputs(spark, sf):
-    load = _dated_load(spark, sf)
+    load = _staged(_dated_load(spark, sf), "dated-load")
     hourly = load.select(
         F.date_add("date", 1).alias("date"), "region", "hour", S.round_half_even("load").alias("predicted_load")
     )
     peak_hours = A.argmax_hour(hourly, ["date", "region"], "predicted_load")
     daily = load.groupBy("region", "date").agg(F.max("load").alias("load_max"))
-    top = daily.groupBy("region").agg(F.max("load_max").alias("m"))
-    peak_days = daily.join(top, "region").select(
+    top = _staged(daily.groupBy("region").agg(F.max("load_max").alias("m")), "top")
+    peak_days = daily.join(R.broadcast_if_small(top), "region").select(
         F.date_add("date", 1).alias("date"), "region", (F.col("load_max") * 2 >= F.col("m")).cast("int").alias("peak_day_pred")
     )
     zones = dims.zone_ordinal(V.table(spark, sf, "region").select(F.col("r_name").alias("load_area")))

@@ -425,7 +425,7 @@ def class_weights(spark, sf):
 )
 def adjacent_holiday_flags(spark, sf):
     df = V.profile_frame(spark, sf).select("region", "datetime", F.to_date("datetime").alias("date"))
-    df = J.join_holiday(df, dims.holiday_dimension(spark))
+    df = J.join_holiday(df)
     return L.adjacent_holiday_flags(df).select(
         "region", "datetime", "is_holiday", "is_day_before_holiday", "is_day_after_holiday"
     )
@@ -441,7 +441,7 @@ def adjacent_holiday_flags(spark, sf):
 )
 def adjacent_calendar_days(spark, sf):
     df = _dated_load(spark, sf).select("region", "ts_local", "date")
-    return L.adjacent_calendar_days(df, dims.holiday_dimension(spark)).drop("date")
+    return L.adjacent_calendar_days(df).drop("date")
 
 
 @query(
@@ -570,7 +570,7 @@ def degree_days(spark, sf):
     ("load_history", "holidays"),
 )
 def holiday_flags(spark, sf):
-    df = J.join_holiday(_dated_load(spark, sf), dims.holiday_dimension(spark))
+    df = J.join_holiday(_dated_load(spark, sf))
     return df.select("region", "ts_local", *[c.alias(n) for n, c in cal.holiday_name_flags("holiday_name").items()])
 
 

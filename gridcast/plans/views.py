@@ -89,10 +89,12 @@ def weather_history(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def merged(spark: SparkSession, sf: str) -> DataFrame:
-    """Load with weather (weather rows with return flag R are left out, so some hours have none)."""
+def merged(spark: SparkSession, sf: str, without_flag: str | None = None) -> DataFrame:
+    """Load with weather. Without the weather rows of one return flag some hours have none."""
     load = load_history(spark, sf).withColumn("dt", localize_or_null("ts_local"))
-    wx = weather_history(spark, sf).where(F.col("l_returnflag") != "R")
+    wx = weather_history(spark, sf)
+    if without_flag is not None:
+        wx = wx.where(F.col("l_returnflag") != without_flag)
     wx = wx.withColumn("wx", localize_or_null("ts_local"))
     out = join_load_weather(
         load, wx, [F.col(c) for c in WEATHER_ORDER], "region", "dt", "wx",
@@ -141,6 +143,21 @@ _ZONED = """from lineitem join supplier on l_suppkey = s_suppkey
             join nation on s_nationkey = n_nationkey join region r on n_regionkey = r_regionkey"""
 _TS = "l_shipdate + to_hours(cast((l_orderkey * 7 + l_linenumber) % 24 as int))"
 
+def _merged_sql(which: str) -> str:
+    missing = _DST.format(t="ts_local")
+    return f"""
+    select a.region, a.ts_local, a.dt, a.load as mw, w.temp, w.humidity, w.dew_point, w.precip, w.wind
+    from (select *, case when {missing} then null else ts_local end as dt from load_history) a
+    left join (
+      select * from (
+        select *, row_number() over (partition by region, wx order by
+                 l_orderkey, l_linenumber, l_partkey, l_suppkey, temp, wind) as rn
+        from (select *, case when {missing} then null else ts_local end as wx
+              from weather_history {which}))
+      where rn = 1) w
+    on a.region = w.region and a.dt is not distinct from w.wx"""
+
+
 # View name -> (views it needs, SQL). New York rules of the years in the tables: the hour 2 is missing
 # on the first Sunday of April, the hour 1 comes twice on the last Sunday of October.
 VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
@@ -165,17 +182,8 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                round(l_tax * 100) as precip,
                cast(cast(round(l_extendedprice * 100) as bigint) // 100000 as double) as wind
         {_ZONED}"""),
-    "merged": (("load_history", "weather_history"), f"""
-        select a.region, a.ts_local, a.dt, a.load as mw, w.temp, w.humidity, w.dew_point, w.precip, w.wind
-        from (select *, case when {_DST.format(t="ts_local")} then null else ts_local end as dt from load_history) a
-        left join (
-          select * from (
-            select *, row_number() over (partition by region, wx order by
-                     l_orderkey, l_linenumber, l_partkey, l_suppkey, temp, wind) as rn
-            from (select *, case when {_DST.format(t="ts_local")} then null else ts_local end as wx
-                  from weather_history where l_returnflag <> 'R'))
-          where rn = 1) w
-        on a.region = w.region and a.dt is not distinct from w.wx"""),
+    "merged": (("load_history", "weather_history"), _merged_sql("")),
+    "merged_part": (("load_history", "weather_history"), _merged_sql("where l_returnflag <> 'R'")),
     "profile_frame": (("merged",), """
         select region, dt as datetime, mw, temp, humidity, dew_point, precip, wind,
                cast(year(dt) as int) as year, cast(month(dt) as int) as month, cast(hour(dt) as int) as hour,

@@ -1,6 +1,7 @@
 """Session helpers.
 
-On a cluster the caller owns the session; nothing here changes its settings.
+On a cluster the caller owns the session and nothing here changes its settings. A local session that
+names no shared folder gets one, as the checkpoint folder of its context too.
 """
 
 from __future__ import annotations
@@ -43,4 +44,6 @@ def scratch_dir(spark: SparkSession, purpose: str = "stage") -> str:
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="gridcast-")
         spark.conf.set(CHECKPOINT_CONF, base)
+        # Boosted trees cut their lineage in the context's folder.
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

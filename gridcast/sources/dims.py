@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridcast.functions.calendar import holiday_rule, holiday_rule_observed
 from gridcast.functions.timeparse import month_end
@@ -40,6 +40,8 @@ ZONES = (
     ("VMEU", 37.30, -76.00),
 )
 ZONE_NAMES = tuple(z[0] for z in ZONES)
+# Most rows that a zone dimension may have.
+MAX_ZONES = 100_000
 
 
 def default_zones(spark: SparkSession) -> DataFrame:
@@ -49,9 +51,17 @@ def default_zones(spark: SparkSession) -> DataFrame:
 def zone_ordinal(zones: DataFrame, name: str = "load_area", as_name: str = "zone_id") -> DataFrame:
     """SRC5, W6: number the rows of a zone dimension by name; the number is the output slot.
 
-    For dimensions only, one row per zone; facts get the number by a join.
+    For dimensions only, one row per zone; facts get the number by a join. More than MAX_ZONES rows
+    are an error, found before any more are gathered.
     """
-    return zones.withColumn(as_name, F.row_number().over(Window.orderBy(name)))
+    rest = [c for c in zones.columns if c != name]
+    all_rows = F.sort_array(F.collect_list(F.struct(name, *rest)))
+    gathered = zones.limit(MAX_ZONES + 1).agg(all_rows.alias("z"))
+    checked = F.when(F.size("z") <= MAX_ZONES, F.col("z")).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_ZONES} rows: not a zone dimension"))
+    )
+    numbered = gathered.select(F.posexplode(checked).alias("_at", "_zone"))
+    return numbered.select(*[F.col(f"_zone.{c}").alias(c) for c in zones.columns], (F.col("_at") + 1).alias(as_name))
 
 
 def _holidays(days: DataFrame, observed: bool) -> DataFrame:

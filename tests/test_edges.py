@@ -261,3 +261,39 @@ def test_scan_and_join_sizes_are_checked(spark):
     with pytest.raises(ValueError):
         LY.bounded_values(df, "c", limit=10)
     assert LY.bounded_values(df, "c", limit=20) == list(range(20))
+
+
+def test_general_times_with_fraction_offset_and_month_names(spark):
+    wanted = {
+        "2016-01-02 05:06:07.123": "2016-01-02 05:06:07.123",
+        "2016-01-02T05:06:07Z": "2016-01-02 00:06:07",
+        "2016-07-02 05:06:07+00:00": "2016-07-02 01:06:07",
+        "1/2/2016 5:06 PM": "2016-01-02 17:06:00",
+        "Jan 2, 2016": "2016-01-02 00:00:00",
+        "2016-13-02": None,
+    }
+    df = spark.createDataFrame([(t,) for t in wanted], "t string")
+    got = df.select("t", tp.parse_coalesced_ts("t").cast("string").alias("r")).collect()
+    assert {r["t"]: r["r"] for r in got} == wanted
+
+
+def test_holidays_of_any_year(spark):
+    df = spark.sql("select explode(array(date'1899-12-25', date'2101-12-25', date'2101-12-26', null)) as date")
+    got = J.join_holiday(df).orderBy(F.col("date").asc_nulls_last()).collect()
+    assert [r["is_holiday"] for r in got] == [1, 1, 1, 0]  # 2101-12-25 is a Sunday, observed on the 26th
+
+
+def test_forecast_of_an_unknown_zone_is_an_error(spark):
+    hourly = spark.sql("select date'2020-01-01' as date, explode(array('A', 'B')) as region, 0 as hour, 5 as predicted_load")
+    hours = spark.sql("select date'2020-01-01' as date, 'A' as region, 0 as peak_hour")
+    days = spark.sql("select date'2020-01-01' as date, 'A' as region, 1 as peak_day_pred")
+    zones = spark.sql("select 'A' as load_area, 1 as zone_id")
+    with pytest.raises(Exception, match="no number of zone B"):
+        LY.forecast_line(hourly, hours, days, zones).collect()
+    assert LY.forecast_line(hourly.where("region = 'A'"), hours, days, zones).count() == 1
+
+
+def test_too_many_zones_fail_before_they_are_gathered(spark):
+    zones = spark.range(50).select(F.col("id").cast("string").alias("z"))
+    with pytest.raises(Exception, match="not a dimension"):
+        zones.limit(1).select(J.bounded_keys(zones, "z", max_keys=20)).collect()

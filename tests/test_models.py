@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridcast.operators.evaluation import regression_metrics
 from gridcast.operators.forecasting import linear as LIN, methods as M, regional as RG
-from gridcast.operators.forecasting.compare import fit_peak_day, classify_peak_day
+from gridcast.operators.forecasting.compare import classify_peak_day, common_zones, fit_peak_day
 from gridcast.sources.registry import load_models, read_registry, save_models
 
 
@@ -73,3 +73,26 @@ def test_classifier_save_and_load(spark, frame, tmp_path):
 def test_defaults_are_the_documented_ones():
     assert (M.LOAD_METHODS["random_forest"].trees, M.LOAD_METHODS["random_forest"].depth) == (100, 20)
     assert (M.PEAK_DAY_METHODS["boosted_trees"].trees, M.PEAK_DAY_METHODS["boosted_trees"].step) == (200, 0.05)
+
+
+def test_zone_without_a_complete_row_is_reported(spark, frame):
+    df, _ = frame
+    gone = df.withColumn("load", F.when(F.col("region") == "a", F.col("load")))
+    m = M.smaller(M.LOAD_METHODS, 2, 2)["random_forest"]
+    fitted = RG.fit_regional(gone, m, ["x"], "load", "t")
+    assert sorted(fitted.models) == ["a"] and list(fitted.skipped) == ["b"]
+    assert RG.skipped_table([fitted], spark).collect()[0]["region"] == "b"
+
+
+def test_failed_fit_is_an_error_unless_told_otherwise(spark, frame):
+    df, _ = frame
+    m = M.smaller(M.LOAD_METHODS, 2, 2)["random_forest"].with_(min_leaf=-1)
+    with pytest.raises(RuntimeError, match="zone a"):
+        RG.fit_regional(df, m, ["x"], "load", "t")
+    assert sorted(RG.fit_regional(df, m, ["x"], "load", "t", on_error="skip").skipped) == ["a", "b"]
+
+
+def test_means_compare_zones_that_all_methods_have(spark):
+    rows = [("a", "m1", 5.0), ("a", "m2", 4.0), ("b", "m2", 90.0)]
+    res = spark.createDataFrame(rows, "region string, method string, rmse double")
+    assert {r["region"] for r in common_zones(res).collect()} == {"a"}
