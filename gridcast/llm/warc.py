@@ -19,6 +19,8 @@ REVISIT_BYTES = 1000
 #: A payload is common if more than one in COMMON rows has it; at most COMMON payloads are.
 COMMON = 1000
 DATE = "2020-01-01T00:00:00Z"
+#: Bytes of an archive that are decompressed at a time.
+PIECE = 16 << 10
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]+\.[0-9]+\r?\n")
@@ -104,13 +106,19 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str,
 def _record_at(data: bytes, at: int) -> tuple[int, tuple[dict[str, str], bytes] | None]:
     if data.startswith(_MAGIC, at):
         unzip = zlib.decompressobj(wbits=31)
+        parts, end = [], at
         try:
-            plain = unzip.decompress(memoryview(data)[at:])
+            # Piece by piece: what lies behind a member is copied, so it must not be the rest of the archive.
+            while not unzip.eof and end < len(data):
+                piece = data[end : end + PIECE]
+                parts.append(unzip.decompress(piece))
+                end += len(piece)
         except zlib.error as e:
             raise ValueError(f"gzip: {e}") from None
         if not unzip.eof:
             raise ValueError("gzip: member is cut off")
-        end = len(data) - len(unzip.unused_data)
+        end -= len(unzip.unused_data)
+        plain = b"".join(parts)
         if not plain:
             return end, None
         size, found = _plain_record(plain, 0)

@@ -113,6 +113,16 @@ def test_salvage():
     assert sum(f[2] - f[1] for f in found) == len(data)
 
 
+def test_salvage_of_members_longer_than_a_piece():
+    rng = random.Random(2)
+    bodies = [rng.randbytes(size) for size in (0, 1, warc.PIECE - 300, 3 * warc.PIECE, 5)]
+    parts = [warc.page_record(i, None, b) for i, b in enumerate(bodies)]
+    cut = parts[3][: 2 * warc.PIECE]
+    found = list(warc.salvage(b"".join(parts) + cut + parts[1]))
+    assert [f[4].partition(b"\r\n\r\n")[2] for f in found if f[0] == "record"] == [*bodies, bodies[1]]
+    assert [f[2] - f[1] for f in found if f[0] == "gap"] == [len(cut)]
+
+
 def test_secrets(spark, odd):
     rng = random.Random(1)
     keys = ["".join(rng.choice(secrets.ALPHABETS["base64_url"]) for _ in range(60)) + "9aZ" for _ in range(40)]
