@@ -30,7 +30,15 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.lists = np.argsort(self.vectors, axis=0, kind="stable")
+        self.lists = np.argsort(self.vectors, axis=0, kind="stable").astype(np.int32)
+        self.floats, self.largest = self.vectors.astype(float), _largest(vectors)
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products with some of the vectors: in floating point only where every sum stays below
+        2 ** 53, so that it is exact."""
+        if self.largest * _largest(query) * len(query) < 1 << 53:
+            return (self.floats[rows] @ query.astype(float)).astype(np.int64)
+        return self.vectors[rows] @ query
 
     def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """(score, vec_id) of the k best, without the query itself.
@@ -38,31 +46,39 @@ class SortedLists:
         The lists of all dimensions with a non-zero weight are read in step, from the high end for a
         positive weight and from the low end for a negative one. What was not seen yet scores at most the
         sum of weight times component at the depth reached; the search stops when that is below the kth
-        score (at a tie an unseen vector with a smaller id could still win).
+        score (at a tie an unseen vector with a smaller id could still win), or when all were seen.
         """
         n = len(self.ids)
-        dims = np.flatnonzero(query)
-        weights = query[dims]
-        lists = np.where(weights > 0, self.lists[::-1, dims], self.lists[:, dims]) if len(dims) else self.lists[:, :1]
+        high, low = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = np.zeros(n, bool)
         best: list[tuple[int, int]] = []
         depth, step = 0, 4 * k
-        while depth < n:
-            new = np.unique(lists[depth : depth + step])
-            new = new[~seen[new]]
-            seen[new] = True
-            depth = min(n, depth + step)
+        while depth < n and not seen.all():
+            end = min(n, depth + step)
+            reached = np.full(n, not len(high) and not len(low))
+            reached[self.lists[n - end : n - depth, high]] = True
+            reached[self.lists[depth:end, low]] = True
+            new = np.flatnonzero(reached & ~seen)
+            seen |= reached
+            depth = end
             step *= 2
-            scores = self.vectors[new] @ query
+            scores = self.scores(new, query)
             mine = self.ids[new] != own
             best = _best([*best, *_first(scores[mine], self.ids[new][mine], k)], k)
-            if len(best) == k and len(dims):
-                bound = int((self.vectors[lists[depth - 1], dims] * weights).sum())
+            if len(best) == k:
+                bound = sum(
+                    int(self.vectors[self.lists[at, dims], dims] @ query[dims])
+                    for at, dims in ((n - depth, high), (depth - 1, low))
+                )
                 if bound < best[-1][0]:
                     break
         return best
 
 
+def _largest(values: np.ndarray) -> int:
+    return max(abs(int(values.min(initial=0))), abs(int(values.max(initial=0))))
+
+
 def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
     if len(scores) > k:
         least = -np.partition(-scores, k - 1)[k - 1]

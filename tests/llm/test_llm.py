@@ -99,6 +99,18 @@ def test_top_k(spark):
     assert [(r.vec_id, r.v) for r in topk.integer_vectors(odd).collect()] == [(4, [512])]
 
 
+def test_sorted_lists():
+    rng = np.random.default_rng(3)
+    for largest, width in ((3, 1), (40, 5), (1024, 64), (1 << 28, 3)):
+        v = rng.integers(-largest, largest + 1, (500, width))
+        v[::7], v[5] = v[3], 0
+        lists = topk.SortedLists(np.arange(500)[::-1], v[::-1])
+        for q in (0, 3, 5, 7, 499):
+            want = sorted((-int(sum(int(a) * int(b) for a, b in zip(v[q], v[i]))), i) for i in range(500) if i != q)[:10]
+            assert lists.top(v[q], q, 10) == [(-s, i) for s, i in want]
+    assert topk.SortedLists(np.array([1, 2]), np.ones((2, 3), np.int64)).top(np.ones(3, np.int64), 1, 10) == [(3, 2)]
+
+
 def test_salvage():
     parts = [warc.page_record(i, f"http://x/{i}", b"<p>%d</p>" % i * 200) for i in range(5)]
     plain = warc.record("response", [("WARC-Record-ID", "<urn:page:9>")], b"body")
