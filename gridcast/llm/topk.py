@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from gridcast.llm.common import pick
 
 #: Vectors whose sorted lists one task holds, and queries that meet them in one task.
-BLOCK, QUERIES = 8192, 2048
+BLOCK, QUERIES = 8192, 8192
 SCALE = 1024
 
 
