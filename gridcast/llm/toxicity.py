@@ -168,8 +168,6 @@ class Lookup:
         self.landmarks, self.seen, self.like = landmarks, set(), {}
 
     def learn(self, new: set[str]) -> None:
-        if len(self.seen) > KNOWN:
-            self.seen, self.like = set(), {}
         new -= self.seen
         words = sorted(new)
         for lo in range(0, len(words), 5_000):
@@ -180,9 +178,12 @@ class Lookup:
         self.seen.update(words)
 
     def texts(self, column: pa.Array) -> Iterator[str]:
-        """Texts of a batch in turn; the tokens of the one in hand are known."""
+        """Texts of a batch in turn; the tokens of the one in hand are known. Only here, where no text is in
+        hand, are known tokens forgotten."""
         column = column.cast(pa.binary())
         for lo in range(0, len(column), TEXTS):
+            if len(self.seen) > KNOWN:
+                self.seen, self.like = set(), {}
             part = [(t or b"").decode() for t in column[lo : lo + TEXTS].to_pylist()]
             self.learn(set().union(*map(str.split, part)))
             yield from part

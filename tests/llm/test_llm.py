@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from gridcast.llm import decontamination, mixing, quality, secrets, simhash, substring, token_counts, topk, toxicity, warc
@@ -188,3 +189,20 @@ def test_clashing_names_in_redaction_and_mixture(spark):
     assert got[1] == (1, "[SECRET]", "s", 8, "T", 5, 7) and got[2] == rows[1]
     real = mixing.realised(mixing.mixture(docs, budget_ratio=None))
     assert sorted(r[0] for r in real.collect()) == [1, 2] and "MIX_COPIES" not in real.columns
+
+
+def test_toxic_tokens_stay_known_within_a_part(monkeypatch):
+    marks = toxicity.Landmarks(["idiot", "moron"])
+    texts = ["you i d i o t there", *(f"w{i} plain words" for i in range(50)), "you idiot", None, "what a mor0n", "an i.d.i.o.t indeed", "idiots"]
+    column = pa.array([t and t.encode() for t in texts], pa.binary())
+
+    def found():
+        lookup = toxicity.Lookup(marks)
+        return [[(s, v.tolist()) for s, v in lookup.document(t)] for t in lookup.texts(column)]
+
+    want = found()
+    assert [bool(w) for w in want] == [True, *[False] * 50, True, False, True, True, True]
+    monkeypatch.setattr(toxicity, "KNOWN", 10)
+    for size in (512, 3):
+        monkeypatch.setattr(toxicity, "TEXTS", size)
+        assert found() == want
