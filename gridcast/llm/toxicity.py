@@ -1,16 +1,19 @@
-"""Toxicity: a support vector machine on a gap-tolerant subsequence kernel with Nyström landmarks."""
+"""Toxicity: a support vector machine on a gap-tolerant subsequence kernel with a learned lexicon."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +22,13 @@ from gridcast.llm.labelled import fold, with_label
 
 #: Labelled documents that are learned from, at most: those with the smallest keyed hash of their id.
 TRAIN_DOCUMENTS = 20_000
-#: Landmarks: words that tell toxic documents apart.
-LANDMARKS = 24
-#: A landmark is in at least this many toxic documents and has this part of the best word's
-#: log-likelihood ratio.
-LEAST_DOCUMENTS, LEAST_RATIO = 3, 0.2
+#: Landmarks are all words that tell toxic documents apart: the chance that any of the tested words passes
+#: without doing so is at most this.
+SIGNIFICANCE = 0.01
+#: A word in fewer documents is not tested.
+LEAST_DOCUMENTS = 3
 ORDER, DECAY = 3, 0.7
-SHORT, LONG, PART = 4, 24, 16
+LONG, PART = 24, 16
 #: Pairs of words that go through the kernel's recursion together.
 PAIRS = 1024
 GAP = 2
@@ -115,39 +118,60 @@ class Landmarks:
         self.near = [_near(w) for w in self.words]
 
     def similarity(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel of each word with each landmark. A word counts as unlike a landmark (0) unless it
-        holds the landmark's letters, all but one at most, in order with up to GAP others between two;
-        words longer than LONG letters are the best of their parts."""
+        """Normalised kernel of each word with each landmark, see `alike`."""
         out = np.zeros((len(words), len(self.words)))
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            cut = [w] if len(w) <= LONG else [w[k : k + LONG] for k in range(0, len(w) - LONG + PART, PART // 2)]
-            parts += cut
-            owner += [i] * len(cut)
-        counts = letter_counts(parts)
-        pairs = []
-        for j, c in enumerate(self.counts.T):
-            at = np.flatnonzero(c)
-            lacking = np.zeros(len(parts), np.int16)
-            for k in at:
-                lacking += np.maximum(c[k] - counts[k], 0)
-            near = self.near[j]
-            pairs += [(i, j) for i in np.flatnonzero(lacking <= 1).tolist() if near(parts[i])]
-        if not pairs:
-            return out
-        used = sorted({i for i, _ in pairs})
-        own = dict(zip(used, kernel([parts[i] for i in used], [parts[i] for i in used]), strict=True))
-        both = kernel([parts[i] for i, _ in pairs], [self.words[j] for _, j in pairs])
-        for (i, j), k in zip(pairs, both.tolist(), strict=True):
-            norm = np.sqrt(own[i] * self.own[j])
-            if norm > 0:
-                out[owner[i], j] = max(out[owner[i], j], k / norm)
+        for row, (at, values) in zip(out, self.alike(words), strict=True):
+            row[at] = values
         return out
 
+    def alike(self, words: list[str]) -> list[Sparse]:
+        """Landmarks that each word is like, and its normalised kernels with them. A word counts as unlike a
+        landmark (0) unless it holds the landmark's letters, all but one at most, in order with up to GAP
+        others between two; words longer than LONG letters are the best of their parts."""
+        cut = [pieces(w) for w in words]
+        parts = [p for c in cut for p in c]
+        owner = [i for i, c in enumerate(cut) for _ in c]
+        pairs = []
+        for lo in range(0, len(parts), 1_000):
+            counts = letter_counts(parts[lo : lo + 1_000])
+            lacking = np.zeros((self.counts.shape[1], counts.shape[1]), np.int8)
+            for mine, theirs in zip(self.counts, counts, strict=True):
+                at = np.flatnonzero(mine)
+                lacking[at] += np.maximum(mine[at, None] - theirs, 0)
+            for j, i in zip(*(x.tolist() for x in np.nonzero(lacking <= 1)), strict=True):
+                if self.near[j](parts[lo + i]):
+                    pairs.append((lo + i, j))
+        found = [{} for _ in words]
+        if pairs:
+            used = sorted({i for i, _ in pairs})
+            own = dict(zip(used, kernel([parts[i] for i in used], [parts[i] for i in used]), strict=True))
+            both = kernel([parts[i] for i, _ in pairs], [self.words[j] for _, j in pairs])
+            for (i, j), k in zip(pairs, both.tolist(), strict=True):
+                norm = np.sqrt(own[i] * self.own[j])
+                if k > 0:
+                    best = found[owner[i]]
+                    best[j] = max(best.get(j, 0.0), k / norm)
+        return [sparse(f) for f in found]
+
+
+#: Numbers of landmarks in order, and similarities to them.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(found: dict[int, float]) -> Sparse:
+    at = sorted(found)
+    return np.array(at, np.int32), np.array([found[j] for j in at], np.float64)
+
+
+def pieces(word: str) -> list[str]:
+    """The word, or overlapping parts of one longer than LONG letters."""
+    return [word] if len(word) <= LONG else [word[k : k + LONG] for k in range(0, len(word) - LONG + PART, PART // 2)]
+
 
 def _near(word: str):
     gap = f".{{0,{GAP}}}"
-    ways = [word, *(word[:k] + word[k + 1 :] for k in range(len(word)))]
+    # A word with a letter less than the kernel's order has none of the subsequences that it counts.
+    ways = [word, *(word[:k] + word[k + 1 :] for k in range(len(word)) if len(word) > ORDER)]
     return re.compile("|".join(gap.join(map(re.escape, w)) for w in dict.fromkeys(ways))).search
 
 
@@ -158,7 +182,7 @@ def letter_counts(words: list[str]) -> np.ndarray:
     owner = np.repeat(np.arange(len(words)), sizes)
     ok = (codes >= 0) & (codes < 26)
     flat = np.bincount(owner[ok] * 26 + codes[ok], minlength=26 * len(words))
-    return np.ascontiguousarray(flat.reshape(len(words), 26).astype(np.int16).T)
+    return np.ascontiguousarray(flat.reshape(len(words), 26).astype(np.int8).T)
 
 
 class Lookup:
@@ -172,9 +196,9 @@ class Lookup:
         words = sorted(new)
         for lo in range(0, len(words), 5_000):
             part = words[lo : lo + 5_000]
-            found = self.landmarks.similarity([letters(w) for w in part])
-            for i in np.flatnonzero(found.any(axis=1)).tolist():
-                self.like[part[i]] = found[i]
+            for w, found in zip(part, self.landmarks.alike([letters(w) for w in part]), strict=True):
+                if len(found[0]):
+                    self.like[w] = found
         self.seen.update(words)
 
     def texts(self, column: pa.Array) -> Iterator[str]:
@@ -188,12 +212,17 @@ class Lookup:
             self.learn(set().union(*map(str.split, part)))
             yield from part
 
-    def sentence(self, toks: list[str]) -> np.ndarray | None:
+    def sentence(self, toks: list[str]) -> Sparse | None:
         """Best similarity to each landmark, None if there is none."""
-        held = [self.like[t] for t in toks if t in self.like]
-        return np.max(held, axis=0) if held else None
-
-    def document(self, text: str) -> list[tuple[str, np.ndarray]]:
+        held = [self.like[t] for t in set(toks) if t in self.like]
+        if len(held) < 2:
+            return held[0] if held else None
+        at, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        best = np.zeros(len(at))
+        np.maximum.at(best, place, np.concatenate([h[1] for h in held]))
+        return at, best
+
+    def document(self, text: str) -> list[tuple[str, Sparse]]:
         """Sentences that hold a token like some landmark, with their similarities, of a text from `texts`."""
         spaced = _SPACED.search(text)
         if not spaced and self.like.keys().isdisjoint(text.split()):
@@ -220,8 +249,8 @@ class Model:
     slope: float = 2.0
     offset: float = 0.0
 
-    def decision(self, found: list[tuple[str, np.ndarray]]) -> float:
-        return max([self.bias, *(float(v @ self.weights) + self.bias for _, v in found)])
+    def decision(self, found: list[tuple[str, Sparse]]) -> float:
+        return max([self.bias, *(float(v @ self.weights[at]) + self.bias for _, (at, v) in found)])
 
     def score(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * decision + self.offset)))
@@ -230,27 +259,32 @@ class Model:
 # ---------------------------------------------------------------- training
 
 
-def choose_landmarks(train: DataFrame) -> list[str]:
-    """Words with the highest log-likelihood ratios for toxic documents, from train (text as bytes, label)."""
+def choose_landmarks(train: DataFrame) -> dict[str, float]:
+    """Words whose log-likelihood ratio for toxic documents is significant, from train (text as bytes,
+    label): the level is divided by the number of tested words, and no word is measured by another. Words
+    of fewer letters than the kernel's order have no features; of longer ones than LONG the parts count.
+    With each comes the toxic share of its documents."""
 
     def words(batch: pa.RecordBatch):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = sorted(w for w in {letters(t) for t in text.decode().split()} if SHORT <= len(w) <= LONG)
+            found = sorted({p for t in set(text.decode().split()) for p in pieces(letters(t)) if len(p) >= ORDER})
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label] * len(found), pa.float64())], names=["word", "label"])
 
     counts = per_batch(train.select("text", "label"), "word string, label double", words)
     counts = counts.groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    counts = staged(counts.where("a + b >= 3"), "toxicity-words")
+    counts = staged(counts.where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS), "toxicity-words")
     n1, n0 = train.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-    if not n1 or not n0:
-        return []
+    tested = counts.count()
+    if not n1 or not n0 or not tested:
+        return {}
     rate = F.lit(n1 / (n1 + n0))
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     seen = F.col("a") + F.col("b")
     ratio = 2 * (part(F.col("a"), seen * rate) + part(F.col("b"), seen * (1 - rate)))
-    told = counts.where((F.col("a") >= LEAST_DOCUMENTS) & (F.col("a") / seen > 2 * rate)).withColumn("ratio", ratio)
-    best = [(r["word"], r["ratio"]) for r in told.orderBy(F.desc("ratio"), "word").limit(LANDMARKS).collect()]
-    return [w for w, g in best if g >= LEAST_RATIO * best[0][1]]
+    # The ratio of a word that tells nothing is the square of a standard normal number.
+    least = NormalDist().inv_cdf(SIGNIFICANCE / tested / 2) ** 2
+    told = counts.where((F.col("a") / seen > 2 * rate) & (ratio >= least))
+    return {r["word"]: r["share"] for r in told.select("word", (F.col("a") / seen).alias("share")).orderBy("word").collect()}
 
 
 def obfuscated(token: str) -> list[str]:
@@ -272,50 +306,61 @@ def fit(labelled: DataFrame) -> Model | None:
     """Fit on labelled (doc_id, text as bytes, label); None if a label or any toxic word is missing.
 
     Sentences of documents without the label are clean. Of a toxic document those sentences are toxic
-    that hold a word close to a landmark; its other sentences could be either and are left out.
+    that hold a word close to a landmark most of whose documents are toxic, or to the landmark of the
+    document with the most toxic share; its other sentences could be either and are left out.
     Toxic sentences are learned also with that word disguised. Sentences with equal similarities are one
-    weighted row of the support vector machine, which sees Nyström features: similarities to the
-    landmarks, whitened by the landmarks' own kernel matrix.
+    weighted row of the support vector machine, whose features are the similarities to the landmarks.
     """
     train = staged(labelled, "toxicity-train")
     words = choose_landmarks(train)
     if not words:
         return None
-    landmarks = Landmarks(words)
-    matrix = np.array([kernel([w] * len(landmarks.words), landmarks.words) for w in landmarks.words])
-    matrix /= np.sqrt(np.outer(landmarks.own, landmarks.own))
-    values, vectors = np.linalg.eigh(matrix)
-    white = vectors / np.sqrt(np.maximum(values, 1e-3))
+    landmarks, share = Landmarks(list(words)), np.array(list(words.values()))
+    none = sparse({})
+
+    def worst(found: Sparse) -> float:
+        return share[found[0][found[1] >= 0.8]].max(initial=0.0)
 
     def rows(batches):
         lookup = Lookup(landmarks)
         for batch in batches:
-            out, labels = [np.zeros(len(landmarks.words))], [0.0]
+            out: Counter = Counter({_key(none, 0.0): 1})
+            disguised: Counter[str] = Counter()
             for text, label in zip(lookup.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                for s, found in lookup.document(text):
+                held = lookup.document(text)
+                least = label and min(0.5, max((worst(found) for _, found in held), default=0.0))
+                for s, found in held:
                     if not label:
-                        out.append(found)
-                        labels.append(0.0)
-                    elif found.max() >= 0.8:
-                        out.append(found)
-                        labels.append(1.0)
+                        out[_key(found, 0.0)] += 1
+                    elif worst(found) >= least > 0:
+                        out[_key(found, 1.0)] += 1
                         for t in tokens(s):
-                            if t in lookup.like and lookup.like[t].max() >= 0.8:
-                                out += list(landmarks.similarity(obfuscated(letters(t))))
-                                labels += [1.0, 1.0]
-            z = np.round(np.array(out), 2) @ white
-            yield pa.RecordBatch.from_arrays([pa.array(list(z), pa.list_(pa.float64())), pa.array(labels)], names=["z", "label"])
-
-    made = train.select("text", "label").mapInArrow(rows, "z array<double>, label double")
-    grouped = made.groupBy("z", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+                            if t in lookup.like and worst(lookup.like[t]) >= least:
+                                disguised.update(obfuscated(letters(t)))
+                if len(out) > 10_000:
+                    yield _sentences(out)
+                    out = Counter()
+            words = list(disguised)
+            for lo in range(0, len(words), 5_000):
+                for w, found in zip(words[lo : lo + 5_000], landmarks.alike(words[lo : lo + 5_000]), strict=True):
+                    out[_key(found, 1.0)] += disguised[w]
+                yield _sentences(out)
+                out = Counter()
+            if out:
+                yield _sentences(out)
+
+    made = train.select("text", "label").mapInArrow(rows, "at array<int>, v array<double>, label double, n bigint")
+    grouped = made.groupBy("at", "v", "label").agg(F.sum("n").cast("double").alias("n"))
     sums = staged(grouped, "toxicity-sentences")
     total = dict(sums.groupBy("label").agg(F.sum("n")).collect())
     if len(total) < 2:
         return None
     even = F.when(F.col("label") == 1, F.lit(0.5 / total[1.0])).otherwise(F.lit(0.5 / total[0.0]))
-    weighed = sums.select(array_to_vector("z").alias("features"), "label", (F.col("n") * even * F.lit(1000.0)).alias("weight")).coalesce(2)
+    size = len(landmarks.words)
+    vector = F.udf(lambda at, v: Vectors.sparse(size, at, v), VectorUDT())
+    weighed = sums.select(vector("at", "v").alias("features"), "label", (F.col("n") * even * F.lit(1000.0)).alias("weight")).coalesce(2)
     svm = LinearSVC(maxIter=30, regParam=1e-3, standardization=False, weightCol="weight").fit(weighed)
-    model = Model(landmarks, white @ svm.coefficients.toArray(), float(svm.intercept))
+    model = Model(landmarks, svm.coefficients.toArray(), float(svm.intercept))
 
     def decisions(batches):
         lookup = Lookup(landmarks)
@@ -335,6 +380,18 @@ def fit(labelled: DataFrame) -> Model | None:
     return model
 
 
+def _key(found: Sparse, label: float) -> tuple:
+    return found[0].tobytes(), np.round(found[1], 2).tobytes(), label
+
+
+def _sentences(held: Counter) -> pa.RecordBatch:
+    at = [np.frombuffer(k[0], np.int32) for k in held]
+    v = [np.frombuffer(k[1], np.float64) for k in held]
+    arrays = [pa.array(at, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float64()))]
+    arrays += [pa.array([k[2] for k in held], pa.float64()), pa.array(list(held.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, names=["at", "v", "label", "n"])
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, documents: int = TRAIN_DOCUMENTS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs.
 

@@ -198,7 +198,7 @@ def test_toxic_tokens_stay_known_within_a_part(monkeypatch):
 
     def found():
         lookup = toxicity.Lookup(marks)
-        return [[(s, v.tolist()) for s, v in lookup.document(t)] for t in lookup.texts(column)]
+        return [[(s, np.asarray(v).tolist()) for s, v in lookup.document(t)] for t in lookup.texts(column)]
 
     want = found()
     assert [bool(w) for w in want] == [True, *[False] * 50, True, False, True, True, True]
@@ -206,3 +206,19 @@ def test_toxic_tokens_stay_known_within_a_part(monkeypatch):
     for size in (512, 3):
         monkeypatch.setattr(toxicity, "TEXTS", size)
         assert found() == want
+
+
+def test_skewed_lexicon_of_insults(spark):
+    rng = random.Random(8)
+    insult = ["".join(rng.choices("bcdfgklmnprstvz", k=rng.choice([3, 6, 7]))) for _ in range(40)]
+    plain = ["".join(rng.choices("aeiou", k=6)) for _ in range(200)]
+    rows = []
+    for k, word in enumerate([*insult, *[None] * 20]):
+        for _ in range(300 if k == 0 else 12 if k < 40 else 60):
+            text = rng.choices(plain, k=12)
+            rows.append((len(rows), " ".join(text if word is None else [*text[:6], word, *text[6:]]).encode(), float(word is not None)))
+    train = spark.createDataFrame(rows, "doc_id long, text binary, label double")
+    assert set(insult) <= set(toxicity.choose_landmarks(train))
+    seen = spark.createDataFrame([(f"{plain[0]} {w} {plain[1]}",) for w in insult] + [(f"{a} {b}",) for a, b in zip(plain, plain[1:])], "text string")
+    scored = toxicity.scores(seen, 0, toxicity.fit(train)).collect()
+    assert [r.score >= 0.7 for r in scored] == [True] * len(insult) + [False] * (len(plain) - 1)
