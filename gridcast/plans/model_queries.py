@@ -28,11 +28,7 @@ FINAL_END = "2001-10-30 23:00:00"
 TUNE_START = "2000-09-01"
 # Temperature limits that fit the measures of the given tables.
 BASE, HOT, COLD = 25.0, 45.0, 5.0
-# Smaller ensembles than the defaults, so a trial over all rows ends in seconds.
-TREES, DEPTH = 10, 5
-LOAD = M.smaller(M.LOAD_METHODS, TREES, DEPTH)
-HOUR = M.smaller(M.PEAK_HOUR_METHODS, TREES, DEPTH)
-DAY = M.smaller(M.PEAK_DAY_METHODS, TREES, DEPTH)
+LOAD, HOUR, DAY = M.LOAD_METHODS, M.PEAK_HOUR_METHODS, M.PEAK_DAY_METHODS
 
 
 def _staged(df, name):

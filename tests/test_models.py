@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridcast.operators.evaluation import regression_metrics
 from gridcast.operators.forecasting import linear as LIN, methods as M, regional as RG
 from gridcast.operators.forecasting.compare import classify_peak_day, common_zones, fit_peak_day
+from gridcast.plans import model_queries
 from gridcast.sources.registry import load_models, read_registry, save_models
 
 
@@ -96,3 +97,7 @@ def test_means_compare_zones_that_all_methods_have(spark):
     rows = [("a", "m1", 5.0), ("a", "m2", 4.0), ("b", "m2", 90.0)]
     res = spark.createDataFrame(rows, "region string, method string, rmse double")
     assert {r["region"] for r in common_zones(res).collect()} == {"a"}
+
+
+def test_registered_queries_use_the_full_methods():
+    assert (model_queries.LOAD, model_queries.HOUR, model_queries.DAY) == (M.LOAD_METHODS, M.PEAK_HOUR_METHODS, M.PEAK_DAY_METHODS)
