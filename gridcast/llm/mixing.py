@@ -29,12 +29,13 @@ def source_tokens(sized: DataFrame) -> DataFrame:
     return sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
 
 
-def exponent(sources: DataFrame, entropy: float | None = None, repetition: float | None = None, budget_ratio: float = 1.0) -> float:
+def exponent(sources: DataFrame, entropy: float | None = None, repetition: float | None = None, budget_ratio: float | None = 1.0) -> float:
     """The exponent a of the weights share**a / sum(share**a), found by bisection.
 
     entropy: the target, as a part of the largest entropy log(sources) that the sources allow; the
     weights' entropy falls as a grows. repetition: the largest number of times that a budget of
-    budget_ratio times all tokens may read a source; a is the smallest that keeps to it, at most 1.
+    budget_ratio times all tokens (None: the smallest budget that reads every source once whole) may read
+    a source; a is the smallest that keeps to it, at most 1.
     With both, the larger a counts: the limit on repetition is kept where the two disagree. Targets out
     of reach give the nearer end of the range; sources without tokens take no part; none at all, or a
     single one, give 1.
@@ -51,6 +52,10 @@ def exponent(sources: DataFrame, entropy: float | None = None, repetition: float
     if repetition is not None:
         # Weight over share is largest where the share is smallest.
         over = lambda a, z, _, low: budget_ratio * math.exp((a - 1) * low) / z > repetition
+        if budget_ratio is None:
+            # The largest source is read once and the smallest (largest share / smallest share)**(1 - a) times.
+            high = shares.agg(F.max("logp")).first()[0]
+            over = lambda a, z, _, low: math.exp((1 - a) * (high - low)) > repetition
         found.append(_bisect(shares, 1.0, over))
     return max(found) if found else 1.0
 
@@ -95,7 +100,7 @@ def mixture(docs: DataFrame, entropy: float | None = 0.95, repetition: float | N
     source = F.coalesce("source", F.lit(NO_SOURCE)).alias("source")
     sized = pick(docs, "source", "text", "doc_id").toDF("source", "text", "id").select(source, tokens_of().alias("tokens"))
     sources = staged(source_tokens(sized), "mixing-sources")
-    a = exponent(sources, entropy, repetition, budget_ratio or 1.0)
+    a = exponent(sources, entropy, repetition, budget_ratio)
 
     everything = sources.agg(F.sum("tokens")).first()[0] or 0
     power = F.when(F.col("tokens") > 0, F.exp(F.lit(a) * F.log(F.col("tokens") / F.lit(everything)))).otherwise(0.0)

@@ -222,3 +222,13 @@ def test_skewed_lexicon_of_insults(spark):
     seen = spark.createDataFrame([(f"{plain[0]} {w} {plain[1]}",) for w in insult] + [(f"{a} {b}",) for a, b in zip(plain, plain[1:])], "text string")
     scored = toxicity.scores(seen, 0, toxicity.fit(train)).collect()
     assert [r.score >= 0.7 for r in scored] == [True] * len(insult) + [False] * (len(plain) - 1)
+
+
+def test_repetition_limit_of_the_smallest_whole_budget(spark):
+    sizes = {"big": 667, **{f"s{i}": 60 for i in range(20)}, "rare": 1}
+    docs = frame(spark, [(i, " ".join(["w"] * 10), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))])
+    mixed = mixing.mixture(docs, budget_ratio=None)
+    quota = {r.source: r.mix_quota / (10 * sizes[r.source]) for r in mixed.select("source", "mix_quota").distinct().collect()}
+    assert quota["big"] == pytest.approx(1, abs=0.01) and 1 <= quota["rare"] <= 4 + 0.1
+    # The whole budget also reads every document at least once.
+    assert mixed.where("mix_copies < 1").count() == 0
