@@ -52,7 +52,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: A trained classifier and XXH64 fingerprints cannot be stated in SQL; tests compare with brute force.
+#: A trained classifier and XXH64 fingerprints cannot be stated in SQL; no test runs the whole pipeline.
 ORACLE_SQL = None
 
 
