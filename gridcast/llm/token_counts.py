@@ -14,6 +14,8 @@ from gridcast.llm.common import pick, release, staged, text_key, utf8
 
 #: Pre-tokens of the broadcast part of the count table, the most frequent ones; the rest is joined.
 FREQUENT = 500_000
+#: Bytes of a pre-token of the broadcast part, at most; longer ones are joined.
+SHORT = 64
 #: Distinct pre-tokens that a task holds before it passes their frequencies on.
 HELD = 1_000_000
 _SPACE = "▁"
@@ -50,8 +52,8 @@ def count_tokens(docs: DataFrame, model: bytes, frequent: int = FREQUENT, id_col
     stays null; an empty table gives no rows; other columns are not looked at.
 
     One pass collects the frequencies of distinct pre-tokens, each is encoded once, and a second pass
-    makes the per-document frequencies. The counts of the `frequent` most frequent pre-tokens are
-    broadcast (a fixed number of short strings) and summed where the document is; all others are joined.
+    makes the per-document frequencies. The counts of the `frequent` most frequent pre-tokens of at
+    most SHORT bytes are broadcast and summed where the document is; all others are joined.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -63,7 +65,7 @@ def count_tokens(docs: DataFrame, model: bytes, frequent: int = FREQUENT, id_col
     counts = seen.groupBy("token").agg(F.sum("freq").alias("freq"))
     counts = staged(counts.mapInArrow(_pieces(shared_model), "token string, freq bigint, pieces int"), "token-counts")
     release(spark)
-    top = counts.orderBy(F.desc("freq"), "token").limit(frequent).select("token", "pieces").toArrow()
+    top = counts.where(F.octet_length("token") <= SHORT).orderBy(F.desc("freq"), "token").limit(frequent).select("token", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top["token"].to_pylist(), top["pieces"].to_pylist(), strict=True)))
 
     parts = rows.mapInArrow(_documents(pattern, known), f"doc_id {kind}, tid bigint, token string, freq int, base struct<n_bytes: bigint, known: bigint>")

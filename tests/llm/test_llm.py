@@ -232,3 +232,14 @@ def test_repetition_limit_of_the_smallest_whole_budget(spark):
     assert quota["big"] == pytest.approx(1, abs=0.01) and 1 <= quota["rare"] <= 4 + 0.1
     # The whole budget also reads every document at least once.
     assert mixed.where("mix_copies < 1").count() == 0
+
+
+def test_long_pretokens_are_not_broadcast(spark, odd, monkeypatch):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    held, documents = [], token_counts._documents
+    monkeypatch.setattr(token_counts, "_documents", lambda pattern, known: held.append(known.value) or documents(pattern, known))
+    got = {(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(frame(spark, odd), model).collect()}
+    assert held[0] and max(len(t.encode()) for t in held[0]) <= 64
+    sp = token_counts.load(model)
+    assert got == {(i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t, _ in odd}
