@@ -120,3 +120,19 @@ select doc_id, own as source, tokens as mix_tokens, round(weight, 8) as mix_weig
   cast(case when total_s = 0 then 1 else quota // total_s + case when place <= quota % total_s and tokens > 0 then 1 else 0 end end as bigint) as mix_copies
 from p
 """
+
+ORACLES["op13_drop_lines"] = r"""
+with l as (
+  select doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+               unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i from documents)
+), c as (
+  select k, count(distinct doc_id) as docs, max(doc_id) as last from l where length(k) >= 40 group by 1
+), f as (
+  select l.doc_id, i, line, coalesce(docs >= 5 and l.doc_id < last, false) as gone from l left join c using (k)
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from f group by 1
+"""

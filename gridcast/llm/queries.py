@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import decontamination, mixing, quality, secrets, simhash, substring, token_counts, topk, toxicity, warc
+from gridcast.llm import decontamination, lines, mixing, periods, quality, secrets, simhash, substring, token_counts, topk, toxicity, warc
 from gridcast.llm.common import pick
 from gridcast.session import scratch_dir
 
@@ -81,6 +81,40 @@ def score_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the documents, by CRC-32 of the id, repeats its words from some word on
+    with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # Null ids have no number and stay as they are.
+    ws = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = pick(docs, "doc_id", "text").withColumn("ws", ws).withColumn("n", F.size("ws").cast("bigint")).withColumn("g", (h / 10).cast("bigint"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.expr("(n - a) div (3 + g % 8)"))
+    again = F.transform(F.sequence("a", F.col("n") - 1), lambda i: F.get("ws", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def find_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periods.find_runs(with_planted_periods(table(spark, sf, "documents"))).withColumn("best", periods.strongest())
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def drop_lines(spark: SparkSession, sf: str) -> DataFrame:
+    kept = lines.without_repeated_lines(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": mix_sources,
     "op2_quality": score_quality,
@@ -92,4 +126,6 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": near_duplicates,
     "op9_remove_repeats": remove_repeats,
     "op10_count_tokens": count_tokens,
+    "op12_find_runs": find_runs,
+    "op13_drop_lines": drop_lines,
 }
