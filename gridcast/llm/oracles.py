@@ -136,3 +136,28 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from f group by 1
 """
+
+ORACLES["op11_search_items"] = r"""
+with d as (
+  select doc_id, w, len(w) as n from (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents) where len(w) > 0
+), s as (
+  select count(*) as nn, cast(sum(n) as bigint) as ll from d
+), q as (
+  select item_id, t, count(*) as r from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as t from benchmark) group by 1, 2
+), p as (
+  select doc_id, n, t, count(*) as tf from (select doc_id, n, unnest(w) as t from d) group by 1, 2, 3
+), f as (
+  select t, cast(floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double)) as bigint) as w
+  from (select t, count(*) as df from p group by 1), s
+), x as (
+  select item_id, doc_id, cast(sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) as bigint) as score
+  from q join p using (t) join f using (t), s group by 1, 2
+), k as (
+  select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from x where score > 0
+)
+select item_id, cast(rank as int) as rank, doc_id, score from k where rank <= 20
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import decontamination, lines, mixing, periods, quality, secrets, simhash, substring, token_counts, topk, toxicity, warc
+from gridcast.llm import decontamination, lexical, lines, mixing, periods, quality, secrets, simhash, substring, token_counts, topk, toxicity, warc
 from gridcast.llm.common import pick
 from gridcast.session import scratch_dir
 
@@ -81,6 +81,10 @@ def score_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def search_items(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text; a tenth of the documents, by CRC-32 of the id, repeats its words from some word on
     with some period."""
@@ -126,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": near_duplicates,
     "op9_remove_repeats": remove_repeats,
     "op10_count_tokens": count_tokens,
+    "op11_search_items": search_items,
     "op12_find_runs": find_runs,
     "op13_drop_lines": drop_lines,
 }
