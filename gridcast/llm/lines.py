@@ -115,7 +115,8 @@ def without_repeated_lines(
     `keep_bitmaps`. A document without a bitmap keeps all; one that loses all lines has an empty text."""
     bitmaps = keep_bitmaps(docs, least_chars, least_docs, hot, id_col, text_col)
     rows = text_key(pick(docs, id_col, text_col).toDF("id", "text"), "id")
-    joined = rows.join(bitmaps, ["id", "tid"], "left").withColumn("lines", text_lines())
+    # Bitmaps grow with the documents, so the join is the same, by shuffle, at every size.
+    joined = rows.join(bitmaps.hint("merge"), ["id", "tid"], "left").withColumn("lines", text_lines())
     count = F.size("lines")
     left = F.flatten(
         F.transform("kept", lambda r: F.slice("lines", r["first"] + 1, F.coalesce(r["count"], count - r["first"])))
