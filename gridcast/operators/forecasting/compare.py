@@ -17,10 +17,11 @@ from gridcast.operators.evaluation import (
 )
 from gridcast.operators.forecasting.features import DAILY_FEATURES, HOURLY_FEATURES
 from gridcast.operators.forecasting.methods import LOAD_METHODS, PEAK_DAY_METHODS, PEAK_HOUR_METHODS, Method
-from gridcast.operators.forecasting.regional import RegionalModels, collect_bounded, fit_regional, score_regional
+from gridcast.operators.forecasting.regional import RegionalModels, fit_regional, score_regional
 from gridcast.operators.joins import pred_vs_actual
 from gridcast.operators.labels import historical_peak_hour
-from gridcast.operators.relational import best_method, drop_null_subset, min_rows_guard, semi_join_membership, union_batches
+from gridcast.operators.relational import best_method, broadcast_if_small, drop_null_subset, min_rows_guard, semi_join_membership, union_batches
+from gridcast.session import written
 
 # Task names, also in the registry.
 HOURLY_LOAD, PEAK_HOUR, PEAK_DAY = "hourly_load", "peak_hour", "peak_day"
@@ -58,7 +59,7 @@ def compare_load_models(
 def common_zones(results: DataFrame) -> DataFrame:
     """The results of zones that every method has, so that means compare like with like. A method that
     was left out of a hard zone must not win by that. ``results``: one row per zone and method."""
-    n = results.select("method").distinct().count()
+    n = results.agg(F.countDistinct("method")).first()[0]
     full = results.groupBy("region").agg(F.countDistinct("method").alias("n")).where(F.col("n") == n)
     if full.isEmpty():
         raise ValueError("no zone has results of all methods")
@@ -99,8 +100,9 @@ def peak_hour_results(
 def compare_peak_hour_models(
     train: DataFrame, test: DataFrame, methods: Mapping[str, Method] = PEAK_HOUR_METHODS
 ) -> DataFrame:
-    """Success rate per method."""
-    return success_rate(union_batches([peak_hour_results(train, test, m) for m in methods.values()]))
+    """Success rate per method over the zones that all methods have."""
+    results = union_batches([peak_hour_results(train, test, m) for m in methods.values()])
+    return success_rate(common_zones(written(results, "peak-hours")))
 
 
 def refit_best_peak_hour(
@@ -127,29 +129,43 @@ def fit_peak_day(
     """ML17, ML18, ML20: a classifier per zone and the threshold that costs least on ``tune``."""
     fitted = fit_regional(train, method, features, "is_peak_day", PEAK_DAY)
     tuned = tune_threshold(score_regional(tune, fitted, "p"), fp_cost=fp_cost, fn_cost=fn_cost)
-    found = {r["region"]: r["threshold"] for r in collect_bounded(tuned)}
-    for zone in fitted.models:
-        fitted.info.setdefault(zone, {})["threshold"] = found.get(zone, 0.5)
+    return with_thresholds(fitted, tuned)
+
+
+def with_thresholds(fitted: RegionalModels, found: DataFrame) -> RegionalModels:
+    """The models with thresholds from (region, threshold); 0.5 where none was found."""
+    limits = fitted.info.drop("threshold").join(found.select("region", "threshold"), "region", "left")
+    fitted.info = written(limits.select("region", F.coalesce("threshold", F.lit(0.5)).alias("threshold"), "scale_pos_weight"), "info")
     return fitted
 
 
-def thresholds(fitted: RegionalModels, df: DataFrame) -> DataFrame:
+def thresholds(fitted: RegionalModels) -> DataFrame:
     """(region, threshold) table, one row per model."""
-    rows = [(z, float(fitted.info.get(z, {}).get("threshold", 0.5))) for z in fitted.models]
-    return df.sparkSession.createDataFrame(rows, f"region {df.schema['region'].dataType.simpleString()}, threshold double")
+    return fitted.info.select("region", F.coalesce("threshold", F.lit(0.5)).alias("threshold"))
 
 
 def classify_peak_day(df: DataFrame, fitted: RegionalModels) -> DataFrame:
     """Probability ``p`` and ``peak_day_pred`` by each zone's own threshold."""
     scored = score_regional(df, fitted, "p")
-    limits = F.broadcast(thresholds(fitted, df))
     return (
-        scored.join(limits, "region")
+        scored.join(broadcast_if_small(thresholds(fitted)), "region")
         .withColumn("peak_day_pred", (F.col("p") >= F.col("threshold")).cast("int"))
         .drop("threshold")
     )
 
 
+def peak_day_trials(
+    train: DataFrame,
+    tune: DataFrame,
+    test: DataFrame,
+    methods: Mapping[str, Method] = PEAK_DAY_METHODS,
+) -> tuple[DataFrame, dict[str, RegionalModels]]:
+    """Classified test days of all methods, and the fitted models by method name."""
+    fits = {k: fit_peak_day(train, tune, m) for k, m in methods.items()}
+    parts = [classify_peak_day(test, f).withColumn("method", F.lit(f.method.name)) for f in fits.values()]
+    return union_batches(parts), fits
+
+
 def compare_peak_day_models(
     train: DataFrame,
     tune: DataFrame,
@@ -157,27 +173,23 @@ def compare_peak_day_models(
     methods: Mapping[str, Method] = PEAK_DAY_METHODS,
 ) -> DataFrame:
     """ML21: confusion counts pooled over the zones per method, least loss first."""
-    parts = [
-        classify_peak_day(test, fit_peak_day(train, tune, m)).withColumn("method", F.lit(m.name))
-        for m in methods.values()
-    ]
-    return confusion_metrics(union_batches(parts), ["method"]).orderBy("total_loss", "method")
+    return peak_day_summary(peak_day_trials(train, tune, test, methods)[0])
+
+
+def peak_day_summary(classified: DataFrame) -> DataFrame:
+    """Counts and loss per method over the zones that all methods have."""
+    classified = written(classified, "classified")
+    return confusion_metrics(common_zones(classified), ["method"]).orderBy("total_loss", "method")
 
 
 def refit_best_peak_day(
-    summary: DataFrame,
-    train: DataFrame,
-    tune: DataFrame,
-    final_train: DataFrame,
-    methods: Mapping[str, Method] = PEAK_DAY_METHODS,
+    summary: DataFrame, fits: Mapping[str, RegionalModels], final_train: DataFrame
 ) -> RegionalModels:
     """ML22: the method with the least loss, fitted on the longer range.
 
-    The longer range holds ``tune``, so each zone's threshold is that of the model fitted without it.
+    The longer range holds the rows that chose the thresholds, so each zone keeps the threshold of the
+    model that was fitted without them.
     """
-    best = methods[_winner(summary, "total_loss", True)]
-    held_out = fit_peak_day(train, tune, best)
-    fitted = fit_regional(final_train, best, DAILY_FEATURES, "is_peak_day", PEAK_DAY)
-    for zone in fitted.models:
-        fitted.info.setdefault(zone, {})["threshold"] = held_out.info.get(zone, {}).get("threshold", 0.5)
-    return fitted
+    held_out = fits[_winner(summary, "total_loss", True)]
+    fitted = fit_regional(final_train, held_out.method, held_out.features, "is_peak_day", PEAK_DAY)
+    return with_thresholds(fitted, thresholds(held_out))

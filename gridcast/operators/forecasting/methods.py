@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
 
@@ -26,6 +26,7 @@ class Method:
     weights: str = "none"
     scaled: bool = False
     seed: int = 42
+    bootstrap: bool = True
 
     def with_(self, **changes) -> "Method":
         return replace(self, **changes)
@@ -34,25 +35,21 @@ class Method:
     def classifier(self) -> bool:
         return self.kind.endswith("_classifier") or self.kind == "logistic"
 
-    def estimator(self, label: str, weight_total: float | None = None):
+    def estimator(self, label: str):
+        """Spark's own ensemble, for zones too large for one task."""
         common = {"featuresCol": "features", "labelCol": label}
         if self.weights != "none":
             common["weightCol"] = "class_weight"
-        tree = {"maxDepth": self.depth, "minInstancesPerNode": self.min_leaf, "seed": self.seed, "maxMemoryInMB": 512, "maxBins": BINS}
+        tree = {"maxDepth": self.depth, "minInstancesPerNode": self.min_leaf, "seed": self.seed, "maxMemoryInMB": 512, "maxBins": BINS, "cacheNodeIds": True}
+        forest = {"bootstrap": self.bootstrap, **tree}
         if self.kind == "rf_regressor":
-            return RandomForestRegressor(numTrees=self.trees, featureSubsetStrategy="all", **tree, **common)
+            return RandomForestRegressor(numTrees=self.trees, featureSubsetStrategy="all", **forest, **common)
         if self.kind == "gbt_regressor":
             return GBTRegressor(maxIter=self.trees, stepSize=self.step, **tree, **common)
         if self.kind == "rf_classifier":
-            return RandomForestClassifier(numTrees=self.trees, featureSubsetStrategy="sqrt", **tree, **common)
+            return RandomForestClassifier(numTrees=self.trees, featureSubsetStrategy="sqrt", **forest, **common)
         if self.kind == "gbt_classifier":
             return GBTClassifier(maxIter=self.trees, stepSize=self.step, **tree, **common)
-        if self.kind == "logistic":
-            # A unit L2 penalty on the summed loss; Spark's loss is the weighted mean.
-            return LogisticRegression(
-                maxIter=self.trees, tol=1e-4, standardization=False,
-                regParam=1.0 / max(weight_total or 1.0, 1.0), **common,
-            )
         raise ValueError(f"no estimator for {self.kind}")
 
 

@@ -1,8 +1,8 @@
-"""One model per zone: staging, fitting and scoring.
+"""One model per zone: fitting and scoring all zones of a table.
 
-The driver loops over (zone, method), a small and checked number; every fit is a Spark job over that
-zone's rows. The training rows are written once, partitioned by zone, so a fit reads only its own
-files and a lost executor costs no recomputation of the features.
+Models are tables with one row per zone (linear, logistic) or per zone and tree, fitted for all zones by one
+chain of jobs, and scoring joins them. Only a zone with more rows than one task may hold gets a Spark ML
+ensemble of its own; the driver loops over those zones, of which there are few, as each is large.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gridcast.operators.aggregates import class_weights
 from gridcast.operators.evaluation import FN_COST, scaling_stats, standardize_by_region
 from gridcast.operators.forecasting.linear import fit_ols, interaction_frame, predict_ols
+from gridcast.operators.forecasting.logistic import fit_logistic, predict_logistic
 from gridcast.operators.forecasting.methods import Method
+from gridcast.operators.forecasting.trees import LOCAL_ROWS, fit_trees, score_trees
 from gridcast.operators.relational import broadcast_if_small, drop_null_subset
-from gridcast.session import scratch_dir
+from gridcast.session import written
 
-MAX_REGIONS = 1_000
 NO_ROWS = "no complete training row"
 
 
@@ -32,44 +33,32 @@ NO_ROWS = "no complete training row"
 class RegionalModels:
     """Fitted models of one task and method.
 
-    ``models`` maps zones to Spark models; ``table`` holds linear models as rows; ``stats`` holds
-    scaling values; ``info`` has per-zone numbers that belong to the model (threshold, weight).
+    ``table`` holds models as rows; ``models`` the Spark models of zones too large for one task; ``stats``
+    scaling values; ``info`` (region, threshold, scale_pos_weight) the numbers that belong to a zone's
+    model; ``skipped`` (region, reason) the zones of the training rows that have no model.
     """
 
     task: str
     method: Method
     features: list[str]
-    models: dict[str, Model] = field(default_factory=dict)
     table: DataFrame | None = None
+    models: dict[object, Model] = field(default_factory=dict)
     stats: DataFrame | None = None
-    info: dict[str, dict] = field(default_factory=dict)
-    skipped: dict[str, str] = field(default_factory=dict)
+    info: DataFrame | None = None
+    skipped: DataFrame | None = None
+
+    def zones(self, region: str = "region") -> DataFrame:
+        """The zones that have a model."""
+        return self.info.select(region)
 
 
 def stage_by_region(df: DataFrame, region: str = "region") -> DataFrame:
-    """Write the rows once, one folder per zone, and read them back.
+    """Write the rows once, in the order of their zones, and read them back.
 
-    The rebalance hint gathers a zone's rows in few files, but splits a zone that is too large for
-    one task.
+    The rebalance hint gathers a zone's rows in few files, but splits a zone that is too large for one
+    task; the order lets a scan for one zone skip the others. One table, however many zones there are.
     """
-    spark = df.sparkSession
-    path = scratch_dir(spark, "by-region")
-    df.hint("rebalance", F.col(region)).write.partitionBy(region).parquet(path)
-    # With the schema given, the zone comes back with its own type instead of an inferred one.
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
-
-
-def collect_bounded(df: DataFrame, limit: int = MAX_REGIONS) -> list:
-    """Rows of a per-zone table; fails beyond ``limit`` rows instead of leaving some out."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} zones: one model per zone is not practical")
-    return rows
-
-
-def region_list(df: DataFrame, region: str = "region") -> list:
-    """Sorted zones; one model each, so their number is checked."""
-    return sorted(r[0] for r in collect_bounded(df.select(region).where(F.col(region).isNotNull()).distinct()))
+    return written(df.hint("rebalance", F.col(region)).sortWithinPartitions(region), "by-region")
 
 
 def class_weight_column(weights: str, label: str) -> Column:
@@ -95,85 +84,92 @@ def fit_regional(
     label: str,
     task: str,
     region: str = "region",
-    parallel: int = 8,
+    parallel: int = 4,
     on_error: str = "raise",
+    local_rows: int = LOCAL_ROWS,
 ) -> RegionalModels:
-    """Fit ``method`` for every zone of ``train``.
+    """Fit ``method`` for every zone of ``train``, which should be a written table.
 
     A fit that fails is an error; with ``on_error="skip"`` its zone is left out and noted in ``skipped``
     with the reason. A zone without any complete row cannot be fitted and is always noted there.
     """
     out = RegionalModels(task, method, list(features))
+    zones = train.select(region).where(F.col(region).isNotNull()).distinct()
     if method.kind == "ols":
-        frame, names = interaction_frame(train)
-        out.features = names
-        # Write the small model table, so scoring does not fit again.
-        path = scratch_dir(train.sparkSession, "ols")
-        fit_ols(frame, names, label, region).write.parquet(path)
-        out.table = train.sparkSession.read.parquet(path)
-        fitted = set(region_list(out.table, region))
-        out.skipped = {z: NO_ROWS for z in region_list(train, region) if z not in fitted}
-        return out
-
-    rows = drop_null_subset(train, [*features, label])
-    balance = None
+        frame, out.features = interaction_frame(train)
+        out.table = written(fit_ols(frame, out.features, label, region), "linear")
+        return _described(out, zones, out.table.select(region), None, region)
+
+    rows, weight, balance = drop_null_subset(train, [*features, label]), None, None
     if method.classifier:
-        balance = class_weights(rows, label, [region], FN_COST)
-        balance = _materialized(balance)
-        used = {"balanced": "balanced_pos", "pos": "pos_weight", "cost_pos": "cost_pos_weight"}.get(method.weights)
-        out.info = {r[region]: {"scale_pos_weight": r[used] if used else float(FN_COST)} for r in collect_bounded(balance)}
+        balance = written(class_weights(rows, label, [region], FN_COST), "balance")
     if method.scaled:
-        out.stats = _materialized(scaling_stats(rows, features, region))
+        out.stats = written(scaling_stats(rows, features, region), "scaling")
         rows = standardize_by_region(rows, out.stats, features, region)
     if method.weights != "none":
-        rows = rows.join(broadcast_if_small(balance), region).withColumn("class_weight", class_weight_column(method.weights, label))
-        rows = rows.select(region, *features, label, "class_weight")
-    else:
-        rows = rows.select(region, *features, label)
-    staged = stage_by_region(rows, region)
-    totals = {}
+        weight = "class_weight"
+        rows = rows.join(broadcast_if_small(balance), region).withColumn(weight, class_weight_column(method.weights, label))
+    rows = rows.where(F.col(region).isNotNull()).select(region, *features, label, *([weight] if weight else []))
+
     if method.kind == "logistic":
-        sums = staged.groupBy(region).agg(F.sum("class_weight").alias("w"))
-        totals = {r[region]: r["w"] for r in collect_bounded(sums)}
+        rows = written(rows, "logistic-rows")
+        out.table = fit_logistic(rows, features, label, weight, region, max_iter=min(method.trees, 100))
+        return _described(out, zones, out.table.select(region), balance, region)
+
+    rows = stage_by_region(rows, region)
+    sizes = written(rows.groupBy(region).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    # Few by construction: each of these zones has more than local_rows rows.
+    large = sorted(r[0] for r in sizes.where(F.col("n") > local_rows).select(region).collect())
+    small = rows.where(~F.col(region).isin(*large)) if large else rows
+    fitted = written(fit_trees(small, method, features, label, region, weight), "trees")
+    failed = fitted.where(F.col("error").isNotNull()).groupBy(region).agg(F.min("error").alias("reason"))
+    out.table = fitted.join(failed, region, "left_anti").drop("error")
 
     def fit_one(zone):
-        part = _assembled(staged.where(F.col(region) == zone), features)
-        return method.estimator(label, totals.get(zone)).fit(part)
+        return method.estimator(label).fit(_assembled(rows.where(F.col(region) == zone), features))
 
-    zones = region_list(staged, region)
     with ThreadPoolExecutor(parallel) as pool:
-        fits = {z: pool.submit(fit_one, z) for z in zones}
-    for z, f in fits.items():
-        error = f.exception()
-        if error is None:
-            out.models[z] = f.result()
-        elif on_error == "skip":
-            out.skipped[z] = str(error)
-        else:
-            raise RuntimeError(f"{method.name} of {task} could not be fitted for zone {z}") from error
-    out.skipped.update({z: NO_ROWS for z in region_list(train, region) if z not in fits})
+        fits = {z: pool.submit(fit_one, z) for z in large}
+    errors = {z: str(f.exception()) for z, f in fits.items() if f.exception() is not None}
+    out.models = {z: f.result() for z, f in fits.items() if z not in errors}
+    if errors:
+        kind = rows.schema[region].dataType.simpleString()
+        failed = failed.unionByName(rows.sparkSession.createDataFrame(list(errors.items()), f"`{region}` {kind}, reason string"))
+    if on_error != "skip" and (first := failed.orderBy(region).first()):
+        raise RuntimeError(f"{method.name} of {task} could not be fitted for zone {first[region]}: {first['reason']}")
+    return _described(out, zones, sizes.select(region).join(failed, region, "left_anti"), balance, region, failed)
+
+
+def _described(out: RegionalModels, zones: DataFrame, fitted: DataFrame, balance: DataFrame | None, region: str, failed: DataFrame | None = None) -> RegionalModels:
+    """Add info and skipped."""
+    used = {"balanced": "balanced_pos", "pos": "pos_weight", "cost_pos": "cost_pos_weight"}.get(out.method.weights)
+    weight = F.lit(None).cast("double")
+    info = fitted.select(region).distinct()
+    if balance is not None:
+        info, weight = info.join(balance, region, "left"), F.col(used) if used else F.lit(float(FN_COST))
+    out.info = written(info.select(region, F.lit(None).cast("double").alias("threshold"), weight.cast("double").alias("scale_pos_weight")), "info")
+    missing = zones.join(out.info, region, "left_anti")
+    if failed is None:
+        missing = missing.withColumn("reason", F.lit(NO_ROWS))
+    else:
+        missing = missing.join(failed, region, "left").select(region, F.coalesce("reason", F.lit(NO_ROWS)).alias("reason"))
+    out.skipped = written(missing, "skipped")
     return out
 
 
-def skipped_table(fitted: Sequence[RegionalModels], spark: SparkSession) -> DataFrame:
-    """(task, method, region, reason) of the zones that have no model; a bounded number of rows."""
-    rows = [(m.task, m.method.name, str(z), why) for m in fitted for z, why in sorted(m.skipped.items())]
-    return spark.createDataFrame(rows, "task string, method string, region string, reason string")
-
-
-def _materialized(df: DataFrame) -> DataFrame:
-    path = scratch_dir(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def skipped_table(fitted: Sequence[RegionalModels], spark: SparkSession, region: str = "region") -> DataFrame:
+    """(task, method, region, reason) of the zones that have no model."""
+    parts = [
+        m.skipped.select(F.lit(m.task).alias("task"), F.lit(m.method.name).alias("method"), F.col(region).cast("string").alias("region"), "reason")
+        for m in fitted
+    ]
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "task string, method string, region string, reason string"))
 
 
-def score_regional(
-    df: DataFrame, fitted: RegionalModels, as_name: str = "score", region: str = "region", stage: bool = True
-) -> DataFrame:
+def score_regional(df: DataFrame, fitted: RegionalModels, as_name: str = "score", region: str = "region") -> DataFrame:
     """Add the prediction (regression) or the probability of class 1 (classification).
 
-    Rows with an unknown feature give no score and no row. ``stage`` writes ``df`` by zone first, so
-    each model reads its own zone instead of filtering all rows.
+    Rows with an unknown feature or of a zone without a model give no score and no row.
     """
     if fitted.method.kind == "ols":
         keep = df.columns
@@ -185,14 +181,10 @@ def score_regional(
         # Keep the unscaled columns of the input in the result.
         rows = rows.select(region, *fitted.features, F.struct(*df.columns).alias("_row"))
         rows = standardize_by_region(rows, fitted.stats, fitted.features, region)
-    if stage:
-        rows = stage_by_region(rows, region)
-    parts = []
+        return predict_logistic(rows, fitted.table, fitted.features, as_name, region).select("_row.*", as_name)
+    parts = [score_trees(rows, fitted.table, fitted.features, fitted.method, as_name, region)]
     for zone, model in fitted.models.items():
         scored = model.transform(_assembled(rows.where(F.col(region) == zone), fitted.features))
         value = vector_to_array("probability")[1] if fitted.method.classifier else F.col("prediction")
-        cols = [F.col(f"_row.{c}").alias(c) for c in df.columns] if fitted.stats is not None else df.columns
-        parts.append(scored.select(*cols, value.alias(as_name)))
-    if not parts:
-        return df.limit(0).withColumn(as_name, F.lit(None).cast("double"))
+        parts.append(scored.select(*df.columns, value.alias(as_name)))
     return reduce(DataFrame.unionByName, parts)

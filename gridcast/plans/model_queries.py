@@ -397,7 +397,7 @@ def _day_trial(name):
         s = _day_splits(spark, sf)
         fitted = C.fit_peak_day(s["train"], s["tune"], DAY[name])
         scored = C.classify_peak_day(s["test"], fitted)
-        return E.confusion_metrics(scored, ["region"]).join(C.thresholds(fitted, scored), "region")
+        return E.confusion_metrics(scored, ["region"]).join(C.thresholds(fitted), "region")
 
     return run
 
@@ -416,8 +416,8 @@ def compare_peak_day_models(spark, sf):
 @query("refit_best_peak_day")
 def refit_best_peak_day(spark, sf):
     s = _day_splits(spark, sf)
-    summary = _staged(C.compare_peak_day_models(s["train"], s["tune"], s["test"], DAY), "day-results")
-    fitted = C.refit_best_peak_day(summary, s["train"], s["tune"], s["final_train"], DAY)
+    classified, fits = C.peak_day_trials(s["train"], s["tune"], s["test"], DAY)
+    fitted = C.refit_best_peak_day(C.peak_day_summary(classified), fits, s["final_train"])
     return R.tag_constant(SC.score_peak_day(s["test"], fitted), "method", fitted.method.name)
 
 
@@ -449,7 +449,7 @@ def _saved_day_models(spark, sf):
 
 @query("save_models")
 def save_models_query(spark, sf):
-    return _saved_day_models(spark, sf)[1].drop("path", "settings")
+    return _saved_day_models(spark, sf)[1].drop("version", "settings")
 
 
 @query("load_models")
