@@ -69,7 +69,7 @@ def parse_coalesced_ts(
     """the first format that fits, else null. A fraction of a second is kept; a text with an offset
     names an instant and gives the wall clock of ``zone`` at that instant."""
     fractions = [_shift_micros(_instant(c, f)) for f in FRACTION_FORMATS]
-    offsets = [utc_to_local(_shift(_epoch(), F.unix_seconds(F.try_to_timestamp(as_col(c), F.lit(f)))), zone) for f in OFFSET_FORMATS]
+    offsets = [utc_to_local(_shift_micros(F.try_to_timestamp(as_col(c), F.lit(f))), zone) for f in OFFSET_FORMATS]
     return F.coalesce(*[parse_fixed_ts(c, f) for f in (first, *others)], *fractions, *offsets)
 
 

@@ -11,13 +11,19 @@ from gridcast.operators.aggregates import first_by
 from gridcast.operators.relational import dedup_first
 
 
-def _null_safe(df: DataFrame, hour: str) -> DataFrame:
+#: Rows without an hour are dealt over so many keys per zone.
+NULL_KEYS = 32
+
+
+def _null_safe(df: DataFrame, hour: str, deal: Column) -> DataFrame:
     """Split a nullable hour into two non-null columns, so that null = null is a plain equality and
-    one exchange on (zone, hour) serves both the deduplication and the join."""
+    one exchange on (zone, hour) serves both the deduplication and the join. ``deal`` numbers the key of a
+    row without an hour, so that a zone's rows of that kind are not one key."""
+    epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
     return df.withColumns(
         {
             "_no_hour": F.col(hour).isNull(),
-            "_hour": F.coalesce(hour, F.expr("timestamp_ntz'1970-01-01 00:00:00'")),
+            "_hour": F.coalesce(hour, epoch + F.expr("interval '1' hour") * deal),
         }
     )
 
@@ -32,10 +38,19 @@ def join_load_weather(
     weather_cols: Sequence[str] = ("temp", "humidity", "dew_point", "precip", "wind"),
 ) -> DataFrame:
     """Every load row with the first weather row of its zone and hour; a null hour meets a null
-    hour. The hour columns stay in the result."""
+    hour. The hour columns stay in the result.
+
+    All rows of a zone without an hour have the same match. Load rows are dealt over ``NULL_KEYS`` keys by
+    a hash of their values, and weather rows without an hour go to each of them; of those, every task sends
+    one row per zone and key, as for any hour.
+    """
     keys = [zone, "_hour", "_no_hour"]
-    w = dedup_first(_null_safe(weather, weather_hour), keys, weather_order).select(*keys, *weather_cols)
-    return _null_safe(load, load_hour).join(w, keys, "left").drop("_hour", "_no_hour")
+    every = F.when(F.col(weather_hour).isNull(), F.sequence(F.lit(0), F.lit(NULL_KEYS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = _null_safe(weather.withColumn("_deal", F.explode(every)), weather_hour, F.col("_deal"))
+    w = dedup_first(dealt, keys, weather_order).select(*keys, *weather_cols)
+    plain = [f.name for f in load.schema if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
+    key = F.pmod(F.xxhash64(*plain), F.lit(NULL_KEYS)).cast("int")
+    return _null_safe(load, load_hour, key).join(w, keys, "left").drop("_hour", "_no_hour")
 
 
 def join_holiday(df: DataFrame, holidays: DataFrame | None = None, date: str = "date") -> DataFrame:

@@ -10,7 +10,7 @@ from gridcast.operators import joins as J, relational as R
 from gridcast.plans import views as V
 from gridcast.plans.registry import query
 from gridcast.session import scratch_dir
-from gridcast.sources import dims, files, payload
+from gridcast.sources import dims, files, ingest, landing, payload
 
 
 def _load_rows(spark, sf):
@@ -213,15 +213,21 @@ def parse_fixed_ts(spark, sf):
 
 @query(
     "parse_coalesced_ts",
-    """select event_id, case event_id % 4 when 2 then cast(cast(ts as date) as timestamp)
-              when 3 then null else date_trunc('second', ts) end as t from events""",
+    """select event_id, case event_id % 8 when 2 then cast(cast(ts as date) as timestamp) when 3 then null
+              when 4 then ts when 5 then date_trunc('second', ts) - interval 3 hour when 6 then ts - interval 8 hour
+              when 7 then cast(cast(ts as date) as timestamp) else date_trunc('second', ts) end as t from events""",
 )
 def parse_coalesced_ts(spark, sf):
-    kind = F.col("event_id") % 4
+    kind, micros = F.col("event_id") % 8, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     text = (
         F.when(kind == 0, tp.format_ts("ts"))
         .when(kind == 1, tp.format_ts("ts", tp.ISO_SPACE))
         .when(kind == 2, F.date_format("ts", "yyyy-MM-dd"))
+        .when(kind == 4, micros)
+        # January in New York: five hours behind UTC.
+        .when(kind == 5, F.concat(tp.format_ts("ts", tp.ISO_T), F.lit("-02:00")))
+        .when(kind == 6, F.concat(micros, F.lit("+0300")))
+        .when(kind == 7, F.date_format("ts", "MMM d, yyyy"))
         .otherwise(F.concat(F.lit("no date "), F.col("event_id").cast("string")))
     )
     return V.table(spark, sf, "events").select("event_id", tp.parse_coalesced_ts(text).alias("t"))
@@ -337,3 +343,100 @@ def join_load_weather(spark, sf):
 def join_holiday(spark, sf):
     load = V.load_history(spark, sf).withColumn("date", F.to_date("ts_local"))
     return J.join_holiday(load).select("region", "ts_local", "holiday_name", "is_holiday")
+
+
+# From text files to the merged table, some lines damaged.
+
+
+def _damaged(df, number, time, bad_number, bad_time):
+    """The rows as text, with numbers that are none and times that are none."""
+    return df.withColumns({
+        number: F.when(bad_number, F.lit("n/a")).otherwise(F.col(number).cast("string")),
+        time: F.when(bad_time, F.lit("no time")).otherwise(F.col(time)),
+    })
+
+
+def _ingested(spark, sf):
+    load, wx = scratch_dir(spark, "ingest-load"), scratch_dir(spark, "ingest-weather")
+    kind = F.col("mw").cast("bigint") % 50
+    files.write_yearly_csv(_damaged(_load_rows(spark, sf), "mw", "datetime_beginning_ept", kind == 7, kind == 8), load)
+    kind = F.col("wind").cast("bigint") % 20
+    files.write_yearly_csv(_damaged(_weather_rows(spark, sf), "temp", "datetime_beginning_ept", kind == 3, kind == 4), wx, "weather_hourly")
+    return ingest.ingest_merged(spark, f"{load}/*{files.LOAD_GLOB}", f"{wx}/{files.WEATHER_GLOB}")
+
+
+_DST_OR_NULL = f"case when {V._DST.format(t='ts_local')} then null else ts_local end"
+
+
+@query(
+    "ingest_merged",
+    f"""select l.region as load_area, l.load as mw, cast(year(l.ts_local) as int) as year, {_US.format("l.ts_local")} as datetime_beginning_ept,
+               l.dt, w.temp, w.humidity, w.dew_point, w.precip, w.wind
+        from (select *, {_DST_OR_NULL} as dt from load_history where load % 50 not in (7, 8)) l
+        left join (
+          select * from (
+            select *, row_number() over (partition by region, wx order by ts_local, temp, humidity, dew_point nulls last, precip, wind) as rn
+            from (select *, {_DST_OR_NULL} as wx from weather_history where wind % 20 not in (3, 4)))
+          where rn = 1) w
+        on l.region = w.region and l.dt is not distinct from w.wx""",
+    ("load_history", "weather_history"),
+)
+def ingest_merged(spark, sf):
+    return _ingested(spark, sf)[0]
+
+
+@query(
+    "ingest_rejects",
+    """select 'load' as source, cast(year(ts_local) as int) as year,
+              case load % 50 when 7 then 'malformed line' else 'unreadable time' end as reason, count(*) as n
+       from load_history where load % 50 in (7, 8) group by 1, 2, 3
+       union all
+       select 'weather', cast(year(ts_local) as int),
+              case wind % 20 when 3 then 'malformed line' else 'unreadable time' end, count(*)
+       from weather_history where wind % 20 in (3, 4) group by 1, 2, 3""",
+    ("load_history", "weather_history"),
+)
+def ingest_rejects(spark, sf):
+    rejects = _ingested(spark, sf)[1]
+    return rejects.groupBy("source", file_year("source_path").alias("year"), "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Landing of weather payloads: two runs, the second with a later date.
+
+
+def _landing_payloads(spark, sf, manifest):
+    """The payload of each request: the hours of its month up to its last day."""
+    hours = V.load_history(spark, sf).select(
+        F.col("region").alias("load_area"), F.trunc("ts_local", "month").alias("start_date"),
+        F.struct(F.substring(tp.format_ts("ts_local", tp.ISO_T), 1, 16).alias("t"), "load").alias("r"), F.to_date("ts_local").alias("day"),
+    )
+    rows = manifest.select(*landing.KEYS).join(hours, ["load_area", "start_date"]).where(F.col("day") <= F.col("end_date"))
+    a = F.col("a")
+    hourly = F.struct(a["t"].alias("time"), a["load"].alias("temperature_2m"))
+    grouped = rows.groupBy(*landing.KEYS).agg(F.sort_array(F.collect_list("r")).alias("a"))
+    return grouped.select(*landing.KEYS, F.to_json(F.struct(hourly.alias("hourly"))).alias("payload"))
+
+
+@query(
+    "land_weather",
+    """select region as load_area, cast(date_trunc('month', u) as date) as start_date, strftime(u, '%Y-%m-%dT%H:%M:%S') as datetime_beginning_utc,
+              u as utc, et as local, strftime(et, '%Y-%m-%d %H:%M:%S') as datetime_beginning_ept, load as temp
+       from (select region, u, load, u - to_hours(case when u >= spring and u < autumn then 4 else 5 end) as et from (
+         select region, ts_local as u, load,
+                cast(make_date(year(ts_local), 4, 7) as timestamp)
+                  - to_days(cast(isodow(make_date(year(ts_local), 4, 7)) % 7 as int)) + interval 7 hour as spring,
+                cast(make_date(year(ts_local), 10, 31) as timestamp)
+                  - to_days(cast(isodow(make_date(year(ts_local), 10, 31)) % 7 as int)) + interval 6 hour as autumn
+         from load_history))
+       where u < timestamp '2001-06-16'""",
+    ("load_history",),
+)
+def land_weather(spark, sf):
+    path = scratch_dir(spark, "landing")
+    zones = V.table(spark, sf, "region").select(F.col("r_name").alias("load_area"))
+    for as_of in ("1998-06-15", "2001-06-15"):
+        manifest = dims.request_manifest(zones, 1992, 2001, F.to_date(F.lit(as_of)))
+        landing.land_weather(spark, manifest, _landing_payloads(spark, sf, manifest), path)
+    return landing.read_hours(spark, path).select(
+        "load_area", "start_date", "datetime_beginning_utc", "utc", "local", "datetime_beginning_ept", "temp"
+    )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from gridcast.functions import scalar as S
+from gridcast.functions import scalar as S, timeparse as tp
 from gridcast.operators import aggregates as A, evaluation as E, joins as J, labels as L, layout as LY, relational as R
-from gridcast.operators.forecasting import compare as C, linear as LIN, methods as M, regional as RG, score as SC
+from gridcast.operators.forecasting import compare as C, daily as DR, linear as LIN, methods as M, regional as RG, score as SC
 from gridcast.operators.forecasting.features import (
     DAILY_FEATURES,
     HOURLY_FEATURES,
@@ -92,8 +92,8 @@ _DAILY_SQL = f"""
       from model_frame group by 1, 2) d left join holidays h on d.date = h.date"""
 
 
-def _daily(spark, sf):
-    df = V.model_frame(spark, sf).withColumn("date", F.to_date("datetime"))
+def _daily(spark, sf, frame=None):
+    df = (V.model_frame(spark, sf) if frame is None else frame).withColumn("date", F.to_date("datetime"))
     return daily_features(df, base=BASE, hot=HOT, cold=COLD)
 
 
@@ -376,9 +376,9 @@ def refit_best_peak_hour(spark, sf):
     return R.tag_constant(SC.score_peak_hour(s["test"], fitted), "method", fitted.method.name)
 
 
-def _day_splits(spark, sf):
+def _day_splits(spark, sf, frame=None):
     """Labelled daily rows: rolling windows for training and tuning, the fixed period for the test."""
-    daily = _staged(R.drop_null_subset(_daily(spark, sf), DAILY_FEATURES), "daily")
+    daily = _staged(R.drop_null_subset(_daily(spark, sf, frame), DAILY_FEATURES), "daily")
     tune, end = _day(TUNE_START), _day(TRAIN_END[:10])
     ranges = {
         "train": (None, F.date_sub(tune, 1)),
@@ -516,3 +516,131 @@ def append_forecast_line(spark, sf):
     # The second run covers all days and adds the new ones only.
     files.append_forecast_line(lines, path, known=files.read_forecast_lines(spark, path))
     return files.read_forecast_lines(spark, path)
+
+
+# The daily run: saved models, landed payloads, one line per day. Its models are trees of one cut over all
+# rows, so SQL can find the same cuts.
+
+CHECK_LOAD = M.Method("one_cut", "rf_regressor", trees=1, depth=1, min_leaf=5, bootstrap=False)
+CHECK_HOUR = M.Method("one_cut", "rf_classifier", trees=1, depth=1, min_leaf=5, bootstrap=False)
+CHECK_DAY = M.Method("one_cut", "rf_classifier", trees=1, depth=1, min_leaf=10, weights="cost", bootstrap=False)
+RUN_START, RUN_END = TEST_START[:10], TEST_END[:10]
+
+
+def _check_models(spark, sf) -> str:
+    """Folder with saved models of the three tasks."""
+    path = scratch_dir(spark, "run-models")
+    # The joined table is built once for hours and days; holiday neighbours as in the run itself.
+    frame = _staged(V.model_frame(spark, sf), "merged")
+    rows = L.mark_peak_hour(hourly_features(frame, neighbours="calendar"))
+    train = _staged(temporal_split(rows, {"train": _ranges()["train"]}, required=[*HOURLY_FEATURES, "load"]), "hourly")
+    save_models(RG.fit_regional(train, CHECK_LOAD, ["hour"], "load", C.HOURLY_LOAD), path, spark)
+    save_models(RG.fit_regional(train, CHECK_HOUR, ["hour"], "is_peak_hour", C.PEAK_HOUR), path, spark)
+    d = _day_splits(spark, sf, frame)
+    save_models(C.fit_peak_day(d["train"], d["tune"], CHECK_DAY, ["temperature_max"]), path, spark)
+    return path
+
+
+def _run_payloads(spark, sf):
+    """One weather payload per zone and UTC day."""
+    wx = V.weather_history(spark, sf).where(F.col("ts_local").between(_ts(f"{RUN_START} 00:00:00"), F.lit(RUN_END).cast("timestamp_ntz") + F.expr("interval 2 days")))
+    first = R.dedup_first(wx, ["region", "ts_local"], [F.col(c) for c in V.WEATHER_ORDER])
+    hour = F.struct(F.substring(tp.format_ts("ts_local", tp.ISO_T), 1, 16).alias("t"), "temp", "humidity", "precip", "wind")
+    days = first.groupBy("region", F.to_date("ts_local").alias("day")).agg(F.sort_array(F.collect_list(hour)).alias("a"))
+    a = F.col("a")
+    hourly = F.struct(
+        a["t"].alias("time"), a["temp"].alias("temperature_2m"), a["humidity"].alias("relative_humidity_2m"),
+        a["precip"].alias("precipitation"), a["wind"].alias("wind_speed_10m"),
+    )
+    return days.select(F.col("region").alias("load_area"), F.to_json(F.struct(hourly.alias("hourly"))).alias("payload"))
+
+
+def _days_of(spark, start, end):
+    days = F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    return spark.range(1).select(days.alias("date"))
+
+
+def _one_cut(rows: str, x: str, y: str, weight: str, least: int) -> str:
+    """SQL: per region the cut of x (null: none) and the weighted means of y on both sides."""
+    return f"""
+      select region, cut, sl / wl as low, (s - sl) / (w - wl) as high, s / w as mean from (
+        select *, (x + above) / 2 as cut,
+               row_number() over (partition by region order by sl * sl / wl + (s - sl) * (s - sl) / (w - wl) desc, x) as k
+        from (
+          select region, x, lead(x) over a as above, sum(n) over a as nl, sum(wx) over a as wl, sum(sx) over a as sl,
+                 sum(n) over p as n, sum(wx) over p as w, sum(sx) over p as s
+          from (select region, {x} as x, count(*)::double as n, sum({weight})::double as wx, sum({weight} * {y})::double as sx
+                from {rows} where {x} is not null and {y} is not null group by 1, 2)
+          window a as (partition by region order by x), p as (partition by region))
+        where above is not null and nl >= {least} and n - nl >= {least})
+      where k = 1"""
+
+
+_RUN_SQL = f"""
+    feat as (select * from model_frame where temperature is not null and humidity is not null and precipitation is not null
+             and wind_speed is not null and load is not null),
+    peaks as (select *, row_number() over (partition by region, cast(datetime as date) order by load desc, datetime) = 1 as top
+              from model_frame),
+    hours as (select p.region, hour(p.datetime) as hour, p.load, p.top::int as is_peak_hour from peaks p
+              join feat f on f.region = p.region and f.datetime = p.datetime where p.datetime <= timestamp '{TRAIN_END}'),
+    load_cut as ({_one_cut("hours", "hour", "load", "1", 5)}),
+    hour_cut as ({_one_cut("hours", "hour", "is_peak_hour", "1", 5)}),
+    days as (select cast(datetime as date) as date, region, max(load) as load_max, max(temperature) as tmax from model_frame
+             group by 1, 2 having count(temperature) > 1 and count(humidity) > 0 and count(precipitation) > 0 and count(wind_speed) > 0),
+    labels as (
+      select w.region, w.window_end, d.date, d.tmax,
+             (row_number() over (partition by w.region, w.date order by d.load_max desc nulls last, d.date) <= 2)::int as y
+      from (select region, date, lead(date, 9) over (partition by region order by date) as window_end from days) w
+      join days d on d.region = w.region and d.date between w.date and w.window_end where w.window_end is not null),
+    day_train as (select * from labels where date < date '{TUNE_START}' and window_end < date '{TUNE_START}'),
+    day_cut as ({_one_cut("day_train", "tmax", "y", "(1 + 3 * y)", 10)}),
+    tune as (select l.region, l.y, case when l.tmax <= c.cut then c.low else c.high end as p from labels l join day_cut c
+             on c.region = l.region where l.date between date '{TUNE_START}' and date '{TRAIN_END[:10]}'
+             and l.window_end <= date '{TRAIN_END[:10]}'),
+    limits as (
+      select region, arg_min(t, (loss, t)) as t from (
+        select region, t, count(*) filter (where y = 1 and p < t) * 4 + count(*) filter (where y = 0 and p >= t) as loss
+        from tune, (select 0.1::double + i * ((0.1::double + 0.01::double) - 0.1::double) as t from generate_series(0, 89) g(i))
+        group by 1, 2) group by 1),
+    wx as (
+      select region, u - interval 5 hour as t, temp from (
+        select region, ts_local as u, temp, row_number() over (partition by region, ts_local order by
+               l_orderkey, l_linenumber, l_partkey, l_suppkey, temp, wind) as k
+        from weather_history where ts_local between timestamp '{RUN_START}' and timestamp '{RUN_END}' + interval 2 day) where k = 1),
+    now as (select region, cast(t as date) as date, hour(t) as hour, temp from wx
+            where cast(t as date) between date '{RUN_START}' and date '{RUN_END}'),
+    zones as (select r_name as region, row_number() over (order by r_name) - 1 as z, count(*) over () as nz from region),
+    run_days as (select cast(d as date) as date from generate_series(timestamp '{RUN_START}', timestamp '{RUN_END}', interval 1 day) g(d)),
+    loads as (select n.region, n.date, n.hour, cast(cast(round_even(case when n.hour <= c.cut then c.low else c.high end, 0) as bigint) as varchar) as v
+              from now n join load_cut c on c.region = n.region),
+    tops as (select n.region, n.date, cast(arg_min(n.hour, (-(case when n.hour <= c.cut then c.low else c.high end), n.hour)) as varchar) as v
+             from now n join hour_cut c on c.region = n.region group by 1, 2),
+    flags as (select n.region, n.date, cast((case when max(n.temp) <= any_value(c.cut) then any_value(c.low) else any_value(c.high) end
+                                             >= any_value(coalesce(l.t, 0.5)))::int as varchar) as v
+              from now n join day_cut c on c.region = n.region left join limits l on l.region = n.region group by 1, 2),
+    slots as (
+      select d.date, z.z * 24 + h.hour as slot, v.v from run_days d, zones z, generate_series(0, 23) h(hour)
+             left join loads v on v.date = d.date and v.region = z.region and v.hour = h.hour
+      union all
+      select d.date, 24 * z.nz + z.z, v.v from run_days d cross join zones z left join tops v on v.date = d.date and v.region = z.region
+      union all
+      select d.date, 25 * z.nz + z.z, v.v from run_days d cross join zones z left join flags v on v.date = d.date and v.region = z.region)
+    select date, '"' || cast(date as varchar) || '",' || string_agg(coalesce(v, '0'), ',' order by slot) as line
+    from slots group by date"""
+
+
+def _run_sql() -> str:
+    views = V.sql("", "model_frame").rstrip()
+    return f"{views},{_RUN_SQL}"
+
+
+@query("forecast_run", _run_sql())
+def forecast_run(spark, sf):
+    models, path = _check_models(spark, sf), scratch_dir(spark, "published")
+    payloads = _staged(_run_payloads(spark, sf), "run-payloads")
+    zones = dims.zone_ordinal(V.table(spark, sf, "region").select(F.col("r_name").alias("load_area")))
+    limits = DR.Limits(BASE, HOT, COLD)
+    # Half of the days first; the second run covers all and adds the rest only.
+    DR.forecast_run(spark, payloads, models, zones, _days_of(spark, RUN_START, "2000-11-24"), path, limits)
+    lines = DR.forecast_run(spark, payloads, models, zones, _days_of(spark, RUN_START, RUN_END), path, limits)
+    return lines.withColumnRenamed("forecast_date", "date")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridcast.functions import calendar as cal, scalar as S
 from gridcast.operators import aggregates as A, joins as J, labels as L, layout as LY, relational as R
 from gridcast.plans import views as V
 from gridcast.plans.registry import query
+from gridcast.session import written
 from gridcast.sources import dims
 
 METRICS = A.PROFILE_METRICS
@@ -175,16 +178,21 @@ def same_calendar_date(spark, sf):
     return R.same_calendar_date(R.distinct_values(targets, ["region", "date"]), load)
 
 
-_GUARD = """select region from load_history group by 1
-            having count(*) filter (where ts_local < timestamp '1995-06-01') >= 1000
-               and count(*) filter (where ts_local >= timestamp '1995-06-01') >= 1"""
+# The least number of training rows is the zones' mean, so some zones stay and some go at every scale.
+_GUARD = """select region from (
+              select region, count(*) filter (where ts_local < timestamp '1995-06-01') as n,
+                     count(*) filter (where ts_local >= timestamp '1995-06-01') as later from load_history group by 1)
+            where later >= 1 and n >= (select cast(avg(n) as bigint) from (
+              select count(*) filter (where ts_local < timestamp '1995-06-01') as n from load_history group by region))"""
 
 
 @query("min_rows_guard", f"select * from load_history where region in ({_GUARD})", ("load_history",))
 def min_rows_guard(spark, sf):
-    load = V.load_history(spark, sf)
+    load = written(V.load_history(spark, sf), "guarded")
     cut = _ts("1995-06-01 00:00:00")
-    keys = R.min_rows_guard(load.where(F.col("ts_local") < cut), load.where(F.col("ts_local") >= cut), "region", 1000)
+    train, test = load.where(F.col("ts_local") < cut), load.where(F.col("ts_local") >= cut)
+    n, zones = load.agg(F.count_if(F.col("ts_local") < cut), F.countDistinct("region")).first()
+    keys = R.min_rows_guard(train, test, "region", math.floor(n / zones + 0.5) if zones else 1)
     return R.semi_join_membership(load, keys, ["region"])
 
 
@@ -424,7 +432,8 @@ def class_weights(spark, sf):
     ("hourly_feat",),
 )
 def adjacent_holiday_flags(spark, sf):
-    df = V.profile_frame(spark, sf).select("region", "datetime", F.to_date("datetime").alias("date"))
+    # Read twice by the operator, so written first.
+    df = written(V.profile_frame(spark, sf).select("region", "datetime", F.to_date("datetime").alias("date")), "profile")
     df = J.join_holiday(df)
     return L.adjacent_holiday_flags(df).select(
         "region", "datetime", "is_holiday", "is_day_before_holiday", "is_day_after_holiday"
@@ -631,7 +640,7 @@ def hour_label(spark, sf):
 def join_values(spark, sf):
     df = V.load_hourly(spark, sf)
     zones = dims.zone_ordinal(R.distinct_values(df, ["load_area"]))
-    df = df.join(F.broadcast(zones), "load_area").select(
+    df = df.join(R.broadcast_if_small(zones), "load_area").select(
         F.to_date("dt_hour").alias("date"),
         ((F.col("zone_id") - 1) * 24 + F.hour("dt_hour")).alias("slot"),
         F.col("mw").cast("bigint").alias("value"),

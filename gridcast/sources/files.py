@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridcast.functions.scalar import file_year, nan_to_null
@@ -147,8 +148,13 @@ def append_forecast_line(
 
 
 def read_forecast_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their day, which is the first, quoted value."""
-    lines = spark.read.schema("value string").text(path)
+    """Lines with their day, which is the first, quoted value; none where nothing was published yet."""
+    try:
+        lines = spark.read.schema("value string").text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "value string")
     day = F.to_date(F.regexp_extract("value", r'^"(\d{4}-\d{2}-\d{2})"', 1))
     return lines.select(day.alias("forecast_date"), F.col("value").alias("line"))
 
