@@ -322,58 +322,118 @@ def _splits(spark, sf):
     return {s: rows.where(F.col("split") == s).drop("split") for s in ("train", "test", "final_train")}
 
 
+# Full models cannot be written in SQL. Their queries return what SQL can know of them: which zones, days and
+# methods have results, the true values, and properties that hold for any sound model.
+
+_FEAT = """feat as (select * from model_frame where temperature is not null and humidity is not null and precipitation is not null
+             and wind_speed is not null and load is not null)"""
+_TRAIN, _TEST = f"datetime <= timestamp '{TRAIN_END}'", f"datetime between timestamp '{TEST_START}' and timestamp '{TEST_END}'"
+_LOAD_SIZES = f"""sizes as (select region, count(*) filter (where {_TRAIN}) as n_train, count(*) filter (where {_TEST}) as n_test
+                   from feat group by 1)"""
+
+
+def _model_sql(body: str, *ctes: str, views: tuple[str, ...] = ("model_frame",)) -> str:
+    return V.sql("", *views).rstrip() + "," + ", ".join(ctes) + " " + body
+
+
+def _trial_sql(*methods: str) -> str:
+    names = ", ".join(f"('{m}')" for m in methods)
+    return _model_sql(
+        f"select region, method, n_train, n_test, true as consistent, true as better_than_mean from sizes, (values {names}) m(method) where n_train > 0 and n_test > 0",
+        _FEAT, _LOAD_SIZES,
+    )
+
+
+def _sound(metrics):
+    """Metrics as properties: mse, rmse and mae agree, and the pooled error is below that of the test rows' own mean."""
+    consistent = (F.abs(F.col("rmse") * F.col("rmse") - F.col("mse")) <= 1e-9 * F.col("mse")) & (F.col("mae") <= F.col("rmse") * (1 + 1e-9))
+    # 1 - r2 is the squared error as a share of that of the mean; zones with few test rows count by their rows.
+    share = F.sum(F.col("mse") * F.col("n_test")).over(Window.partitionBy("method"))
+    total = F.sum(F.when(F.col("r2") < 1, F.col("mse") * F.col("n_test") / (1 - F.col("r2")))).over(Window.partitionBy("method"))
+    return metrics.select("region", "method", "n_train", "n_test", consistent.alias("consistent"), (share < total).alias("better_than_mean"))
+
+
 def _load_trial(name):
     def run(spark, sf):
         s = _splits(spark, sf)
-        return C.load_metrics(s["train"], C.score_load(s["train"], s["test"], LOAD[name]))
+        return _sound(C.load_metrics(s["train"], C.score_load(s["train"], s["test"], LOAD[name])))
 
     return run
 
 
-query("ols_interactions")(_load_trial("linear"))
-query("rf_regressor")(_load_trial("random_forest"))
-query("gbt_regressor")(_load_trial("boosted_trees"))
+query("ols_interactions", _trial_sql("linear"))(_load_trial("linear"))
+query("rf_regressor", _trial_sql("random_forest"))(_load_trial("random_forest"))
+query("gbt_regressor", _trial_sql("boosted_trees"))(_load_trial("boosted_trees"))
 
 
-@query("compare_load_models")
+@query("compare_load_models", _trial_sql(*LOAD))
 def compare_load_models(spark, sf):
     s = _splits(spark, sf)
-    return C.compare_load_models(s["train"], s["test"], LOAD)
+    return _sound(_staged(C.compare_load_models(s["train"], s["test"], LOAD), "load-results"))
+
 
+_SCORED = f"""select cast(datetime as date) as date, region, cast(hour(datetime) as int) as hour, true as whole from feat where {_TEST}"""
 
-@query("refit_best_load")
+
+def _whole_loads(scored):
+    """Forecast hours, and whether the load is a number in the range of loads."""
+    return scored.select("date", "region", "hour", F.coalesce(F.col("predicted_load").between(-1e9, 1e9), F.lit(False)).alias("whole"))
+
+
+@query("refit_best_load", _model_sql(_SCORED, _FEAT))
 def refit_best_load(spark, sf):
     s = _splits(spark, sf)
     results = _staged(C.compare_load_models(s["train"], s["test"], LOAD), "load-results")
     fitted = C.refit_best_load(results, s["final_train"], LOAD)
-    return R.tag_constant(SC.score_hourly(s["test"], fitted), "method", fitted.method.name)
+    return _whole_loads(SC.score_hourly(s["test"], fitted))
+
+
+_HOUR_TRIAL = f"""select region, date, arg_min(hour, (-load, hour)) as actual, '{{}}' as method, true as possible from (
+      select f.region, cast(datetime as date) as date, cast(hour(datetime) as int) as hour, load from feat f
+      join sizes s on s.region = f.region where s.n_train >= 100 and {_TEST}) group by 1, 2"""
+
+
+def _possible(hour):
+    return F.coalesce(F.col(hour).between(0, 23), F.lit(False)).alias("possible")
 
 
 def _hour_trial(name):
     def run(spark, sf):
         s = _splits(spark, sf)
-        return C.peak_hour_results(s["train"], s["test"], HOUR[name])
+        return C.peak_hour_results(s["train"], s["test"], HOUR[name]).select("region", "date", "actual", "method", _possible("pred"))
 
     return run
 
 
-query("peak_hour_linear")(_hour_trial("linear"))
-query("peak_hour_rf")(_hour_trial("random_forest"))
-query("peak_hour_gbt")(_hour_trial("boosted_trees"))
+for _key, _name in (("peak_hour_linear", "linear"), ("peak_hour_rf", "random_forest"), ("peak_hour_gbt", "boosted_trees")):
+    query(_key, _model_sql(_HOUR_TRIAL.format(_name), _FEAT, _LOAD_SIZES))(_hour_trial(_name))
 
 
-@query("compare_peak_hour_models")
+@query(
+    "compare_peak_hour_models",
+    _model_sql(
+        f"""select method, total, true as consistent from (values {", ".join(f"('{m}')" for m in HOUR)}) m(method),
+            (select count(*) as total from (select distinct f.region, cast(datetime as date) from feat f join sizes s on s.region = f.region
+             where s.n_train >= 100 and {_TEST}))""",
+        _FEAT, _LOAD_SIZES,
+    ),
+)
 def compare_peak_hour_models(spark, sf):
     s = _splits(spark, sf)
-    return C.compare_peak_hour_models(s["train"], s["test"], HOUR)
+    summary = _staged(C.compare_peak_hour_models(s["train"], s["test"], HOUR), "hour-results")
+    consistent = (F.col("correct") + F.col("incorrect") == F.col("total")) & (F.abs(F.col("success_rate") - 100 * F.col("correct") / F.col("total")) < 1e-9)
+    return summary.select("method", "total", consistent.alias("consistent"))
+
 
+_HOURS_OF_DAYS = f"select distinct cast(datetime as date) as date, region, true as possible from feat where {_TEST}"
 
-@query("refit_best_peak_hour")
+
+@query("refit_best_peak_hour", _model_sql(_HOURS_OF_DAYS, _FEAT))
 def refit_best_peak_hour(spark, sf):
     s = _splits(spark, sf)
     summary = _staged(C.compare_peak_hour_models(s["train"], s["test"], HOUR), "hour-results")
     fitted = C.refit_best_peak_hour(summary, s["final_train"], HOUR)
-    return R.tag_constant(SC.score_peak_hour(s["test"], fitted), "method", fitted.method.name)
+    return SC.score_peak_hour(s["test"], fitted).select("date", "region", _possible("peak_hour"))
 
 
 def _day_splits(spark, sf, frame=None):
@@ -388,74 +448,149 @@ def _day_splits(spark, sf, frame=None):
     rows = L.rolling_peak_day_labels(daily)
     rows = _staged(temporal_split(rows, ranges, ts="date", window_end="window_end"), "rolling")
     out = {s: rows.where(F.col("split") == s).drop("split") for s in ranges}
-    out["test"] = L.period_peak_day_labels(daily, _day(TEST_START[:10]), _day(TEST_END[:10]))
+    out["test"] = _staged(L.period_peak_day_labels(daily, _day(TEST_START[:10]), _day(TEST_END[:10])), "period")
     return out
 
 
+_DAYS = """days as (select cast(datetime as date) as date, region, max(load) as load_max, max(temperature) as tmax from model_frame
+             group by 1, 2 having count(temperature) > 1 and count(humidity) > 0 and count(precipitation) > 0 and count(wind_speed) > 0)"""
+_DAY_TEST = f"""day_test as (select region, date, (row_number() over (partition by region order by load_max desc nulls last, date) <= 2)::int as y
+                  from days where date between date '{TEST_START[:10]}' and date '{TEST_END[:10]}')"""
+_DAY_TRIAL = """select region, count(*) filter (where y = 1) as positives, count(*) filter (where y = 0) as negatives,
+                       true as consistent, true as threshold_on_grid from day_test group by 1"""
+
+
+def _day_counts(confusion):
+    return [
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        (F.col("tn") + F.col("fp")).alias("negatives"),
+        ((F.col("total_loss") == 4 * F.col("fn") + F.col("fp")) & F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)).alias("consistent"),
+    ]
+
+
 def _day_trial(name):
     def run(spark, sf):
         s = _day_splits(spark, sf)
         fitted = C.fit_peak_day(s["train"], s["tune"], DAY[name])
-        scored = C.classify_peak_day(s["test"], fitted)
-        return E.confusion_metrics(scored, ["region"]).join(C.thresholds(fitted), "region")
+        scored = E.confusion_metrics(C.classify_peak_day(s["test"], fitted), ["region"]).join(C.thresholds(fitted), "region")
+        grid = F.array(*[E.threshold_at(i) for i in range(90)])
+        return scored.select("region", *_day_counts(scored), F.array_contains(grid, F.col("threshold")).alias("threshold_on_grid"))
 
     return run
 
 
-query("peak_day_rf")(_day_trial("random_forest"))
-query("peak_day_gbt")(_day_trial("boosted_trees"))
-query("peak_day_logistic")(_day_trial("logistic"))
+for _key, _name in (("peak_day_rf", "random_forest"), ("peak_day_gbt", "boosted_trees"), ("peak_day_logistic", "logistic")):
+    query(_key, _model_sql(_DAY_TRIAL, _DAYS, _DAY_TEST))(_day_trial(_name))
+
+
+@query(
+    "logistic_gradient",
+    _model_sql("select region, true as slope_is_zero, true as loss_below_constant from days group by 1", _DAYS),
+)
+def logistic_gradient(spark, sf):
+    """The gradient of the penalised loss at each zone's coefficients, and the loss against that of no feature."""
+    s = _day_splits(spark, sf)
+    fitted = RG.fit_regional(s["train"], DAY["logistic"], DAILY_FEATURES, "is_peak_day", C.PEAK_DAY)
+    w = F.when(F.col("is_peak_day") == 1, 4.0).otherwise(1.0)
+    constant = s["train"].groupBy("region").agg(F.sum(w).alias("w"), F.sum(w * F.col("is_peak_day")).alias("s"))
+    share = F.col("s") / F.col("w")
+    bound = -(F.col("s") * F.log(share) + (F.col("w") - F.col("s")) * F.log(1 - share))
+    return fitted.table.join(constant, "region").select(
+        "region", (F.col("slope") <= 1e-6).alias("slope_is_zero"), (F.col("loss") < bound).alias("loss_below_constant")
+    )
 
 
-@query("compare_peak_day_models")
+_DAY_METHODS = ", ".join(f"('{m}')" for m in DAY)
+
+
+@query(
+    "compare_peak_day_models",
+    _model_sql(
+        f"""select method, count(*) filter (where y = 1) as positives, count(*) filter (where y = 0) as negatives, true as consistent
+            from day_test, (values {_DAY_METHODS}) m(method) group by 1""",
+        _DAYS, _DAY_TEST,
+    ),
+)
 def compare_peak_day_models(spark, sf):
     s = _day_splits(spark, sf)
-    return C.compare_peak_day_models(s["train"], s["tune"], s["test"], DAY)
+    summary = C.compare_peak_day_models(s["train"], s["tune"], s["test"], DAY)
+    return summary.select("method", *_day_counts(summary))
+
+
+_FLAGGED = "select date, region, true as flag_is_binary from day_test"
 
 
-@query("refit_best_peak_day")
+def _binary(flags):
+    return flags.select("date", "region", F.coalesce(F.col("peak_day_pred").isin(0, 1), F.lit(False)).alias("flag_is_binary"))
+
+
+@query("refit_best_peak_day", _model_sql(_FLAGGED, _DAYS, _DAY_TEST))
 def refit_best_peak_day(spark, sf):
     s = _day_splits(spark, sf)
     classified, fits = C.peak_day_trials(s["train"], s["tune"], s["test"], DAY)
     fitted = C.refit_best_peak_day(C.peak_day_summary(classified), fits, s["final_train"])
-    return R.tag_constant(SC.score_peak_day(s["test"], fitted), "method", fitted.method.name)
+    return _binary(SC.score_peak_day(s["test"], fitted))
 
 
-@query("score_hourly")
+@query("score_hourly", _model_sql(_SCORED, _FEAT))
 def score_hourly(spark, sf):
     s = _splits(spark, sf)
-    return SC.score_hourly(s["test"], RG.fit_regional(s["train"], LOAD["linear"], HOURLY_FEATURES, "load", C.HOURLY_LOAD))
+    return _whole_loads(SC.score_hourly(s["test"], RG.fit_regional(s["train"], LOAD["linear"], HOURLY_FEATURES, "load", C.HOURLY_LOAD)))
 
 
-@query("score_peak_hour")
+@query("score_peak_hour", _model_sql(_HOURS_OF_DAYS, _FEAT))
 def score_peak_hour(spark, sf):
     s = _splits(spark, sf)
     fitted = RG.fit_regional(s["train"], HOUR["random_forest"], HOURLY_FEATURES, "is_peak_hour", C.PEAK_HOUR)
-    return SC.score_peak_hour(s["test"], fitted)
+    return SC.score_peak_hour(s["test"], fitted).select("date", "region", _possible("peak_hour"))
 
 
-@query("score_peak_day")
+@query("score_peak_day", _model_sql(_FLAGGED, _DAYS, _DAY_TEST))
 def score_peak_day(spark, sf):
     s = _day_splits(spark, sf)
-    return SC.score_peak_day(s["test"], C.fit_peak_day(s["train"], s["tune"], DAY["random_forest"]))
+    return _binary(SC.score_peak_day(s["test"], C.fit_peak_day(s["train"], s["tune"], DAY["random_forest"])))
 
 
 def _saved_day_models(spark, sf):
     s = _day_splits(spark, sf)
     path = scratch_dir(spark, "models")
-    registry = save_models(C.fit_peak_day(s["train"], s["tune"], DAY["logistic"]), path, spark)
-    return path, registry, s
+    fitted = C.fit_peak_day(s["train"], s["tune"], DAY["logistic"])
+    return path, fitted, save_models(fitted, path, spark), s
+
 
+_FEATURE_LIST = "[" + ", ".join(f"'{f}'" for f in DAILY_FEATURES) + "]"
 
-@query("save_models")
+
+@query(
+    "save_models",
+    _model_sql(
+        f"""select 'peak_day' as task, region, 'logistic' as method, array_to_string({_FEATURE_LIST}, ',') as features,
+                   true as threshold_on_grid, 4.0::double as scale_pos_weight from days group by 2""",
+        _DAYS,
+    ),
+)
 def save_models_query(spark, sf):
-    return _saved_day_models(spark, sf)[1].drop("version", "settings")
+    registry = _saved_day_models(spark, sf)[2]
+    on_grid = F.array_contains(F.array(*[E.threshold_at(i) for i in range(90)]), F.col("threshold"))
+    return registry.select("task", "region", "method", F.array_join("features", ",").alias("features"), on_grid.alias("threshold_on_grid"), "scale_pos_weight")
 
 
-@query("load_models")
+@query("load_models", _model_sql("select date, region, true as same_as_saved from day_test", _DAYS, _DAY_TEST))
 def load_models_query(spark, sf):
-    path, _, s = _saved_day_models(spark, sf)
-    return SC.score_peak_day(s["test"], load_models(spark, path, C.PEAK_DAY))
+    path, fitted, _, s = _saved_day_models(spark, sf)
+    before = C.classify_peak_day(s["test"], fitted).select("date", "region", "p", "peak_day_pred")
+    after = C.classify_peak_day(s["test"], load_models(spark, path, C.PEAK_DAY)).select("date", "region", F.col("p").alias("q"), F.col("peak_day_pred").alias("flag"))
+    same = (F.col("p") == F.col("q")) & (F.col("flag") == F.col("peak_day_pred"))
+    return before.join(after, ["date", "region"], "left").select("date", "region", F.coalesce(same, F.lit(False)).alias("same_as_saved"))
+
+
+@query("skipped_models", _model_sql("select 'hourly_load' as task, 'one_cut' as method, region, 'no complete training row' as reason from (select region, row_number() over (order by region) as k from days group by 1) where k = 1", _DAYS))
+def skipped_models(spark, sf):
+    """The report of zones without a model: the first zone's rows lack their loads."""
+    frame = _staged(V.model_frame(spark, sf).select("region", "datetime", "load", F.hour("datetime").alias("hour")), "skips")
+    first = frame.agg(F.min("region")).first()[0]
+    rows = frame.withColumn("load", F.when(F.col("region") != F.lit(first), F.col("load")))
+    return RG.skipped_table([RG.fit_regional(rows, CHECK_LOAD, ["hour"], "load", C.HOURLY_LOAD)], spark)
 
 
 # Flagship: the forecast line of every day, predicted by the day before.

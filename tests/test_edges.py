@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridcast.functions import calendar as cal, scalar as S, timeparse as tp
 from gridcast.operators import aggregates as A, evaluation as E, joins as J, labels as L, layout as LY, relational as R
 from gridcast.operators.blocks import dense_index
-from gridcast.sources import dims, files, payload
+from gridcast.sources import dims, files, ingest as IN, landing as LD, payload
 
 DAY0 = dt.date(2020, 1, 1)
 
@@ -297,3 +297,83 @@ def test_too_many_zones_fail_before_they_are_gathered(spark):
     zones = spark.range(50).select(F.col("id").cast("string").alias("z"))
     with pytest.raises(Exception, match="not a dimension"):
         zones.limit(1).select(J.bounded_keys(zones, "z", max_keys=20)).collect()
+
+
+# Landing, ingest and null hours.
+
+
+def _manifest(spark, *rows):
+    return spark.createDataFrame([(z, dt.date(2020, m, 1), dt.date(2020, m, d)) for z, m, d in rows], "load_area string, start_date date, end_date date")
+
+
+def _payload_rows(spark, *rows):
+    out = []
+    for z, m, d, hours in rows:
+        times = ", ".join(f'"2020-{m:02d}-01T{h:02d}:00"' for h in range(hours))
+        body = f'{{"hourly": {{"time": [{times}], "temperature_2m": {[float(m)] * hours}}}}}' if hours else '{"error": true}'
+        out.append((z, dt.date(2020, m, 1), dt.date(2020, m, d), body))
+    return spark.createDataFrame(out, "load_area string, start_date date, end_date date, payload string")
+
+
+def test_landing_writes_only_what_is_open(spark, tmp_path):
+    path = str(tmp_path)
+    first = _manifest(spark, ("a", 1, 31), ("b", 1, 31), ("a", 2, 10))
+    payloads = _payload_rows(spark, ("a", 1, 31, 3), ("b", 1, 31, 0), ("a", 2, 10, 2))
+    assert {(r.load_area, r.start_date.month): r.n_rows for r in LD.land_weather(spark, first, payloads, path).collect()} == {("a", 1): 3, ("a", 2): 2}
+    # The payload without hours stays open; a second run with nothing new writes nothing.
+    assert [tuple(r)[:1] for r in LD.open_requests(spark, first, path).collect()] == [("b",)]
+    january = {f: f.stat().st_mtime_ns for f in (tmp_path / "hours" / "start_date=2020-01-01").glob("*.parquet")}
+    assert LD.land_weather(spark, first, payloads, path).isEmpty()
+    # A month that grew is replaced, other months keep their files.
+    LD.land_weather(spark, _manifest(spark, ("a", 2, 29)), _payload_rows(spark, ("a", 2, 29, 5)), path)
+    assert january == {f: f.stat().st_mtime_ns for f in (tmp_path / "hours" / "start_date=2020-01-01").glob("*.parquet")}
+    LD.land_weather(spark, first, _payload_rows(spark, ("b", 1, 31, 4)), path)
+    rows = LD.read_hours(spark, path).groupBy("load_area", F.month("start_date").alias("m")).count().collect()
+    assert {(r.load_area, r.m): r["count"] for r in rows} == {("a", 1): 3, ("a", 2): 5, ("b", 1): 4}
+    one = LD.read_hours(spark, path).where("load_area = 'a' and datetime_beginning_utc = '2020-01-01T00:00:00'").first()
+    assert str(one.local) == "2019-12-31 19:00:00" == one.datetime_beginning_ept
+
+
+def test_rejected_lines_and_merged_rows_add_up(spark, tmp_path):
+    load, wx = tmp_path / "hrl_load_metered_2020.csv", tmp_path / "weather_hourly_2020.csv"
+    load.write_text(
+        "datetime_beginning_ept,load_area,mw\n1/1/2020 1:00:00 AM,a,5\n1/1/2020 2:00:00 AM,a,x\nnever,a,6\n"
+        "1/1/2020 3:00:00 AM,a\n1/1/2020 4:00:00 AM,a,7,8\n3/8/2020 2:00:00 AM,a,9\n1/1/2020 5:00:00 AM,b,1\n1/1/2020 6:00:00 AM,a,NaN\n"
+    )
+    wx.write_text(
+        "datetime_beginning_utc,temp,humidity,dew_point,precip,wind,datetime_beginning_ept,load_area\n"
+        "2020-01-01T06:00:00,1,2,3,4,5,2020-01-01 01:00:00,a\n2020-01-01T05:00:00,9,2,3,4,5,2020-01-01 01:00:00,a\n"
+        "2020-01-01T11:00:00,bad,2,3,4,5,2020-01-01 06:00:00,a\n2020-03-08T07:00:00,7,2,3,4,5,2020-03-08 02:00:00,a\n"
+    )
+    merged, rejects = IN.ingest_merged(spark, str(load), str(wx))
+    got = {(r.load_area, r.datetime_beginning_ept): (r.mw, r.temp) for r in merged.collect()}
+    # The hour that the clock skips has no local time and meets the weather of such an hour.
+    assert got == {
+        ("a", "1/1/2020 1:00:00 AM"): (5.0, 9.0), ("a", "3/8/2020 2:00:00 AM"): (9.0, 7.0),
+        ("b", "1/1/2020 5:00:00 AM"): (1.0, None), ("a", "1/1/2020 6:00:00 AM"): (None, None),
+    }
+    bad = sorted((r.source, r.reason, r.line) for r in rejects.collect())
+    assert [b[:2] for b in bad] == [("load", IN.MALFORMED)] * 3 + [("load", IN.NO_TIME), ("weather", IN.MALFORMED)]
+    assert "1/1/2020 4:00:00 AM,a,7,8" in [b[2] for b in bad] and len(got) + 4 == 8
+    assert IN.ingest_merged(spark, str(load), str(wx), ["b"])[0].count() == 1
+
+
+def test_null_hours_are_dealt_over_many_keys(spark):
+    n = 6_400
+    load = spark.range(n).select(F.lit("z").alias("load_area"), F.lit(None).cast("timestamp_ntz").alias("dt_ept"), F.col("id").cast("double").alias("mw"))
+    wx = spark.range(50).select(
+        F.lit("z").alias("load_area"), F.lit(None).cast("timestamp_ntz").alias("wx_ept"), F.col("id").alias("o"),
+        *[(F.col("id") + 10.0).alias(c) for c in ("temp", "humidity", "dew_point", "precip", "wind")],
+    )
+    out = J.join_load_weather(load, wx.withColumn("o", 50 - F.col("o")), [F.col("o")])
+    assert out.count() == n and {r.temp for r in out.select("temp").distinct().collect()} == {59.0}
+    key = F.pmod(F.xxhash64("load_area", "dt_ept", "mw"), F.lit(J.NULL_KEYS))
+    per_key = load.groupBy(key).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert per_key[1] == J.NULL_KEYS and per_key[0] < 2 * n / J.NULL_KEYS
+
+
+def test_offsets_keep_their_fraction(spark):
+    texts = ["2020-01-01 12:00:00.250000+0000", "2020-07-01T12:00:00.5+02:00", "2020-01-01T12:00:00Z", "Jan 5, 2020", "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: str(r.v) for r in df.select("i", tp.parse_coalesced_ts("t").cast("string").alias("v")).collect()}
+    assert got[0] == "2020-01-01 07:00:00.25" and got[2] == "2020-01-01 07:00:00" and got[3] == "2020-01-05 00:00:00" and got[4] == "None"
