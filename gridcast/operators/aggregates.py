@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -119,6 +120,23 @@ def distinct_counts(df: DataFrame, cols: Mapping[str, Column | str], approx: boo
     return df.agg(*[count(as_col(c)).alias(n) for n, c in cols.items()])
 
 
+#: Buckets of a sketch, as a power of two, and its relative standard error, 1.04 / sqrt(buckets).
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / math.sqrt(1 << SKETCH_BITS)
+
+
+def distinct_sketches(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column | str], bits: int = SKETCH_BITS) -> DataFrame:
+    """AG7, kept: per group (say, a year) one sketch of a few KB for each column's distinct known values. Sketches of
+    later groups are added as rows; no earlier row is read again."""
+    return df.groupBy(*keys).agg(*[F.hll_sketch_agg(as_col(c).cast("string"), bits).alias(n) for n, c in cols.items()])
+
+
+def merged_distinct(sketches: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """AG7 from sketches: estimated distinct values over all groups, or per ``keys``. The relative standard error is
+    ``SKETCH_ERROR`` at the default size; a column without a known value has 0."""
+    return sketches.groupBy(*keys).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in cols])
+
+
 def extent(df: DataFrame, ts: str) -> DataFrame:
     """AG8."""
     return df.agg(F.min(ts).alias("first"), F.max(ts).alias("last"))

@@ -386,6 +386,23 @@ def distinct_counts(spark, sf):
     return A.distinct_counts(V.merged(spark, sf), {"n_zones": "region", "n_days": F.to_date("dt")})
 
 
+@query(
+    "distinct_sketches",
+    """select count(distinct region) as n_zones, true as days_within_bound, true as hours_within_bound,
+              count(distinct cast(dt as date)) as n_days, count(distinct dt) as n_hours from merged""",
+    ("merged",),
+)
+def distinct_sketches(spark, sf):
+    """Yearly sketches, kept as a table and merged, against the exact counts; the bound is three standard errors."""
+    df = V.merged(spark, sf).select("region", "dt", F.year("dt").alias("year"))
+    cols = {"zones": "region", "days": F.to_date("dt"), "hours": "dt"}
+    kept = written(A.distinct_sketches(df, ["year"], cols), "sketches")
+    near = lambda c, n: (F.abs(F.col(c) - F.col(n)) <= 3 * A.SKETCH_ERROR * F.col(n)).alias(f"{c}_within_bound")
+    exact = A.distinct_counts(df, {"n_days": F.to_date("dt"), "n_hours": "dt"}).withColumn("one", F.lit(1))
+    both = A.merged_distinct(kept, list(cols)).withColumn("one", F.lit(1)).join(exact, "one")
+    return both.select(F.col("zones").alias("n_zones"), near("days", "n_days"), near("hours", "n_hours"), "n_days", "n_hours")
+
+
 @query("extent", "select min(ts_local) as first, max(ts_local) as last from load_history", ("load_history",))
 def extent(spark, sf):
     return A.extent(V.load_history(spark, sf), "ts_local")

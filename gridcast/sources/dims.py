@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridcast.functions.calendar import holiday_rule, holiday_rule_observed
 from gridcast.functions.timeparse import month_end
+from gridcast.session import written
 
 # The 29 load areas with latitude and longitude, in output order.
 ZONES = (
@@ -40,8 +41,6 @@ ZONES = (
     ("VMEU", 37.30, -76.00),
 )
 ZONE_NAMES = tuple(z[0] for z in ZONES)
-# Most rows that a zone dimension may have.
-MAX_ZONES = 100_000
 
 
 def default_zones(spark: SparkSession) -> DataFrame:
@@ -51,17 +50,19 @@ def default_zones(spark: SparkSession) -> DataFrame:
 def zone_ordinal(zones: DataFrame, name: str = "load_area", as_name: str = "zone_id") -> DataFrame:
     """SRC5, W6: number the rows of a zone dimension by name; the number is the output slot.
 
-    For dimensions only, one row per zone; facts get the number by a join. More than MAX_ZONES rows
-    are an error, found before any more are gathered.
+    The rows are range-partitioned by name and written with their place within the partition; a count per
+    partition gives where each partition starts. So no task holds the dimension, whatever its size.
     """
-    rest = [c for c in zones.columns if c != name]
-    all_rows = F.sort_array(F.collect_list(F.struct(name, *rest)))
-    gathered = zones.limit(MAX_ZONES + 1).agg(all_rows.alias("z"))
-    checked = F.when(F.size("z") <= MAX_ZONES, F.col("z")).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_ZONES} rows: not a zone dimension"))
-    )
-    numbered = gathered.select(F.posexplode(checked).alias("_at", "_zone"))
-    return numbered.select(*[F.col(f"_zone.{c}").alias(c) for c in zones.columns], (F.col("_at") + 1).alias(as_name))
+    columns = zones.columns
+    ordered = zones.repartitionByRange(name).sortWithinPartitions(name, *[c for c in columns if c != name])
+    # Partition and row, in the order of both; written, so that both readings below see the same places.
+    placed = written(ordered.withColumn("_place", F.monotonically_increasing_id()), "zones")
+    part, row = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition, not per zone.
+    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    numbered = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.select(*columns, (F.col("_start") + row + 1).cast("int").alias(as_name))
 
 
 def _holidays(days: DataFrame, observed: bool) -> DataFrame:

@@ -377,3 +377,18 @@ def test_offsets_keep_their_fraction(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: str(r.v) for r in df.select("i", tp.parse_coalesced_ts("t").cast("string").alias("v")).collect()}
     assert got[0] == "2020-01-01 07:00:00.25" and got[2] == "2020-01-01 07:00:00" and got[3] == "2020-01-05 00:00:00" and got[4] == "None"
+
+
+def test_zones_are_numbered_without_a_limit(spark):
+    zones = spark.range(100_001).select(F.format_string("z%06d", 100_000 - F.col("id")).alias("load_area"), "id").repartition(13)
+    got = dims.zone_ordinal(zones)
+    assert got.where("zone_id != 100001 - id").isEmpty() and got.select("zone_id").distinct().count() == 100_001
+    assert dims.zone_ordinal(zones.limit(0)).count() == 0
+
+
+def test_sketches_merge_within_their_bound(spark):
+    df = spark.range(60_000).select((F.col("id") % 6).alias("year"), (F.col("id") % 20_000).alias("v"), F.lit(None).cast("string").alias("none"))
+    kept = A.distinct_sketches(df, ["year"], {"v": "v", "none": "none"})
+    assert kept.count() == 6
+    got = one(A.merged_distinct(kept, ["v", "none"]))
+    assert abs(got.v - 20_000) <= 3 * A.SKETCH_ERROR * 20_000 and got.none == 0
