@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridcast.functions.calendar import holiday_rule_observed
 from gridcast.operators.aggregates import first_by
 from gridcast.operators.relational import dedup_first
+from gridcast.sources.dims import zone_ordinal
 
 
 #: Rows without an hour are dealt over so many keys per zone.
@@ -67,14 +68,15 @@ def join_holiday(df: DataFrame, holidays: DataFrame | None = None, date: str = "
     return out.withColumn("is_holiday", F.col("holiday_name").isNotNull().cast("int"))
 
 
-def bounded_keys(df: DataFrame, key: str, max_keys: int = 100_000) -> Column:
-    """Sorted distinct keys of a dimension as one array value; fails beyond ``max_keys``."""
-    # One key too many is enough to tell, so no more are gathered.
-    keys = df.select(key).distinct().limit(max_keys + 1).agg(F.sort_array(F.collect_list(key)).alias("k"))
-    checked = F.when(F.size("k") <= max_keys, F.col("k")).otherwise(
-        F.raise_error(F.lit(f"more than {max_keys} values of {key}: not a dimension"))
-    )
-    return keys.select(checked.alias("k")).scalar()
+#: Zones that one row of a grid in the making holds.
+KEYS_PER_ROW = 1_000
+
+
+def key_rows(df: DataFrame, key: str) -> DataFrame:
+    """(_row, _keys): the distinct known keys in ascending order, ``KEYS_PER_ROW`` to a row."""
+    numbered = zone_ordinal(df.select(key).where(F.col(key).isNotNull()).distinct(), key, "_n")
+    row = F.floor((F.col("_n") - 1) / KEYS_PER_ROW).cast("int").alias("_row")
+    return numbered.groupBy(row).agg(F.sort_array(F.collect_list(key)).alias("_keys"))
 
 
 def dense_grid(
@@ -89,13 +91,17 @@ def dense_grid(
 ) -> DataFrame:
     """One row per date x zone x hour, holes filled with ``fill``.
 
-    The grid grows out of the distinct dates by two explodes, so no join pairs rows with rows.
+    A date meets each row of ``KEYS_PER_ROW`` zones once and grows by explodes, so any number of zones does.
     ``df`` has at most one row per (date, zone, hour).
     """
+    rows = key_rows(zones, zone)
+    last = F.coalesce(rows.agg(F.max("_row")).scalar(), F.lit(-1))
     grid = (
         df.select(date)
         .distinct()
-        .withColumn(zone, F.explode(bounded_keys(zones, zone)))
+        .withColumn("_row", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
+        .join(rows, "_row")
+        .select(date, F.explode("_keys").alias(zone))
         .withColumn(hour, F.explode(F.array(*[F.lit(h) for h in hours])))
     )
     out = grid.join(df.select(date, zone, hour, *values), [date, zone, hour], "left")

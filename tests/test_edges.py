@@ -293,10 +293,11 @@ def test_forecast_of_an_unknown_zone_is_an_error(spark):
     assert LY.forecast_line(hourly.where("region = 'A'"), hours, days, zones).count() == 1
 
 
-def test_too_many_zones_fail_before_they_are_gathered(spark):
-    zones = spark.range(50).select(F.col("id").cast("string").alias("z"))
-    with pytest.raises(Exception, match="not a dimension"):
-        zones.limit(1).select(J.bounded_keys(zones, "z", max_keys=20)).collect()
+def test_zones_are_dealt_to_rows_of_a_bounded_size(spark):
+    zones = spark.range(2_050).select(F.format_string("z%04d", "id").alias("z"))
+    rows = J.key_rows(zones.unionAll(zones), "z").orderBy("_row").collect()
+    assert [len(r["_keys"]) for r in rows] == [J.KEYS_PER_ROW, J.KEYS_PER_ROW, 50]
+    assert [k for r in rows for k in r["_keys"]] == [f"z{i:04d}" for i in range(2_050)]
 
 
 # Landing, ingest and null hours.
@@ -392,3 +393,11 @@ def test_sketches_merge_within_their_bound(spark):
     assert kept.count() == 6
     got = one(A.merged_distinct(kept, ["v", "none"]))
     assert abs(got.v - 20_000) <= 3 * A.SKETCH_ERROR * 20_000 and got.none == 0
+
+
+def test_grid_of_more_zones_than_a_row_holds(spark):
+    zones = spark.range(2_500).select(F.format_string("z%04d", "id").alias("region"))
+    df = spark.createDataFrame([(DAY0, "z0003", 1, 5.0), (DAY0 + dt.timedelta(1), "z2499", 0, 6.0)], "date date, region string, hour int, load double")
+    grid = J.dense_grid(df, zones, hours=range(2))
+    assert grid.count() == 2 * 2_500 * 2 and grid.where("load is not null").count() == 2
+    assert J.dense_grid(df, zones.limit(0)).count() == 0
