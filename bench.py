@@ -27,9 +27,7 @@ HEADLINE = (
     "ols_one_feature",
     "ols_interactions",
     "forecast_line",
-    "ingest_merged",
     "land_weather",
-    "peak_day_logistic",
     "gbt_regressor",
     "forecast_run",
 )
