@@ -1,42 +1,51 @@
-"""Toxicity: a support vector machine on a gap-tolerant subsequence kernel with a learned lexicon."""
+"""Toxicity: a support vector machine on a gap-weighted subsequence kernel with Nyström landmarks."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import per_batch, pick, staged, utf8
+from gridcast.llm.common import pick, staged, utf8
 from gridcast.llm.labelled import fold, with_label
 
 #: Labelled documents that are learned from, at most: those with the smallest keyed hash of their id.
 TRAIN_DOCUMENTS = 20_000
-#: Landmarks are all words that tell toxic documents apart: the chance that any of the tested words passes
-#: without doing so is at most this.
+#: The chance that any of the tested parts of words passes as telling without being so is at most this.
 SIGNIFICANCE = 0.01
-#: A word in fewer documents is not tested.
+#: A part in fewer documents is not tested.
 LEAST_DOCUMENTS = 3
-ORDER, DECAY = 3, 0.7
+#: Landmarks are at most RANK telling parts and BACKGROUND common clean words, chosen from CANDIDATES
+#: each; one whose kernel image the earlier ones span up to RESIDUAL adds nothing and is passed over.
+RANK, BACKGROUND, CANDIDATES, RESIDUAL = 256, 64, 1_000, 0.2
+#: Words of a toxic document at least so similar to a telling landmark are learned as toxic.
+WITNESS = 0.6
+#: Clean words at least so similar to one are all learned.
+ALIKE = 0.35
+#: Clean words unlike every telling landmark that are learned from, about.
+PLAIN_WORDS = 10_000
+DECAY = 0.7
 LONG, PART = 24, 16
-#: Pairs of words that go through the kernel's recursion together.
-PAIRS = 1024
-GAP = 2
-KNOWN = 100_000
-#: Texts whose tokens are looked up together.
+PREFIXES = range(4, 11)
+#: Decisions up to this are as good as none: the margin of clean words.
+FLOOR = -0.5
+#: Tokens whose decisions a task remembers.
+KNOWN = 200_000
+#: Texts whose tokens are decided together.
 TEXTS = 512
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\S)(?:\w\W{1,2}){3,}\w(?!\w)")
 # Signs that stand for letters inside a word.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -45,160 +54,159 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(token: str) -> str:
-    """Lower-case letters of a token without accents; signs and digits between letters that stand for a
-    letter count as that letter, others go."""
+    """Lower-case letters of a token; signs and digits between letters that stand for a letter count as that
+    letter, others go. Accents stay: two words may differ by nothing else."""
     token = _EDGE.sub("", token.lower())
     if not token.isalpha():
         token = _NOT_LETTERS.sub("", token.translate(_LEET))
     if not token.isascii():
-        token = "".join(c for c in unicodedata.normalize("NFKD", token) if c.isalpha())
+        token = unicodedata.normalize("NFKC", token)
     return token
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s.strip()]
+def spaced(text: str) -> list[str]:
+    """Letters written apart, as one token each run."""
+    return [_NOT_LETTERS.sub("", m[0]) for m in _SPACED.finditer(text)]
 
 
-def tokens(sentence: str) -> list[str]:
-    """White-space tokens, and letters written apart as one token each run."""
-    out = sentence.split()
-    if sum(len(t) <= 2 for t in out) >= 4:
-        out += [_NOT_LETTERS.sub("", m[0]) for m in _SPACED.finditer(sentence)]
-    return out
+def pieces(word: str) -> list[str]:
+    """The word between a mark of its start and one of its end, or overlapping parts of one longer than
+    LONG letters; nothing of an empty word."""
+    if len(word) <= LONG:
+        return [f"^{word}$"] if word else []
+    cut = [word[k : k + LONG] for k in range(0, len(word) - LONG + PART, PART // 2)]
+    return ["^" + cut[0], *cut[1:-1], cut[-1] + "$"]
+
+
+@lru_cache(1 << 17)
+def parts(word: str) -> tuple[str, ...]:
+    """What may be a landmark: the word's pieces and its beginnings."""
+    return *pieces(word), *("^" + word[:k] for k in PREFIXES if k < len(word))
 
 
 # ---------------------------------------------------------------- kernel
 
 
-def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
-    out = np.full((len(words), width), pad, np.int32)
-    for row, w in zip(out, words, strict=True):
-        row[: len(w)] = [ord(c) for c in w[:width]]
-    return out
+@lru_cache
+def _places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All three ascending places in a word of n letters, and the weight of their span."""
+    at = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
+    return at[:, 0], at[:, 1], at[:, 2], DECAY ** (at[:, 2] - at[:, 0] + 1.0)
+
+
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of words of equal length, and their letters as a matrix."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for n in np.unique(sizes[sizes >= 3]).tolist():
+        members = np.flatnonzero(sizes == n)
+        step = max(1, 1_000_000 // len(_places(n)[0]))
+        for lo in range(0, len(members), step):
+            at = members[lo : lo + step]
+            raw = "".join(words[m] for m in at.tolist()).encode("utf-32-le", "surrogatepass")
+            yield at, np.frombuffer(raw, np.uint32).reshape(len(at), n).astype(np.int64)
 
 
-def kernel(a: list[str], b: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted subsequence kernel of a[i] with b[i]: every common subsequence of `order` letters
-    counts decay ** (letters it spans in a + in b)."""
-    cut = [_kernel(a[k : k + PAIRS], b[k : k + PAIRS], order, decay) for k in range(0, len(a), PAIRS)]
-    return np.concatenate(cut) if cut else np.zeros(0)
+def subsequences(chars: np.ndarray, base: int = 1 << 21) -> np.ndarray:
+    """Codes of the subsequences of three letters, a row per word."""
+    i, j, k, _ = _places(chars.shape[1])
+    return (chars[:, i] * base + chars[:, j]) * base + chars[:, k]
 
 
-def _kernel(a: list[str], b: list[str], order: int, decay: float) -> np.ndarray:
-    x, y = _codes(a, max(map(len, a)), -1), _codes(b, max(map(len, b)), -2)
-    n, s, t = len(a), x.shape[1], y.shape[1]
-    before = np.ones((s + 1, t + 1, n))
-    for _ in range(order - 1):
-        now = np.zeros((s + 1, t + 1, n))
-        for i in range(1, s + 1):
-            run = np.zeros(n)
-            for j in range(1, t + 1):
-                run = decay * run + decay**2 * (x[:, i - 1] == y[:, j - 1]) * before[i - 1, j - 1]
-                now[i, j] = decay * now[i - 1, j] + run
-        before = now
-    total = np.zeros(n)
-    for i in range(s):
-        for j in range(t):
-            total += decay**2 * (x[:, i] == y[:, j]) * before[i, j]
-    return total
+def spectra(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Images of words in the kernel's feature space: numbers of the words, codes of their subsequences
+    and weights: a subsequence counts DECAY ** (letters it spans), each time it occurs. A code that occurs
+    twice in a word is twice in its row."""
+    for at, chars in by_length(words):
+        yield at, subsequences(chars), _places(chars.shape[1])[3]
+
+
+def norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Lengths of the images in rows of codes."""
+    order = np.argsort(codes, axis=1, kind="stable")
+    sorted_codes = np.take_along_axis(codes, order, axis=1)
+    new = np.ones(codes.shape, bool)
+    new[:, 1:] = sorted_codes[:, 1:] != sorted_codes[:, :-1]
+    starts = np.flatnonzero(new)
+    squares = np.add.reduceat(weight[order].ravel(), starts) ** 2
+    return np.sqrt(np.bincount(starts // codes.shape[1], squares, len(codes)))
 
 
 @dataclass
 class Landmarks:
-    """Words with their self kernels and letter counts."""
+    """Marked words and parts of words, and their images as the columns of a table by code."""
 
     words: list[str]
-    own: np.ndarray = field(init=False)
-    counts: np.ndarray = field(init=False)
-    near: list = field(init=False)
+    codes: np.ndarray = field(init=False)
+    table: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.own = kernel(self.words, self.words)
-        self.counts = letter_counts(self.words)
-        self.near = [_near(w) for w in self.words]
+        held = list(spectra(self.words))
+        self.codes = np.unique(np.concatenate([c.ravel() for _, c, _ in held])) if held else np.zeros(0, np.int64)
+        self.table = np.zeros((len(self.codes), len(self.words)))
+        for at, codes, weight in held:
+            place = np.searchsorted(self.codes, codes)
+            np.add.at(self.table, (place, at[:, None]), np.broadcast_to(weight, codes.shape) / norms(codes, weight)[:, None])
 
     def similarity(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel of each word with each landmark, see `alike`."""
+        """Normalised kernel of each marked word with each landmark."""
         out = np.zeros((len(words), len(self.words)))
-        for row, (at, values) in zip(out, self.alike(words), strict=True):
-            row[at] = values
+        for at, codes, weight in spectra(words):
+            place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            hit, length = self.codes[place] == codes, norms(codes, weight)
+            for row, p, h, n in zip(at.tolist(), place, hit, length.tolist(), strict=True):
+                out[row] = weight[h] @ self.table[p[h]] / n
         return out
 
-    def alike(self, words: list[str]) -> list[Sparse]:
-        """Landmarks that each word is like, and its normalised kernels with them. A word counts as unlike a
-        landmark (0) unless it holds the landmark's letters, all but one at most, in order with up to GAP
-        others between two; words longer than LONG letters are the best of their parts."""
-        cut = [pieces(w) for w in words]
-        parts = [p for c in cut for p in c]
-        owner = [i for i, c in enumerate(cut) for _ in c]
-        pairs = []
-        for lo in range(0, len(parts), 1_000):
-            counts = letter_counts(parts[lo : lo + 1_000])
-            lacking = np.zeros((self.counts.shape[1], counts.shape[1]), np.int8)
-            for mine, theirs in zip(self.counts, counts, strict=True):
-                at = np.flatnonzero(mine)
-                lacking[at] += np.maximum(mine[at, None] - theirs, 0)
-            for j, i in zip(*(x.tolist() for x in np.nonzero(lacking <= 1)), strict=True):
-                if self.near[j](parts[lo + i]):
-                    pairs.append((lo + i, j))
-        found = [{} for _ in words]
-        if pairs:
-            used = sorted({i for i, _ in pairs})
-            own = dict(zip(used, kernel([parts[i] for i in used], [parts[i] for i in used]), strict=True))
-            both = kernel([parts[i] for i, _ in pairs], [self.words[j] for _, j in pairs])
-            for (i, j), k in zip(pairs, both.tolist(), strict=True):
-                norm = np.sqrt(own[i] * self.own[j])
-                if k > 0:
-                    best = found[owner[i]]
-                    best[j] = max(best.get(j, 0.0), k / norm)
-        return [sparse(f) for f in found]
-
-
-#: Numbers of landmarks in order, and similarities to them.
-Sparse = tuple[np.ndarray, np.ndarray]
-
-
-def sparse(found: dict[int, float]) -> Sparse:
-    at = sorted(found)
-    return np.array(at, np.int32), np.array([found[j] for j in at], np.float64)
 
+@dataclass
+class Model:
+    """decision(word) = bias + sum of `gain` over its subsequences, normalised: the support vector machine
+    on Nyström features, folded into one number per code. score = logistic of `link` and a document's
+    features (see `Decisions.document`)."""
 
-def pieces(word: str) -> list[str]:
-    """The word, or overlapping parts of one longer than LONG letters."""
-    return [word] if len(word) <= LONG else [word[k : k + LONG] for k in range(0, len(word) - LONG + PART, PART // 2)]
-
+    codes: np.ndarray
+    gain: np.ndarray
+    bias: float
+    link: np.ndarray = field(default_factory=lambda: np.array([2.0, 0.0, 0.0, 0.0]))
 
-def _near(word: str):
-    gap = f".{{0,{GAP}}}"
-    # A word with a letter less than the kernel's order has none of the subsequences that it counts.
-    ways = [word, *(word[:k] + word[k + 1 :] for k in range(len(word)) if len(word) > ORDER)]
-    return re.compile("|".join(gap.join(map(re.escape, w)) for w in dict.fromkeys(ways))).search
+    def gains(self, chars: np.ndarray) -> np.ndarray:
+        """Gain of every subsequence, 0 of those of no landmark."""
+        codes = subsequences(chars)
+        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[place] == codes, self.gain[place], 0.0)
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """Decision of each word (letters), of a long one that of its worst part; FLOOR if it is lower."""
+        cut = [pieces(w) for w in words]
+        flat = [p for c in cut for p in c]
+        value = np.full(len(flat), max(self.bias, FLOOR))
+        for at, chars in by_length(flat):
+            weight = _places(chars.shape[1])[3]
+            total = self.gains(chars) @ weight
+            # A subsequence that occurs twice only makes the norm larger than this.
+            high = np.flatnonzero(total > (FLOOR - self.bias) * np.sqrt(weight @ weight)) if self.bias < FLOOR else np.arange(len(at))
+            if len(high):
+                value[at[high]] = self.bias + total[high] / norms(subsequences(chars[high]), weight)
+        out = np.full(len(words), FLOOR)
+        np.maximum.at(out, np.repeat(np.arange(len(words)), [len(c) for c in cut]), value)
+        return out
 
-def letter_counts(words: list[str]) -> np.ndarray:
-    """How often each word holds a to z, a row per letter."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64) - 97
-    owner = np.repeat(np.arange(len(words)), sizes)
-    ok = (codes >= 0) & (codes < 26)
-    flat = np.bincount(owner[ok] * 26 + codes[ok], minlength=26 * len(words))
-    return np.ascontiguousarray(flat.reshape(len(words), 26).astype(np.int8).T)
+    def score(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.link[:3] + self.link[3], -50, 50)))
 
 
-class Lookup:
-    """Similarities of the tokens met so far; only tokens like some landmark are kept with theirs."""
+class Decisions:
+    """Decisions of the tokens met so far; only those above FLOOR are kept with theirs."""
 
-    def __init__(self, landmarks: Landmarks):
-        self.landmarks, self.seen, self.like = landmarks, set(), {}
+    def __init__(self, model: Model):
+        self.model, self.seen, self.above = model, set(), {}
 
     def learn(self, new: set[str]) -> None:
-        new -= self.seen
-        words = sorted(new)
+        words = sorted(new - self.seen)
         for lo in range(0, len(words), 5_000):
             part = words[lo : lo + 5_000]
-            for w, found in zip(part, self.landmarks.alike([letters(w) for w in part]), strict=True):
-                if len(found[0]):
-                    self.like[w] = found
+            value = self.model.words([letters(w) for w in part])
+            self.above.update((part[i], float(value[i])) for i in np.flatnonzero(value > FLOOR).tolist())
         self.seen.update(words)
 
     def texts(self, column: pa.Array) -> Iterator[str]:
@@ -207,91 +215,103 @@ class Lookup:
         column = column.cast(pa.binary())
         for lo in range(0, len(column), TEXTS):
             if len(self.seen) > KNOWN:
-                self.seen, self.like = set(), {}
+                self.seen, self.above = set(), {}
             part = [(t or b"").decode() for t in column[lo : lo + TEXTS].to_pylist()]
             self.learn(set().union(*map(str.split, part)))
             yield from part
 
-    def sentence(self, toks: list[str]) -> Sparse | None:
-        """Best similarity to each landmark, None if there is none."""
-        held = [self.like[t] for t in set(toks) if t in self.like]
-        if len(held) < 2:
-            return held[0] if held else None
-        at, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        best = np.zeros(len(at))
-        np.maximum.at(best, place, np.concatenate([h[1] for h in held]))
-        return at, best
-
-    def document(self, text: str) -> list[tuple[str, Sparse]]:
-        """Sentences that hold a token like some landmark, with their similarities, of a text from `texts`."""
-        spaced = _SPACED.search(text)
-        if not spaced and self.like.keys().isdisjoint(text.split()):
-            return []
-        out = []
-        for s in sentences(text):
-            toks = tokens(s)
-            if spaced:
-                self.learn(set(toks))
-            found = self.sentence(toks)
-            if found is not None:
-                out.append((s, found))
-        return out
-
-
-@dataclass
-class Model:
-    """decision = weights . similarities + bias for a sentence; a document has that of its worst sentence,
-    and score = 1 / (1 + exp(-(slope * decision + offset)))."""
-
-    landmarks: Landmarks
-    weights: np.ndarray
-    bias: float
-    slope: float = 2.0
-    offset: float = 0.0
-
-    def decision(self, found: list[tuple[str, Sparse]]) -> float:
-        return max([self.bias, *(float(v @ self.weights[at]) + self.bias for _, (at, v) in found)])
+    def document(self, text: str) -> tuple[float, float, float]:
+        """Of a text from `texts`: the worst decision of a sentence, which is that of its worst word, and
+        the logarithms of one plus the sum of positive decisions, whole and per thousand words."""
+        toks = text.split()
+        apart = spaced(text)
+        if apart:
+            self.learn(set(apart))
+            toks += apart
+        held = [self.above[t] for t in toks if t in self.above]
+        total = sum(v for v in held if v > 0)
+        return max(held, default=FLOOR), np.log1p(total), np.log1p(1000 * total / max(len(toks), 1))
 
-    def score(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * decision + self.offset)))
+    def batch(self, column: pa.Array) -> np.ndarray:
+        return np.array([self.document(t) for t in self.texts(column)]).reshape(-1, 3)
 
 
 # ---------------------------------------------------------------- training
 
 
-def choose_landmarks(train: DataFrame) -> dict[str, float]:
-    """Words whose log-likelihood ratio for toxic documents is significant, from train (text as bytes,
-    label): the level is divided by the number of tested words, and no word is measured by another. Words
-    of fewer letters than the kernel's order have no features; of longer ones than LONG the parts count.
-    With each comes the toxic share of its documents."""
+def count_parts(train: DataFrame) -> DataFrame:
+    """part, a, b: the toxic and the clean texts that hold each part of a word, from train (text as bytes,
+    label)."""
 
-    def words(batch: pa.RecordBatch):
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = sorted({p for t in set(text.decode().split()) for p in pieces(letters(t)) if len(p) >= ORDER})
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label] * len(found), pa.float64())], names=["word", "label"])
-
-    counts = per_batch(train.select("text", "label"), "word string, label double", words)
-    counts = counts.groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    counts = staged(counts.where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS), "toxicity-words")
-    n1, n0 = train.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-    tested = counts.count()
-    if not n1 or not n0 or not tested:
-        return {}
-    rate = F.lit(n1 / (n1 + n0))
+    def count(batches):
+        held: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = text.decode()
+                words = {letters(t) for t in {*text.split(), *spaced(text)}}
+                for p in set().union(*map(parts, words)):
+                    held.setdefault(p, [0, 0])[label < 1] += 1
+                if len(held) > 200_000:
+                    yield made(held)
+                    held = {}
+        yield made(held)
+
+    def made(held: dict[str, list[int]]) -> pa.RecordBatch:
+        columns = [pa.array(held, pa.string()), *(pa.array([v[k] for v in held.values()], pa.int64()) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "a", "b"])
+
+    counts = train.select("text", "label").mapInArrow(count, "part string, a bigint, b bigint")
+    return staged(counts.groupBy("part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxicity-parts")
+
+
+def telling(counts: DataFrame, n1: float, n0: float) -> DataFrame:
+    """Parts whose log-likelihood ratio for toxic texts is significant, with that `ratio`: the level is
+    divided by the number of tested parts, and no part is measured by another."""
+    seen, rate = F.col("a") + F.col("b"), F.lit(n1 / (n1 + n0))
+    tested = counts.where(seen >= LEAST_DOCUMENTS)
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
-    seen = F.col("a") + F.col("b")
     ratio = 2 * (part(F.col("a"), seen * rate) + part(F.col("b"), seen * (1 - rate)))
-    # The ratio of a word that tells nothing is the square of a standard normal number.
-    least = NormalDist().inv_cdf(SIGNIFICANCE / tested / 2) ** 2
-    told = counts.where((F.col("a") / seen > 2 * rate) & (ratio >= least))
-    return {r["word"]: r["share"] for r in told.select("word", (F.col("a") / seen).alias("share")).orderBy("word").collect()}
+    # The ratio of a part that tells nothing is the square of a standard normal number.
+    least = NormalDist().inv_cdf(SIGNIFICANCE / max(tested.count(), 1) / 2) ** 2
+    return tested.withColumn("ratio", F.round(ratio, 6)).where((F.col("a") / seen > 2 * rate) & (F.col("ratio") >= least))
 
 
-def obfuscated(token: str) -> list[str]:
-    """A token with a letter put in and with a letter left out, places told by the token itself."""
-    place = 1 + sum(map(ord, token)) % max(len(token) - 1, 1)
-    extra = chr(97 + sum(map(ord, token)) % 26)
-    return [token[:place] + extra + token[place:], token[:place] + token[place + 1 :]]
+def spanning(words: list[str], most: int, before: list[str] = ()) -> list[str]:
+    """Of words in order those, `most` at most, whose images have a part of more than RESIDUAL that the
+    chosen ones before (and `before`) do not span: an incomplete Cholesky factorisation."""
+    words = [*before, *words]
+    if not words:
+        return []
+    marks = Landmarks(words)
+    gram = marks.table.T @ marks.table
+    factor, left, chosen = np.zeros((len(words), len(before) + most)), np.ones(len(words)), []
+    for i in range(len(words)):
+        if len(chosen) == len(before) + most:
+            break
+        if i < len(before) or left[i] > RESIDUAL:
+            column = (gram[:, i] - factor @ factor[i]) / np.sqrt(max(left[i], 1e-9))
+            factor[:, len(chosen)] = column
+            left = left - column**2
+            chosen.append(i)
+    return [words[i] for i in chosen if i >= len(before)]
+
+
+def choose_landmarks(counts: DataFrame, n1: float, n0: float) -> tuple[list[str], list[str]]:
+    """Telling parts, the most telling first, and common words that tell nothing, for the background."""
+    order = [F.desc("ratio"), F.desc(F.length("part")), "part"]
+    told = [r["part"] for r in telling(counts, n1, n0).orderBy(*order).limit(CANDIDATES).collect()]
+    toxic = spanning(told, RANK)
+    plain = counts.where((F.col("a") * n0 <= F.col("b") * n1) & F.col("part").like("^%$"))
+    common = [r["part"] for r in plain.orderBy(F.desc("b"), "part").limit(CANDIDATES).collect()]
+    return toxic, spanning(common, BACKGROUND, toxic)
+
+
+def obfuscated(word: str) -> list[str]:
+    """A word with a letter put in, with a letter left out and with a letter doubled, places told by the
+    word itself."""
+    place = 1 + sum(map(ord, word)) % max(len(word) - 1, 1)
+    extra = chr(97 + sum(map(ord, word)) % 26)
+    return [word[:place] + extra + word[place:], word[:place] + word[place + 1 :], word[:place] + word[place - 1 :]]
 
 
 def training_rows(rows: DataFrame, labels: DataFrame, learnable, documents: int) -> DataFrame:
@@ -302,101 +322,109 @@ def training_rows(rows: DataFrame, labels: DataFrame, learnable, documents: int)
     return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
+def distinct_texts(labelled: DataFrame) -> DataFrame:
+    """Each labelled text once per label, however many documents hold it."""
+    known = staged(labelled.withColumn("_key", F.xxhash64("text")), "toxicity-train")
+    first = known.groupBy("_key", "label").agg(F.min("doc_id").alias("doc_id"))
+    kept = known.join(F.broadcast(first), ["_key", "label", "doc_id"], "left_semi")
+    return staged(kept.select("text", "label"), "toxicity-texts")
+
+
+def instances(counts: DataFrame, landmarks: Landmarks, toxic: int, root: np.ndarray, plain: float, n1: float, n0: float) -> DataFrame:
+    """features (Nyström), label, n, near: words that are like one of the first `toxic` landmarks, by the
+    shares of toxic and clean texts that hold them, the toxic also disguised; and words of clean texts,
+    of those unlike any landmark the share `plain`."""
+
+    def make(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2_000):
+                cut = batch.slice(lo, 2_000)
+                words, a, b, sample = (c.to_pylist() for c in cut.columns)
+                like = landmarks.similarity(words)
+                near = like[:, :toxic].max(axis=1).tolist()
+                rows, out = [], []
+                for i, word in enumerate(words):
+                    if b[i] and (near[i] >= ALIKE or sample[i] < plain):
+                        rows.append((0.0, b[i] / n0, near[i] >= ALIKE))
+                        out.append(like[i])
+                    if a[i] and near[i] >= WITNESS:
+                        hidden = [f"^{w}$" for w in obfuscated(word[1:-1])] if len(word) > 5 else []
+                        out += [like[i], *landmarks.similarity(hidden)]
+                        rows += [(1.0, a[i] / n1, True), *[(1.0, a[i] / n1 / 4, True)] * len(hidden)]
+                if rows:
+                    kinds = (pa.float64(), pa.float64(), pa.bool_())
+                    columns = [pa.array(list(np.array(out) @ root)), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["features", "label", "n", "near"])
+
+    words = counts.where(F.col("part").like("^%$"))
+    sample = (F.pmod(F.xxhash64(F.lit(5), "part"), F.lit(1_000_000)) / 1_000_000).alias("sample")
+    return words.select("part", "a", "b", sample).mapInArrow(make, "features array<double>, label double, n double, near boolean")
+
+
 def fit(labelled: DataFrame) -> Model | None:
-    """Fit on labelled (doc_id, text as bytes, label); None if a label or any toxic word is missing.
+    """Fit on labelled (doc_id, text as bytes, label); None if a label or any telling part is missing.
 
-    Sentences of documents without the label are clean. Of a toxic document those sentences are toxic
-    that hold a word close to a landmark most of whose documents are toxic, or to the landmark of the
-    document with the most toxic share; its other sentences could be either and are left out.
-    Toxic sentences are learned also with that word disguised. Sentences with equal similarities are one
-    weighted row of the support vector machine, whose features are the similarities to the landmarks.
+    Landmarks are parts of words that tell toxic texts from clean ones, and common words. A word's Nyström
+    features are its kernels with the landmarks times the inverse root of the landmarks' own kernels. The
+    support vector machine learns words: of clean sentences, and those of toxic texts that are like a
+    telling landmark, as they are and disguised. A logistic curve takes a document's worst sentence and its
+    amount of toxic words to the score.
     """
-    train = staged(labelled, "toxicity-train")
-    words = choose_landmarks(train)
-    if not words:
+    train = distinct_texts(labelled)
+    n1, n0 = train.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
+    if not n1 or not n0:
         return None
-    landmarks, share = Landmarks(list(words)), np.array(list(words.values()))
-    none = sparse({})
-
-    def worst(found: Sparse) -> float:
-        return share[found[0][found[1] >= 0.8]].max(initial=0.0)
+    counts = count_parts(train)
+    toxic, common = choose_landmarks(counts, n1, n0)
+    if not toxic:
+        return None
+    landmarks = Landmarks([*toxic, *common])
+    values, vectors = np.linalg.eigh(landmarks.table.T @ landmarks.table)
+    kept = values > 1e-6
+    root = (vectors[:, kept] / np.sqrt(values[kept])) @ vectors[:, kept].T
+    plain = min(1.0, PLAIN_WORDS / max(counts.where(F.col("part").like("^%$") & (F.col("b") > 0)).count(), 1))
+    rows = staged(instances(counts, landmarks, len(toxic), root, plain, n1, n0), "toxicity-instances")
+    total = dict(rows.groupBy("near").agg(F.sum("n")).collect())
+    if len(total) < 2:
+        return None
+    # Words like a landmark weigh as their shares of either label say, all other words as much as they together.
+    svm = LinearSVC(maxIter=50, regParam=1e-4, standardization=False, weightCol="weight").fit(_weighed(rows, "near", total))
+    gain = landmarks.table @ (root @ svm.coefficients.toArray())
+    model = Model(landmarks.codes, gain, float(svm.intercept))
 
-    def rows(batches):
-        lookup = Lookup(landmarks)
+    def features(batches):
+        known = Decisions(model)
         for batch in batches:
-            out: Counter = Counter({_key(none, 0.0): 1})
-            disguised: Counter[str] = Counter()
-            for text, label in zip(lookup.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                held = lookup.document(text)
-                least = label and min(0.5, max((worst(found) for _, found in held), default=0.0))
-                for s, found in held:
-                    if not label:
-                        out[_key(found, 0.0)] += 1
-                    elif worst(found) >= least > 0:
-                        out[_key(found, 1.0)] += 1
-                        for t in tokens(s):
-                            if t in lookup.like and worst(lookup.like[t]) >= least:
-                                disguised.update(obfuscated(letters(t)))
-                if len(out) > 10_000:
-                    yield _sentences(out)
-                    out = Counter()
-            words = list(disguised)
-            for lo in range(0, len(words), 5_000):
-                for w, found in zip(words[lo : lo + 5_000], landmarks.alike(words[lo : lo + 5_000]), strict=True):
-                    out[_key(found, 1.0)] += disguised[w]
-                yield _sentences(out)
-                out = Counter()
-            if out:
-                yield _sentences(out)
-
-    made = train.select("text", "label").mapInArrow(rows, "at array<int>, v array<double>, label double, n bigint")
-    grouped = made.groupBy("at", "v", "label").agg(F.sum("n").cast("double").alias("n"))
-    sums = staged(grouped, "toxicity-sentences")
-    total = dict(sums.groupBy("label").agg(F.sum("n")).collect())
+            f = known.batch(batch.column(0)).round(2)
+            yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), batch.column(1)], names=["features", "label"])
+
+    found = train.select("text", "label").mapInArrow(features, "features array<double>, label double")
+    found = staged(found.groupBy("features", "label").agg(F.count(F.lit(1)).cast("double").alias("n")), "toxicity-decisions")
+    # A toxic label without any toxic word does not tell where the curve lies; the share of toxic documents
+    # among the labelled ones is not to move the score; more toxic words never lower it.
+    found = found.where((F.col("label") == 0) | (F.element_at("features", 1) > 0))
+    total = dict(found.groupBy("label").agg(F.sum("n")).collect())
     if len(total) < 2:
         return None
-    even = F.when(F.col("label") == 1, F.lit(0.5 / total[1.0])).otherwise(F.lit(0.5 / total[0.0]))
-    size = len(landmarks.words)
-    vector = F.udf(lambda at, v: Vectors.sparse(size, at, v), VectorUDT())
-    weighed = sums.select(vector("at", "v").alias("features"), "label", (F.col("n") * even * F.lit(1000.0)).alias("weight")).coalesce(2)
-    svm = LinearSVC(maxIter=30, regParam=1e-3, standardization=False, weightCol="weight").fit(weighed)
-    model = Model(landmarks, svm.coefficients.toArray(), float(svm.intercept))
-
-    def decisions(batches):
-        lookup = Lookup(landmarks)
-        for batch in batches:
-            d = [model.decision(lookup.document(t)) for t in lookup.texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.float64()), batch.column(1)], names=["d", "label"])
-
-    decided = train.select("text", "label").mapInArrow(decisions, "d double, label double")
-    decided = decided.groupBy(F.round("d", 2).alias("d"), "label").agg(F.count(F.lit(1)).alias("n"))
-    calibrated = staged(decided, "toxicity-decisions")
-    # A decision is as likely a priori for either label: the share of toxic documents is not to move the score.
-    shares = dict(calibrated.groupBy("label").agg(F.sum("n")).collect())
-    weight = F.when(F.col("label") == 1, F.lit(0.5 / shares[1.0])).otherwise(F.lit(0.5 / shares[0.0]))
-    data = calibrated.select(array_to_vector(F.array("d")).alias("features"), "label", (F.col("n") * weight * 1000).alias("weight")).coalesce(2)
-    link = LogisticRegression(maxIter=20, regParam=1e-3, standardization=False, weightCol="weight").fit(data)
-    model.slope, model.offset = max(float(link.coefficients[0]), 0.1), float(link.intercept)
+    rising = LogisticRegression(maxIter=100, regParam=1e-4, weightCol="weight", lowerBoundsOnCoefficients=DenseMatrix(1, 3, [0.0] * 3))
+    link = rising.fit(_weighed(found, "label", total))
+    model.link = np.array([*link.coefficients.toArray(), float(link.intercept)])
     return model
 
 
-def _key(found: Sparse, label: float) -> tuple:
-    return found[0].tobytes(), np.round(found[1], 2).tobytes(), label
-
-
-def _sentences(held: Counter) -> pa.RecordBatch:
-    at = [np.frombuffer(k[0], np.int32) for k in held]
-    v = [np.frombuffer(k[1], np.float64) for k in held]
-    arrays = [pa.array(at, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float64()))]
-    arrays += [pa.array([k[2] for k in held], pa.float64()), pa.array(list(held.values()), pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, names=["at", "v", "label", "n"])
+def _weighed(rows: DataFrame, by: str, total: dict) -> DataFrame:
+    """Rows for a classifier; both values of `by` have equal weight. Two partitions of told content and
+    order: sums, and so the fit, do not depend on where rows were made."""
+    even = F.when(F.col(by).cast("double") == 1, F.lit(500 / total[1.0])).otherwise(F.lit(500 / total[0.0]))
+    dealt = rows.withColumn("weight", F.col("n") * even).repartition(2, "features").sortWithinPartitions("features", "label", "weight")
+    return dealt.select(array_to_vector("features").alias("features"), "label", "weight")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, documents: int = TRAIN_DOCUMENTS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs.
 
     Labels of rows whose CRC-32 fold is `held_out` are never learned. Null and empty texts have the score
-    of a text without any suspicious sentence; repeated rows each come back; without labels of both
+    of a text without any suspicious word; repeated rows each come back; without labels of both
     kinds the score is 0; labels of unknown documents are ignored; other columns are not looked at.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -424,11 +452,9 @@ def scores(rows: DataFrame, at: int, model: Model | None) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        lookup = m and Lookup(m.landmarks)
+        known = m and Decisions(m)
         for batch in batches:
-            s = np.zeros(batch.num_rows)
-            if m and batch.num_rows:
-                s = m.score(np.array([m.decision(lookup.document(t)) for t in lookup.texts(batch.column(at))]))
+            s = m.score(known.batch(batch.column(at))) if m else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
 
     return rows.mapInArrow(run, f"{kinds}, score double")

@@ -1,11 +1,13 @@
 """Operators of gridcast.llm against brute force, on small frames with nulls, empty texts, ties and odd columns."""
 
+import itertools
 import random
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridcast.llm import decontamination, mixing, quality, secrets, simhash, substring, token_counts, topk, toxicity, warc
 from gridcast.llm.oracles import ORACLES
@@ -174,10 +176,42 @@ def test_classifiers(spark, odd):
     none = labels.limit(0)
     for f in (quality.score_quality, toxicity.score_toxicity):
         assert f(frame(spark, odd), none).count() == len(odd)
-    marks = toxicity.Landmarks(["idiot", "moron"])
-    close = marks.similarity(["idiot", "idxiot", "mo", "theon"])
-    assert close[0, 0] == pytest.approx(1) and close[1, 0] > 0.5 and not close[2:].any()
-    assert "idiot" in toxicity.tokens("you i d i o t there")
+    marks = toxicity.Landmarks(["^idiot$", "^moron$"])
+    close = marks.similarity(["^idiot$", "^idxiot$", "^mo$", "^theon$"])
+    assert close[0, 0] == pytest.approx(1) and close[1, 0] > 0.5 > close[2:, 0].max()
+    assert toxicity.spaced("you i d i o t there") == ["idiot"]
+
+
+def plain_kernel(a, b, order=3):
+    """Common subsequences of three letters, each by the letters it spans in both words."""
+    total = 0.0
+    for i in itertools.combinations(range(len(a)), order):
+        for j in itertools.combinations(range(len(b)), order):
+            if all(a[x] == b[y] for x, y in zip(i, j)):
+                total += toxicity.DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+    return total
+
+
+def test_subsequence_kernel_and_folded_decisions():
+    rng = random.Random(4)
+    words = ["^" + "".join(rng.choices("abcé😀", k=rng.randint(1, 7))) + "$" for _ in range(25)]
+    marks = toxicity.Landmarks(words[:6])
+    want = [[plain_kernel(a, b) / np.sqrt(plain_kernel(a, a) * plain_kernel(b, b)) for b in words[:6]] for a in words]
+    assert np.allclose(marks.similarity(words), want)
+    beta = np.linspace(-1, 2, 6)
+    model = toxicity.Model(marks.codes, marks.table @ beta, -0.7)
+    decided = np.maximum(np.array(want) @ beta - 0.7, toxicity.FLOOR)
+    assert np.allclose(model.words([w[1:-1] for w in words]), decided)
+    long = "z" * 40 + words[5][1:-1] * 4
+    value = max(model.bias + marks.similarity(toxicity.pieces(long)) @ beta)
+    assert model.words([long, ""])[0] == pytest.approx(value) and value > toxicity.FLOOR
+    assert model.words([""])[0] == toxicity.FLOOR
+    # What is passed over is spanned by what was chosen.
+    chosen = toxicity.spanning(words, 25)
+    gram = toxicity.Landmarks(chosen).similarity(chosen)
+    rest = [w for w in words if w not in chosen]
+    k = toxicity.Landmarks(chosen).similarity(rest)
+    assert (1 - np.einsum("ij,jk,ik->i", k, np.linalg.inv(gram), k) <= toxicity.RESIDUAL + 1e-6).all()
 
 
 def test_clashing_names_in_redaction_and_mixture(spark):
@@ -192,20 +226,16 @@ def test_clashing_names_in_redaction_and_mixture(spark):
 
 
 def test_toxic_tokens_stay_known_within_a_part(monkeypatch):
-    marks = toxicity.Landmarks(["idiot", "moron"])
-    texts = ["you i d i o t there", *(f"w{i} plain words" for i in range(50)), "you idiot", None, "what a mor0n", "an i.d.i.o.t indeed", "idiots"]
+    marks = toxicity.Landmarks(["^idiot$", "^moron$"])
+    model = toxicity.Model(marks.codes, marks.table.sum(axis=1) * 3, -1.5)
+    texts = ["you i d i o t there", *(f"w{i} plain words" for i in range(50)), "you idiot", None, "what a mor0n", "an i.d.i.o.t indeed", "idiots", "x" * 50_000]
     column = pa.array([t and t.encode() for t in texts], pa.binary())
-
-    def found():
-        lookup = toxicity.Lookup(marks)
-        return [[(s, np.asarray(v).tolist()) for s, v in lookup.document(t)] for t in lookup.texts(column)]
-
-    want = found()
-    assert [bool(w) for w in want] == [True, *[False] * 50, True, False, True, True, True]
+    want = toxicity.Decisions(model).batch(column)
+    assert [bool(w > 0) for w in want[:, 0]] == [True, *[False] * 50, True, False, True, True, True, False]
     monkeypatch.setattr(toxicity, "KNOWN", 10)
     for size in (512, 3):
         monkeypatch.setattr(toxicity, "TEXTS", size)
-        assert found() == want
+        assert (toxicity.Decisions(model).batch(column) == want).all()
 
 
 def test_skewed_lexicon_of_insults(spark):
@@ -218,10 +248,19 @@ def test_skewed_lexicon_of_insults(spark):
             text = rng.choices(plain, k=12)
             rows.append((len(rows), " ".join(text if word is None else [*text[:6], word, *text[6:]]).encode(), float(word is not None)))
     train = spark.createDataFrame(rows, "doc_id long, text binary, label double")
-    assert set(insult) <= set(toxicity.choose_landmarks(train))
+    copies = train.union(train.where("doc_id < 200").withColumn("doc_id", F.col("doc_id") + 10_000))
+    assert toxicity.distinct_texts(copies).count() == train.select("text", "label").distinct().count()
+    toxic, _ = toxicity.choose_landmarks(toxicity.count_parts(train), 768.0, 1200.0)
+    assert set(insult) <= {t.strip("^$") for t in toxic}
     seen = spark.createDataFrame([(f"{plain[0]} {w} {plain[1]}",) for w in insult] + [(f"{a} {b}",) for a, b in zip(plain, plain[1:])], "text string")
-    scored = toxicity.scores(seen, 0, toxicity.fit(train)).collect()
+    model = toxicity.fit(train)
+    scored = toxicity.scores(seen, 0, model).collect()
     assert [r.score >= 0.7 for r in scored] == [True] * len(insult) + [False] * (len(plain) - 1)
+    # The fit depends neither on the size of batches nor on the placement of rows.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    again = toxicity.fit(train.repartition(5))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose(again.gain, model.gain, atol=1e-3) and np.allclose(again.link, model.link, atol=1e-2)
 
 
 def test_repetition_limit_of_the_smallest_whole_budget(spark):
