@@ -50,6 +50,20 @@ def pivot_dates(
     )
 
 
+def pivot_map(df: DataFrame, keys: Sequence[str], name: Column | str, value: Column, entries: str = "values") -> DataFrame:
+    """AG18 without a limit: a row per key with a map from each value of ``name``, as text, to the aggregate
+    ``value``.
+
+    No name passes through the driver and no plan grows with their number; read one as ``values['x']``.
+    Entries are in the order of their names. Rows without a name are left out. Facts shrink to one row per
+    key and name before the second exchange; a key's map is one value, so its names must fit a row.
+    """
+    named = df.withColumn("_name", (F.col(name) if isinstance(name, str) else name).cast("string")).where("_name is not null")
+    cells = named.groupBy(*keys, "_name").agg(value.alias("_value"))
+    listed = F.sort_array(F.collect_list(F.struct("_name", "_value")))
+    return cells.groupBy(*keys).agg(F.map_from_entries(listed).alias(entries))
+
+
 def load_cube(
     df: DataFrame, zones: DataFrame, date: str = "date", region: str = "region", hour: str = "hour",
     value: str = "predicted_load",

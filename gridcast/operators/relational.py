@@ -106,6 +106,35 @@ def same_calendar_date(targets: DataFrame, history: DataFrame, key: str = "regio
     return h.join(t, [key, "_m", "_d"]).where(F.year(date) < F.year("target_date")).drop("_m", "_d")
 
 
+def calendar_date_history(
+    targets: DataFrame, history: DataFrame, value: str, key: str = "region", date: str = "date"
+) -> DataFrame:
+    """PF12 by prefix: per target the count, mean, least and greatest ``value`` and the latest date of the
+    history rows that :func:`same_calendar_date` pairs it with, without the pairs.
+
+    History shrinks to one row per (key, date) before the exchange; ordered running aggregates over the
+    years of a (key, month, day) follow, a window of one row per year. A target meets the row of the last
+    year before its own: the targets are merged into the same window as rows without values, so size stays
+    linear. Targets without any history have count 0 and nulls. Null values are not counted; null dates
+    match nothing.
+    """
+    months = [F.month(date).alias("_m"), F.dayofmonth(date).alias("_d"), F.year(date).alias("_y")]
+    v = F.col(value).cast("double")
+    days = history.where(F.col(date).isNotNull() & F.col(key).isNotNull()).groupBy(key, date).agg(
+        F.count(v).alias("_n"), F.sum(v).alias("_s"), F.min(v).alias("_lo"), F.max(v).alias("_hi")
+    )
+    blank = [F.lit(None).cast(t).alias(n) for n, t in (("_n", "bigint"), ("_s", "double"), ("_lo", "double"), ("_hi", "double"))]
+    wanted = targets.select(key, F.col(date)).distinct().select(key, date, *months, *blank, F.lit(True).alias("_t"))
+    rows = days.select(key, date, *months, "_n", "_s", "_lo", "_hi", F.lit(False).alias("_t")).unionByName(wanted)
+    past = Window.partitionBy(key, "_m", "_d").orderBy("_y").rangeBetween(Window.unboundedPreceding, -1)
+    n, total = F.coalesce(F.sum("_n").over(past), F.lit(0)), F.sum("_s").over(past)
+    return rows.select(
+        key, F.col(date).alias("target_date"), n.alias("n"), F.when(n > 0, total / n).alias("mean"),
+        F.min("_lo").over(past).alias("least"), F.max("_hi").over(past).alias("greatest"),
+        F.max(F.when(~F.col("_t"), F.col(date))).over(past).alias("latest"), "_t",
+    ).where("_t").drop("_t")
+
+
 def min_rows_guard(
     train: DataFrame, test: DataFrame, key: str = "region", min_train: int = 100, min_test: int = 1
 ) -> DataFrame:

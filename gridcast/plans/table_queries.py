@@ -178,6 +178,24 @@ def same_calendar_date(spark, sf):
     return R.same_calendar_date(R.distinct_values(targets, ["region", "date"]), load)
 
 
+@query(
+    "calendar_date_history",
+    """select t.region, t.date as target_date, count(h.load) as n, round(avg(h.load), 6) as mean,
+              cast(min(h.load) as double) as least, cast(max(h.load) as double) as greatest, max(h.date) as latest
+       from (select distinct region, cast(ts_local as date) as date from load_history
+             where ts_local >= timestamp '1995-01-01' and ts_local < timestamp '2001-01-01') t
+       left join (select region, cast(ts_local as date) as date, load from load_history) h
+       on h.region = t.region and month(h.date) = month(t.date) and day(h.date) = day(t.date)
+          and year(h.date) < year(t.date)
+       group by all""",
+    ("load_history",),
+)
+def calendar_date_history(spark, sf):
+    load = written(_dated_load(spark, sf).drop("ts_local"), "dated")
+    targets = R.filter_time_range(load, "date", _day("1995-01-01"), _day("2000-12-31"))
+    return R.calendar_date_history(targets, load, "load").withColumn("mean", F.round("mean", 6))
+
+
 # The least number of training rows is the zones' mean, so some zones stay and some go at every scale.
 _GUARD = """select region from (
               select region, count(*) filter (where ts_local < timestamp '1995-06-01') as n,
@@ -709,6 +727,18 @@ def pivot_dates(spark, sf):
     return LY.pivot_dates(peaks, LY.bounded_values(peaks, "date"))
 
 
+@query(
+    "pivot_map_dates",
+    """select region, cast(cast(ts_local as date) as varchar) as date, cast(max(load) as double) as peak
+       from load_history where ts_local is not null and region is not null group by all""",
+    ("load_history",),
+)
+def pivot_map_dates(spark, sf):
+    load = _dated_load(spark, sf).where(F.col("region").isNotNull())
+    wide = LY.pivot_map(load, ["region"], "date", F.max(F.col("load").cast("double")))
+    return wide.select("region", F.explode("values").alias("date", "peak"))
+
+
 @query(
     "load_cube",
     f"""select d.date, z.zone - 1 as zone, cast(h.hour as int) as hour, v.predicted_load

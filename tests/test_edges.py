@@ -401,3 +401,29 @@ def test_grid_of_more_zones_than_a_row_holds(spark):
     grid = J.dense_grid(df, zones, hours=range(2))
     assert grid.count() == 2 * 2_500 * 2 and grid.where("load is not null").count() == 2
     assert J.dense_grid(df, zones.limit(0)).count() == 0
+
+
+def test_calendar_date_history_equals_the_pairs(spark):
+    d = lambda y, m=2, day=29: dt.date(y, m, day)
+    rows = [("A", d(2000), 1.0), ("A", d(2000), 3.0), ("A", d(2004), None), ("A", d(2008), 7.0), ("A", None, 9.0), (None, d(2000), 5.0)]
+    rows += [("B", d(y, 3, 1), float(y)) for y in range(1990, 2010)] + [("B", d(1999, 3, 1), -1.0)]
+    history = spark.createDataFrame(rows, "region string, date date, load double")
+    targets = history.select("region", "date").union(spark.createDataFrame([("C", d(2001, 3, 1)), ("A", d(2012))], "region string, date date")).distinct()
+    pairs = R.same_calendar_date(targets, history).collect()
+    got = R.calendar_date_history(targets, history, "load").where("region is not null and target_date is not null").collect()
+    assert len(got) == targets.where("region is not null and date is not null").count()
+    for r in got:
+        mine = [p for p in pairs if (p.region, p.target_date) == (r.region, r.target_date)]
+        loads = [p.load for p in mine if p.load is not None]
+        want = (len(loads), sum(loads) / len(loads) if loads else None, min(loads, default=None), max(loads, default=None), max((p.date for p in mine), default=None))
+        assert (r.n, r["mean"], r.least, r.greatest, r.latest) == want
+    assert R.calendar_date_history(targets, history.limit(0), "load").where("n = 0").count() == targets.count()
+    assert R.calendar_date_history(targets.limit(0), history, "load").count() == 0
+
+
+def test_pivot_map_takes_any_number_of_names(spark):
+    wide = LY.pivot_map(spark.range(30_000).selectExpr("id % 3 as k", "int(id / 3) as c", "double(id) as v"), ["k"], "c", F.avg("v"))
+    rows = {r.k: r["values"] for r in wide.collect()}
+    assert [len(rows[k]) for k in range(3)] == [10_000] * 3 and rows[2]["9999"] == 29_999.0
+    odd = spark.createDataFrame([("a", None, 1.0), ("a", "x", None), (None, "y", 2.0), (None, "y", 4.0)], "k string, c string, v double")
+    assert {r.k: r["values"] for r in LY.pivot_map(odd, ["k"], "c", F.avg("v")).collect()} == {"a": {"x": None}, None: {"y": 3.0}}
