@@ -330,42 +330,39 @@ def distinct_texts(labelled: DataFrame) -> DataFrame:
     return staged(kept.select("text", "label"), "toxicity-texts")
 
 
-def instances(counts: DataFrame, landmarks: Landmarks, toxic: int, root: np.ndarray, plain: float, n1: float, n0: float) -> DataFrame:
-    """features (Nyström), label, n, near: words that are like one of the first `toxic` landmarks, by the
-    shares of toxic and clean texts that hold them, the toxic also disguised; and words of clean texts,
-    of those unlike any landmark the share `plain`."""
+def instances(counts: DataFrame, landmarks: Landmarks, plain: float, n1: float, n0: float) -> DataFrame:
+    """word, label, n, near: words that are like a telling landmark, by the shares of toxic and clean texts
+    that hold them, the toxic also disguised; and words of clean texts, of those unlike any the share
+    `plain`."""
 
     def make(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2_000):
-                cut = batch.slice(lo, 2_000)
-                words, a, b, sample = (c.to_pylist() for c in cut.columns)
-                like = landmarks.similarity(words)
-                near = like[:, :toxic].max(axis=1).tolist()
-                rows, out = [], []
-                for i, word in enumerate(words):
-                    if b[i] and (near[i] >= ALIKE or sample[i] < plain):
-                        rows.append((0.0, b[i] / n0, near[i] >= ALIKE))
-                        out.append(like[i])
-                    if a[i] and near[i] >= WITNESS:
-                        hidden = [f"^{w}$" for w in obfuscated(word[1:-1])] if len(word) > 5 else []
-                        out += [like[i], *landmarks.similarity(hidden)]
-                        rows += [(1.0, a[i] / n1, True), *[(1.0, a[i] / n1 / 4, True)] * len(hidden)]
-                if rows:
-                    kinds = (pa.float64(), pa.float64(), pa.bool_())
-                    columns = [pa.array(list(np.array(out) @ root)), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["features", "label", "n", "near"])
+            words, a, b, sample = (c.to_pylist() for c in batch.columns)
+            rows = []
+            for lo in range(0, len(words), 2_000):
+                near = landmarks.similarity(words[lo : lo + 2_000]).max(axis=1).tolist()
+                for i, like in enumerate(near, lo):
+                    if b[i] and (like >= ALIKE or sample[i] < plain):
+                        rows.append((words[i], 0.0, b[i] / n0, like >= ALIKE))
+                    if a[i] and like >= WITNESS:
+                        rows.append((words[i], 1.0, a[i] / n1, True))
+                        if len(words[i]) > 5:
+                            rows += [(f"^{w}$", 1.0, a[i] / n1 / 4, True) for w in obfuscated(words[i][1:-1])]
+            if rows:
+                kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "label", "n", "near"])
 
     words = counts.where(F.col("part").like("^%$"))
     sample = (F.pmod(F.xxhash64(F.lit(5), "part"), F.lit(1_000_000)) / 1_000_000).alias("sample")
-    return words.select("part", "a", "b", sample).mapInArrow(make, "features array<double>, label double, n double, near boolean")
+    return words.select("part", "a", "b", sample).mapInArrow(make, "word string, label double, n double, near boolean")
 
 
 def fit(labelled: DataFrame) -> Model | None:
     """Fit on labelled (doc_id, text as bytes, label); None if a label or any telling part is missing.
 
     Landmarks are parts of words that tell toxic texts from clean ones, and common words. A word's Nyström
-    features are its kernels with the landmarks times the inverse root of the landmarks' own kernels. The
+    features are its kernels with the landmarks times an inverse root of the landmarks' own kernels. The
     support vector machine learns words: of clean sentences, and those of toxic texts that are like a
     telling landmark, as they are and disguised. A logistic curve takes a document's worst sentence and its
     amount of toxic words to the score.
@@ -380,15 +377,17 @@ def fit(labelled: DataFrame) -> Model | None:
         return None
     landmarks = Landmarks([*toxic, *common])
     values, vectors = np.linalg.eigh(landmarks.table.T @ landmarks.table)
-    kept = values > 1e-6
-    root = (vectors[:, kept] / np.sqrt(values[kept])) @ vectors[:, kept].T
+    kept = values > 1e-2
+    root = vectors[:, kept] / np.sqrt(values[kept])
     plain = min(1.0, PLAIN_WORDS / max(counts.where(F.col("part").like("^%$") & (F.col("b") > 0)).count(), 1))
-    rows = staged(instances(counts, landmarks, len(toxic), root, plain, n1, n0), "toxicity-instances")
+    rows = staged(instances(counts, Landmarks(toxic), plain, n1, n0), "toxicity-instances")
     total = dict(rows.groupBy("near").agg(F.sum("n")).collect())
     if len(total) < 2:
         return None
     # Words like a landmark weigh as their shares of either label say, all other words as much as they together.
-    svm = LinearSVC(maxIter=50, regParam=1e-4, standardization=False, weightCol="weight").fit(_weighed(rows, "near", total))
+    svm = LinearSVC(maxIter=50, regParam=1e-4, standardization=False, weightCol="weight").fit(
+        _weighed(rows, "near", total, lambda words: landmarks.similarity(words) @ root)
+    )
     gain = landmarks.table @ (root @ svm.coefficients.toArray())
     model = Model(landmarks.codes, gain, float(svm.intercept))
 
@@ -412,11 +411,23 @@ def fit(labelled: DataFrame) -> Model | None:
     return model
 
 
-def _weighed(rows: DataFrame, by: str, total: dict) -> DataFrame:
+def _weighed(rows: DataFrame, by: str, total: dict, image=None) -> DataFrame:
     """Rows for a classifier; both values of `by` have equal weight. Two partitions of told content and
-    order: sums, and so the fit, do not depend on where rows were made."""
+    order: sums, and so the fit, do not depend on where rows were made. With `image` the features are
+    that of the words, made behind the exchange, which carries words only."""
     even = F.when(F.col(by).cast("double") == 1, F.lit(500 / total[1.0])).otherwise(F.lit(500 / total[0.0]))
-    dealt = rows.withColumn("weight", F.col("n") * even).repartition(2, "features").sortWithinPartitions("features", "label", "weight")
+    key = "word" if image else "features"
+    dealt = rows.select(key, "label", (F.col("n") * even).alias("weight")).repartition(2, key).sortWithinPartitions(key, "label", "weight")
+
+    def make(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2_000):
+                cut = batch.slice(lo, 2_000)
+                features = pa.array(list(image(cut.column(0).to_pylist())), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([features, *cut.columns[1:]], names=["features", "label", "weight"])
+
+    if image:
+        dealt = dealt.mapInArrow(make, "features array<double>, label double, weight double")
     return dealt.select(array_to_vector("features").alias("features"), "label", "weight")
 
 
