@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import decontamination, mixing, secrets, simhash, toxicity
+from gridcast.llm import decontamination, mixing, secrets, simhash_similar, toxicity
 from gridcast.llm.common import staged
 
 
@@ -23,8 +23,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each near-duplicate group."""
-    return simhash.one_per_group(docs)
+    """One document, that with the smallest doc_id, of each group linked by a Jaccard similarity of five-word
+    shingles of 0.8 or more."""
+    return simhash_similar.one_per_group(docs)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
