@@ -122,6 +122,8 @@ def _similar(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, size: int,
             )
 
     sets = staged(per_batch(texts, "cls bigint, s array<bigint>", make).dropDuplicates(["cls"]), "similar-sets")
+    # The texts were shuffled to find those of the classes; their shuffle files are of no more use.
+    release(keyed.sparkSession)
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
     # The margin takes up rounding of the product, far below one shingle.
@@ -213,6 +215,7 @@ def one_per_group(
     named = classes.select("cls", "best").join(labels, "cls", "left")
     best = named.groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("best").alias("best"))
     best = staged(best.select(F.col("best._id").alias("_bid"), F.col("best._tid").alias("_btid")), "similar-best")
+    release(docs.sparkSession)
     same = F.col("_id").eqNullSafe(F.col("_bid")) & (F.col("_tid") == F.col("_btid"))
     kept = keyed.join(best, same, "left_semi")
     repeated = keyed.groupBy("_id", "_tid").count().where("count > 1")
