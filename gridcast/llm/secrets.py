@@ -31,6 +31,8 @@ ALPHABETS = {
 }
 FALSE_DISCOVERIES = 0.1
 BINS = 100
+#: Matches of a text whose spans are gathered one by one.
+BLOCK = 128
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -54,7 +56,25 @@ def spans(text: Column, pattern: str) -> Column:
             .alias("out"),
         )
 
-    walked = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    # An array that grows by one is copied each time, so it grows within blocks of matches only, whose spans
+    # are then moved by the length before the block. `array(x)` binds x: a lambda evaluates it once.
+    def walk(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def blocks(f: Column) -> Column:
+        count = F.floor((F.size(f) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda k: walk(F.slice(f, k * BLOCK + 1, BLOCK)))
+
+    def before(walked: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        add = lambda s, w: F.struct((s["at"] + w["at"]).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+        return F.aggregate(walked, start, add, lambda s: s["out"])
+
+    def moved(w: Column, at: Column) -> Column:
+        return F.transform(w["out"], lambda v: F.struct((v["start"] + at).alias("start"), (v["end"] + at).alias("end"), v["value"].alias("value")))
+
+    walked = F.get(F.transform(F.array(found), blocks), F.lit(0))
+    walked = F.get(F.transform(F.array(walked), lambda w: F.flatten(F.zip_with(w, before(w), moved))), F.lit(0))
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 

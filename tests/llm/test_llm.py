@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -282,3 +283,13 @@ def test_long_pretokens_are_not_broadcast(spark, odd, monkeypatch):
     assert held[0] and max(len(t.encode()) for t in held[0]) <= 64
     sp = token_counts.load(model)
     assert got == {(i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t, _ in odd}
+
+
+def test_spans_of_many_matches(spark):
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choices("0123456789abcdef", k=rng.choice([8, 24, 30]))) + rng.choice(["", "é", " x\n"]) for _ in range(6_000))
+    texts = [long, " ".join(["a" * 24] * 128), " ".join(["b" * 25] * 129), "c" * 24, "", "none", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: [(s.start, s.end, s.value) for s in r.s or []] for r in docs.select("i", secrets.spans(F.col("text"), "[0-9a-f]{24,}").alias("s")).collect()}
+    want = {i: [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9a-f]{24,}", t or "")] for i, t in enumerate(texts)}
+    assert got == want
