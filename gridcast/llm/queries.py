@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.llm import decontamination, lexical, lines, mixing, periods, quality, secrets, simhash, substring, token_counts, topk, toxicity, warc
@@ -69,7 +69,12 @@ def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 def scan_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.find_secrets(pick(table(spark, sf, "documents"), "doc_id", "text"))
     base = F.filter("secrets", lambda s: s["kind"] < 3)
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{n}") for k, n in enumerate(secrets.KINDS)]
+
+    def count(kind: int) -> Column:
+        # Spark passes an element's place to a function of two parameters, so `kind` is none of the lambda's.
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [count(k).alias(f"n_{n}") for k, n in enumerate(secrets.KINDS)]
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
 
 

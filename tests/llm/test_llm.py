@@ -1,5 +1,6 @@
 """Operators of gridcast.llm against brute force, on small frames with nulls, empty texts, ties and odd columns."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -154,6 +155,27 @@ def test_secrets(spark, odd):
     assert all(keys[k] not in clean[900 + k] for k in hits) and clean[900].startswith("é [SECRET]") and clean[3] is None and clean[7] == odd[7][1]
 
 
+def plain_base_spans(text):
+    """(start, kind, end) of op6's base spans."""
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def test_base_columns_of_the_secrets_query(spark, odd, tmp_path):
+    rng = random.Random(6)
+    parts = ["password", "Passwd", "TOKEN", "api_key", "=", ": ", '"', "'", " ", "\n", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "x.y-z", "\U0001f600", "\u212a", "\u017f"]
+    texts = [None, "", "0a" * 12, f"x {'0a' * 12} AKIA{'Q' * 16} token=abcdef {'0b' * 12}", *["".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(300)]]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in QUERIES["op6_scan_secrets"](spark, str(tmp_path)).collect()}
+    for i, t, _ in rows:
+        want = plain_base_spans(t or "")
+        joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert got[i] == (*[sum(k == x for _, x, _ in want) for k in range(3)], hashlib.sha256(joined.encode()).hexdigest())
+
+
 def test_contamination(spark, odd):
     bench = spark.createDataFrame([(1, odd[0][1]), (2, None), (3, "one"), (None, "unseen"), (1, odd[0][1])], "item_id long, text string")
     for size in (8 << 20, 100):
