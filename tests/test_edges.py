@@ -427,3 +427,38 @@ def test_pivot_map_takes_any_number_of_names(spark):
     assert [len(rows[k]) for k in range(3)] == [10_000] * 3 and rows[2]["9999"] == 29_999.0
     odd = spark.createDataFrame([("a", None, 1.0), ("a", "x", None), (None, "y", 2.0), (None, "y", 4.0)], "k string, c string, v double")
     assert {r.k: r["values"] for r in LY.pivot_map(odd, ["k"], "c", F.avg("v")).collect()} == {"a": {"x": None}, None: {"y": 3.0}}
+
+
+def test_clocks_are_localised_after_the_facts_are_reduced(spark):
+    from gridcast.plans import views as V
+
+    lines = V.model_frame(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # Deeper nodes of a branch come later: nothing below the first aggregate of the load asks for a zone's offset.
+    first = next(i for i, x in enumerate(lines) if "Aggregate" in x)
+    assert not any("America/New_York" in x for x in lines[first + 1 :] if "Filter" in x)
+    assert sum("America/New_York" in x for x in lines) > 0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_plain_forms_are_read_as_by_the_formatter(spark, zone):
+    texts = ["2000-02-29 00:00:00", "1900-02-29 00:00:00", "0000-01-01 00:00:00", "0001-01-01T00:00:00", "2000-01-01 24:00:00", "2000-01-01 23:59:60",
+             "2000-01-01 23:59:59\n", "2000-01-01 23:59:59 ", "2000-1-1 00:00:00", "+12000-01-01 00:00:00", "no time", "2000-04-02T02:30:00", "", None]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        for f in (tp.ISO_SPACE, tp.ISO_T):
+            slow = tp._shift(tp._epoch(), F.unix_seconds(tp._instant("t", f)))
+            assert df.where(~tp.parse_fixed_ts("t", f).eqNullSafe(slow)).isEmpty()
+            assert "try_cast" in df.select(tp.parse_fixed_ts("t", f))._jdf.queryExecution().analyzed().toString().lower()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_line_times_are_parsed_once(spark, tmp_path):
+    (tmp_path / "hrl_load_metered_2000.csv").write_text("datetime_beginning_ept,load_area,mw\n1/1/2000 1:00:00 AM,a,1\nno time,a,2\n1/1/2000 2:00:00 AM,a,n/a\n")
+    lines = IN.scan_lines(spark, str(tmp_path), files.LOAD_SCHEMA, tp.parse_coalesced_ts("datetime_beginning_ept"))
+    assert "at" in lines.columns and [r.at is None for r in lines.orderBy("datetime_beginning_ept").collect()].count(True) == 1
+    rejects = IN._sorted_out(lines, "load")[1]
+    assert "gettimestamp" not in rejects._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(r.reason for r in rejects.collect()) == [IN.MALFORMED, IN.NO_TIME]
