@@ -7,6 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from gridcast.operators.evaluation import regression_metrics
 from gridcast.operators.forecasting import linear as LIN, logistic as LG, methods as M, regional as RG, trees as TR
 from gridcast.operators.forecasting.compare import classify_peak_day, common_zones, fit_peak_day
@@ -245,3 +246,19 @@ def test_large_models_are_saved_and_loaded(spark, frame, tmp_path):
     loaded = load_models(spark, str(tmp_path), "peak_day")
     a, b = (RG.score_regional(df, f, "p").orderBy("x").toPandas() for f in (fitted, loaded))
     pd.testing.assert_frame_equal(a, b)
+
+
+@pytest.mark.parametrize("name", list(M.LOAD_METHODS))
+def test_a_sound_model_of_noise_is_reported_as_sound(spark, monkeypatch, name):
+    # Load has nothing to do with the features: on test rows no method beats their own mean reliably.
+    rng, n = np.random.default_rng(5), 900
+    pdf = pd.DataFrame({c: rng.integers(0, 5, n).astype(float) for c in model_queries.HOURLY_FEATURES})
+    pdf["region"], pdf["load"] = np.where(np.arange(n) % 2 == 0, "a", "b"), rng.normal(1e5, 1e3, n)
+    df = spark.createDataFrame(pdf).withColumn("day_of_week", F.col("day_of_week").cast("int"))
+    parts = {"train": df.limit(700).localCheckpoint(), "test": df.exceptAll(df.limit(700)).localCheckpoint()}
+    monkeypatch.setattr(model_queries, "_splits", lambda spark, sf: parts)
+    monkeypatch.setattr(model_queries, "LOAD", M.smaller(M.LOAD_METHODS, 20, 8))
+    key = {"linear": "ols_interactions", "random_forest": "rf_regressor", "boosted_trees": "gbt_regressor"}[name]
+    rows = queries()[key](spark, "").collect()
+    assert len(rows) == 2 and all(r.consistent and r.better_than_mean and r.method == name for r in rows)
+    assert {r.region: r.n_test for r in rows} == {r.region: r["count"] for r in parts["test"].groupBy("region").count().collect()}
