@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ WINDOW = 20
 #: A perfect difference cover: for any two positions some shift below the period takes both into it.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 NULL_ID = -(1 << 63)
+#: Bytes of text (or one text, if longer) that a task holds as arrays of words and hashes at a time.
+SLICE_BYTES = 4 << 20
 
 
 def anchor_words(window: int = WINDOW) -> int:
@@ -32,8 +37,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     1. Every text is hashed at cover positions only (4 of 13); a window that occurs twice has an anchor at
        the same shift in both places. Anchors that occur once are dropped.
     2. The rest extend to the windows around them, whose 96-bit hashes are compared.
-    Each task first keeps one row per anchor or window of its batch; the other rows of the batch are
-    settled there and travel under keys of their own, so the most common passage sends a row per batch.
+    Each task first keeps one row per anchor or window of a slice of its rows; the other rows of the slice
+    are settled there and travel under keys of their own, so the most common passage sends a row per slice.
     """
     size = anchor_words(window)
     rows = keyed(docs, id_col, text_col)
@@ -65,7 +70,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     starts = repeated_passages(docs, window, id_col, text_col)
     rows = packed(keyed(docs, id_col, text_col)).join(starts, ["ord", "tid"], "left")
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batch, _unzipped(batch.column(1))):
+            yield remove(part)
+
+    def remove(batch: pa.RecordBatch) -> pa.RecordBatch:
         unzip = zstandard.ZstdDecompressor().decompress
         words, removed, kept = [], [], []
         for z, s in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -104,6 +113,24 @@ def packed(rows: DataFrame) -> DataFrame:
     return per_batch(rows, "ord bigint, tid bigint, text binary", make)
 
 
+def _unzipped(texts: pa.Array) -> list[int]:
+    """Lengths of compressed texts, from their headers."""
+    return [zstandard.frame_content_size(z) for z in texts.to_pylist()]
+
+
+def _slices(batch: pa.RecordBatch, sizes: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """The batch in neighbouring parts of about SLICE_BYTES by the sizes of its rows. A batch has a fixed
+    number of rows, so what is built from it at once would grow with the length of the texts."""
+    lo, held = 0, 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= SLICE_BYTES:
+            yield batch.slice(lo, i + 1 - lo)
+            lo, held = i + 1, 0
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 def _settle(order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """order: rows sorted by key; same: whether a row of that order has the key of the row before.
     In the rows' own order: is the row not the first of its key, and has its key several rows."""
@@ -126,6 +153,10 @@ def _anchors(size: int):
     cover[list(COVER)] = True
 
     def make(batch: pa.RecordBatch):
+        for part in _slices(batch, pc.binary_length(batch.column(2)).to_pylist()):
+            yield from anchors(part)
+
+    def anchors(batch: pa.RecordBatch):
         ids, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         held = [[], [], [], []]
         for chunk in W.chunks(batch.column(2).to_pylist()):
@@ -153,6 +184,10 @@ _FOUND = "h1 bigint, h2 int, ord bigint, tid bigint, start int, settled boolean"
 
 def _windows(size: int):
     def make(batch: pa.RecordBatch):
+        for part in _slices(batch, _unzipped(batch.column(2))):
+            yield from windows(part)
+
+    def windows(batch: pa.RecordBatch):
         unzip = zstandard.ZstdDecompressor().decompress
         ids, tids, anchors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
         held = [[], [], [], [], []]
