@@ -262,3 +262,9 @@ def test_a_sound_model_of_noise_is_reported_as_sound(spark, monkeypatch, name):
     rows = queries()[key](spark, "").collect()
     assert len(rows) == 2 and all(r.consistent and r.better_than_mean and r.method == name for r in rows)
     assert {r.region: r.n_test for r in rows} == {r.region: r["count"] for r in parts["test"].groupBy("region").count().collect()}
+
+
+def test_daily_features_start_from_the_written_join(spark):
+    # Conditions on the date must meet hours, of which there are few, not the rows of the facts.
+    daily = model_queries._daily(spark, "/root/testdata/sf0.001")
+    assert daily.inputFiles() and not any("lineitem" in f for f in daily.inputFiles())
