@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridcast.llm import words
 from gridcast.llm.common import per_batch, release, staged, utf8
@@ -107,11 +108,9 @@ def _features(keyed: DataFrame, size: int, bits: int, segments: int) -> DataFram
     return per_batch(keyed.select("_id", "_tid", "_text"), schema, make)
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of the pairs u, v of classes whose shingle sets have that Jaccard similarity, sets read from
-    one text of each class that occurs in a pair."""
-    ends = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
-    at = ends.join(classes, "cls").select("cls", F.col("best._id").alias("_bid"), F.col("best._tid").alias("_btid"))
+def _sets(wanted: DataFrame, classes: DataFrame, keyed: DataFrame, size: int) -> DataFrame:
+    """cls and s (its shingles) of the wanted classes, read from one text of each."""
+    at = wanted.join(classes, "cls").select("cls", F.col("best._id").alias("_bid"), F.col("best._tid").alias("_btid"))
     same = F.col("_id").eqNullSafe(F.col("_bid")) & (F.col("_tid") == F.col("_btid"))
     texts = keyed.select("_id", "_tid", "_text").join(at, same).select("cls", "_text")
 
@@ -124,6 +123,12 @@ def _similar(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, size: int,
     sets = staged(per_batch(texts, "cls bigint, s array<bigint>", make).dropDuplicates(["cls"]), "similar-sets")
     # The texts were shuffled to find those of the classes; their shuffle files are of no more use.
     release(keyed.sparkSession)
+    return sets
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of the pairs u, v of classes whose shingle sets have that Jaccard similarity."""
+    sets = _sets(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct(), classes, keyed, size)
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
     # The margin takes up rounding of the product, far below one shingle.
@@ -131,6 +136,59 @@ def _similar(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, size: int,
     return both.where(enough).select("u", "v")
 
 
+def _families(labels: DataFrame, classes: DataFrame, table: DataFrame, probes: DataFrame, dense: int) -> DataFrame:
+    """cls and centre: classes that meet a group of over `dense` classes and lie near its centre, the member
+    whose check word is nearest to the most common bits of the group."""
+    rows = labels.join(classes.select("cls", "check"), "cls")
+    ones = F.array(*[F.sum(F.expr(f"shiftright(check, {i}) & 1")).alias(f"b{i}") for i in range(64)])
+    sums = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), ones.alias("ones")).where(F.col("n") > dense)
+    word = F.expr("aggregate(transform(ones, (o, i) -> if(2 * o > n, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
+    far = F.expr("bit_count(check ^ most)")
+    centre = rows.join(sums.select("label", word.alias("most")), "label").groupBy("label").agg(F.min(F.struct(far, "cls", "check")).alias("c"))
+    centre = staged(centre.select("label", F.col("c.cls").alias("centre"), F.col("c.check").alias("cc")), "similar-centres")
+    places = table.join(labels.toDF("v", "label"), "v").join(centre, "label").select("bucket", "centre", "cc").distinct()
+    near = probes.join(places, "bucket").where(_near("cu", "cc")).select("u", F.expr("bit_count(cu ^ cc)").alias("d"), "centre")
+    return staged(near.groupBy(F.col("u").alias("cls")).agg(F.min(F.struct("d", "centre")).alias("m")).select("cls", "m.centre"), "similar-families")
+
+
+def _within(families: DataFrame, classes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links u, v that join all similar classes of a family, without comparing all its pairs.
+
+    Each class stands for its difference to the centre. Classes similar to the centre are linked to it; a
+    pair is then open only if one of both is not, so that its difference is large and, for the pair to be
+    similar, most of the smaller difference must be shared. So one of its rarest elements must be shared
+    (prefix filter), and these are mostly of one class only. No similar pair is lost.
+    """
+    ends = families.select("cls").union(families.select("centre")).distinct()
+    sets = _sets(ends, classes, keyed, size)
+    both = families.join(sets, "cls").join(sets.toDF("centre", "c"), "centre")
+    delta = F.array_union(F.array_except("s", "c"), F.array_except("c", "s"))
+    rows = both.select("centre", "cls", F.size("s").alias("n"), F.size("c").alias("nc"), delta.alias("delta")).withColumn("d", F.size("delta"))
+    # The symmetric difference of a similar pair is at most this share of the sum of both sizes.
+    share, most = (1 - similarity) / (1 + similarity), F.least(F.col("n") / similarity, F.col("nc") + F.col("d"))
+    rows = rows.withColumn("close", F.col("d") <= share * (F.col("n") + F.col("nc")) + 1e-6)
+    # Elements that a similar class with an equal or larger difference must share with it, at least.
+    close = F.floor((F.col("d") + share * (F.col("nc") - F.col("n"))) / 2) + 1
+    least = F.when(F.col("close"), close).otherwise(F.ceil((2 * F.col("d") - F.floor(share * (F.col("n") + most) + 1e-6)) / 2))
+    rows = staged(rows.withColumn("need", F.greatest(F.lit(1), least)), "similar-deltas")
+    parts = rows.select("centre", "cls", "n", "d", "need", "close", F.explode("delta").alias("e"))
+    often = parts.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = Window.partitionBy("centre", "cls")
+    ranked = parts.join(often, ["centre", "e"]).withColumn("h", F.count(F.lit(1)).over(own))
+    ranked = staged(ranked.withColumn("q", F.row_number().over(own.orderBy("k", "e"))).select("centre", "e", F.struct("cls", "n", "d", "close", "h", "q", "need").alias("x")), "similar-ranks")
+    other = ranked.withColumnRenamed("x", "y")
+    shared = f"(x.d + y.d - {share} * (x.n + y.n)) / 2 - 1e-6"
+    pairs = ranked.where("x.q <= x.h - x.need + 1").join(other, ["centre", "e"]).where(
+        "not (x.close and y.close) and (x.d < y.d or (x.d = y.d and x.cls < y.cls))"
+        f" and y.d - x.d <= {share} * (x.n + y.n) + 1e-6"
+        f" and least(x.q, y.q) + least(x.h - x.q, y.h - y.q) >= {shared}"
+    )
+    pairs = pairs.select(F.col("x.cls").alias("x"), F.col("y.cls").alias("y"))
+    pairs = staged(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "similar-within")
+    hub = rows.where("close and cls != centre").select(F.least("cls", "centre").alias("u"), F.greatest("cls", "centre").alias("v"))
+    return staged(hub.union(_similar(pairs, classes, keyed, size, similarity)), "similar-hubs")
+
+
 def _near(u: str, v: str) -> str:
     return f"bit_count({u} ^ {v}) <= {CHECK_BITS}"
 
@@ -141,8 +199,10 @@ def groups(keyed: DataFrame, size: int, similarity: float, dense: int) -> tuple[
 
     First every class is compared with the smallest and the largest class of each of its buckets, which
     joins the bulk of a large group by a number of pairs that grows with the group, not with its square.
-    Then every class probes all its balls, and pairs not yet in one group are compared. In a bucket that
-    holds over `dense` classes of one group, that group's members are not met by its own probes.
+    Classes around the centre of a group of over `dense` classes are a family, whose links are found by
+    differences to that centre. Then every class probes all its balls, and pairs not yet in one group are
+    compared. Members of a family, and of a group with over `dense` classes in a bucket, are not met by
+    probes of their own.
     """
     bits, segments = segments_for(keyed.count())
     rows = staged(_features(keyed, size, bits, segments), "similar-features")
@@ -168,16 +228,23 @@ def groups(keyed: DataFrame, size: int, similarity: float, dense: int) -> tuple[
     linked = staged(_similar(staged(stars, "similar-stars"), classes, keyed, size, similarity), "similar-links")
     labels = components(linked).withColumnRenamed("node", "cls")
 
-    grouped = table.join(labels.toDF("v", "label"), "v")
-    crowds = staged(grouped.groupBy("bucket", "label").count().where(F.col("count") > dense).select("bucket", "label"), "similar-crowds")
+    families = _families(labels, classes, table, probes, dense)
+    if not families.isEmpty():
+        linked = staged(linked.union(_within(families, classes, keyed, size, similarity)).distinct(), "similar-links")
+        labels = components(linked).withColumnRenamed("node", "cls")
+
+    # Families are settled; other groups are told apart by their label where a bucket holds many of one.
+    kin = labels.select("cls", F.struct(F.lit(0).alias("kind"), F.col("label").alias("key")).alias("g"))
+    ours = families.select("cls", F.struct(F.lit(1).alias("kind"), F.col("centre").alias("key")).alias("g"))
+    own = staged(kin.join(ours.select("cls"), "cls", "left_anti").union(ours), "similar-own")
+    grouped = table.join(own.toDF("v", "g"), "v").groupBy("bucket", "g").count()
+    crowds = staged(grouped.where((F.col("count") > dense) | (F.col("g.kind") == 1)).select("bucket", "g"), "similar-crowds")
     if crowds.isEmpty():
         met = probes.join(table, "bucket")
     else:
-        # Crowds are told apart by their label; null stands for all other members of a bucket.
-        own = labels.toDF("v", "label")
-        members = table.join(own, "v", "left").join(crowds.withColumn("crowd", F.col("label")), ["bucket", "label"], "left")
-        seen = probes.join(own.toDF("u", "label"), "u", "left")
-        others = seen.join(crowds.toDF("bucket", "crowd"), "bucket").where("label is null or label != crowd")
+        members = table.join(own.toDF("v", "g"), "v", "left").join(crowds.withColumn("crowd", F.col("g")), ["bucket", "g"], "left")
+        seen = probes.join(own.toDF("u", "g"), "u", "left")
+        others = seen.join(crowds.toDF("bucket", "crowd"), "bucket").where("g is null or g != crowd")
         plain = members.where("crowd is null").select("bucket", "v", "cv")
         packed = members.where("crowd is not null").select("bucket", "crowd", "v", "cv")
         met = probes.join(plain, "bucket").select("u", "cu", "v", "cv").union(
