@@ -62,17 +62,19 @@ def exponent(sources: DataFrame, entropy: float | None = None, repetition: float
 
 def _bisect(shares: DataFrame, high: float, below) -> float:
     """The end of the exponents for which below(a, sum p**a, sum p**a log p, smallest log p) holds. A pass
-    sums for all midpoints that the next LEVELS halvings can meet."""
+    sums for all midpoints that the next LEVELS halvings can meet: they are rows, so that every pass is the
+    same short plan; a column for each would be compiled anew with each pass, in the driver too."""
     low = 0.0
+    power = F.exp(F.col("a") * F.col("logp"))
     for _ in range(PASSES):
         grid = [low + (high - low) * i / (1 << LEVELS) for i in range(1, 1 << LEVELS)]
-        power = [F.exp(F.lit(a) * F.col("logp")) for a in grid]
-        sums = [F.sum(p) for p in power] + [F.sum(p * F.col("logp")) for p in power] + [F.min("logp")]
-        row = shares.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
+        tried = shares.select("logp", F.posexplode(F.lit(grid)).alias("i", "a"))
+        sums = tried.groupBy("i").agg(F.sum(power), F.sum(power * F.col("logp")), F.min("logp"))
+        rows = {i: found for i, *found in sums.collect()}
         at = 0
         for step in (1 << k for k in reversed(range(LEVELS))):
             i = at + step - 1
-            if below(grid[i], row[i], row[i + len(grid)], row[-1]):
+            if below(grid[i], *rows[i]):
                 at += step
         width = (high - low) / (1 << LEVELS)
         low, high = low + width * at, low + width * (at + 1)

@@ -84,10 +84,11 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(mul: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """mul**i and its inverse modulo 2**64, for i < n."""
+    """mul**i and its inverse modulo 2**64, for i < n. The tables grow by doubling up to those of a whole
+    chunk, so that a process which hashes short texts only, as the driver does, holds short ones."""
     have = _POWERS.get(mul)
     if have is None or len(have[0]) < n:
-        n = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
+        n = max(n, min(2 * n, CHUNK_BYTES + (CHUNK_BYTES >> 2)))
         inverse = pow(mul, -1, 1 << 64)
         have = tuple(
             np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, m, np.uint64))]) for m in (mul, inverse)
