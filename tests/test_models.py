@@ -1,5 +1,7 @@
 """Models per zone on small frames: shape, determinism, baseline, saving and loading."""
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -264,6 +266,64 @@ def test_a_sound_model_of_noise_is_reported_as_sound(spark, monkeypatch, name):
     assert {r.region: r.n_test for r in rows} == {r.region: r["count"] for r in parts["test"].groupBy("region").count().collect()}
 
 
+def _random_rows(spark, features, n, seed, zones="ab", **more):
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({c: rng.integers(0, 5, n).astype(float) for c in features})
+    pdf["region"] = [zones[i % len(zones)] for i in range(n)]
+    pdf["date"] = (np.datetime64("2000-01-01") + np.arange(n) // (24 * len(zones))).astype("datetime64[D]").astype(object)
+    return spark.createDataFrame(pdf.assign(**{k: f(rng, pdf) for k, f in more.items()}))
+
+
+def test_models_of_all_tasks_are_saved(spark, monkeypatch, tmp_path):
+    """Trials of every task and method, and the best method's models of the longer range, which has a zone more."""
+    load, peak = lambda rng, p: 1e4 + 9 * p.temperature + rng.normal(0, 1, len(p)), lambda rng, p: (np.arange(len(p)) // 2 % 5 == 0).astype(int)
+    hours = [_random_rows(spark, model_queries.HOURLY_FEATURES, n, n, z, load=load, is_peak_hour=peak) for n, z in ((480, "ab"), (96, "ab"), (600, "abc"))]
+    hours = [h.withColumn("day_of_week", F.col("day_of_week").cast("int")).withColumn("hour", F.col("hour").cast("int")) for h in hours]
+    days = [_random_rows(spark, model_queries.DAILY_FEATURES, n, n, z, is_peak_day=peak) for n, z in ((200, "ab"), (60, "ab"), (60, "ab"), (300, "abc"))]
+    monkeypatch.setattr(model_queries.V, "model_frame", lambda spark, sf: spark.range(1))
+    monkeypatch.setattr(model_queries, "_splits", lambda spark, sf, frame=None: dict(zip(("train", "test", "final_train"), hours, strict=True)))
+    monkeypatch.setattr(model_queries, "_day_splits", lambda spark, sf, frame=None: dict(zip(("train", "tune", "test", "final_train"), days, strict=True)))
+    monkeypatch.setattr(model_queries, "scratch_dir", lambda spark, purpose: str(tmp_path / purpose / uuid.uuid4().hex))
+    methods = {"hourly_load": M.LOAD_METHODS, "peak_hour": {k: m for k, m in M.PEAK_HOUR_METHODS.items() if k != "historical"}, "peak_day": M.PEAK_DAY_METHODS}
+    for name in ("LOAD", "HOUR", "DAY"):
+        monkeypatch.setattr(model_queries, name, M.smaller(getattr(model_queries, name), 2, 2))
+
+    rows = queries()["save_models"](spark, "").collect()
+    want = [(t, z, m) for t, known in methods.items() for m in known for z in "ab"] + [(t, z, "best") for t in methods for z in "abc"]
+    assert sorted((r.task, r.region, r.method) for r in rows) == sorted(want) and all(r.as_fitted for r in rows)
+    weights = {(r.task, r.method): r.scale_pos_weight for r in rows if r.region == "a" and r.method != "best"}
+    n, pos = 240, 48  # hours of zone a, a fifth of them peaks
+    assert weights["peak_hour", "random_forest"] == n / (2 * pos) and weights["peak_hour", "boosted_trees"] == (n - pos) / pos
+    assert weights["peak_day", "boosted_trees"] == 4 * 4 and weights["peak_day", "random_forest"] == weights["peak_day", "logistic"] == 4
+    assert all(weights[t, "linear"] is None for t in ("hourly_load", "peak_hour"))
+
+    path = str(next((tmp_path / "models").iterdir()))
+    for task, known in methods.items():
+        trial = load_models(spark, f"{path}/trials/linear" if task != "peak_day" else f"{path}/trials/logistic", task)
+        best = load_models(spark, path, task)
+        assert best.method.name in known and sorted(r.region for r in best.zones().collect()) == ["a", "b", "c"]
+        assert sorted(r.region for r in trial.zones().collect()) == ["a", "b"]
+    # Load is linear here, so least squares is best; it has seen the longer range.
+    assert {r.region: r.n_train for r in load_models(spark, path, "hourly_load").table.collect()} == {"a": 200, "b": 200, "c": 200}
+    limits = [{r.region: r.threshold for r in read_registry(spark, p, "peak_day").collect()} for p in (path, f"{path}/trials/{best.method.name}")]
+    # The best method keeps the thresholds of its trial; a zone without a trial has the default.
+    assert limits[0] == {**limits[1], "c": 0.5}
+
+
+def test_a_trial_whose_models_do_not_come_back_is_seen(spark, frame, monkeypatch, tmp_path):
+    df, _ = frame
+    fitted = fit_peak_day(df, df, M.PEAK_DAY_METHODS["logistic"], ["x"])
+    assert all(r.as_fitted for r in model_queries._saved(spark, f"{tmp_path}/whole", fitted).collect())
+
+    def without_b(spark, path, task):
+        back = load_models(spark, path, task)
+        back.table = back.table.where("region <> 'b'")
+        return back
+
+    monkeypatch.setattr(model_queries, "load_models", without_b)
+    assert {r.region: r.as_fitted for r in model_queries._saved(spark, f"{tmp_path}/part", fitted).collect()} == {"a": True, "b": False}
+
+
 def test_daily_features_start_from_the_written_join(spark):
     # Conditions on the date must meet hours, of which there are few, not the rows of the facts.
     daily = model_queries._daily(spark, "/root/testdata/sf0.001")
